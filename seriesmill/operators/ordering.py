@@ -35,6 +35,15 @@ def id_piece(c: Column) -> Column:
     return F.floor(c / F.lit(ID_PIECE))
 
 
+def time_levels(ts: str, *then: Column) -> list[Column]:
+    """Levels for an order (ts, ..., id): the minute, then all coarse parts together.
+
+    ``then`` are ascending within equal ts; end it with ``id_piece`` so that even one
+    crowded timestamp is cut.
+    """
+    return [minute_of(ts), F.struct(F.col(ts), *then)]
+
+
 def exclusive_totals(
     leaves: DataFrame, keys: list[str], levels: list[str], measures: list[str]
 ) -> DataFrame:
