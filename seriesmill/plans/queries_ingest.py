@@ -1 +1,395 @@
-"""Registered queries."""
+"""From export files and fetched pages to typed rows.
+
+The export files are texts that Spark writes out of the line items: four header layouts,
+byte-order marks, quoted names, blanks, games with one colour or no player export.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seriesmill.operators import checks, games
+from seriesmill.operators.games import AVERAGED, COLOURS, SUMMED
+from seriesmill.plans import views
+from seriesmill.plans.catalog import r6, r6_sql, register, stamp, stamp_sql
+from seriesmill.plans.views_sql import GAMES, PLAYERS
+from seriesmill.session import scratch_table
+from seriesmill.sources import exports as x
+from seriesmill.sources import tables
+from seriesmill.sources.pages import extract_page_fields
+
+ROOT = "/raw"
+
+
+def _by_layout(*options):
+    chosen = F.when(F.col("layout") == 0, options[0])
+    for i, o in enumerate(options[1:], 1):
+        chosen = chosen.when(F.col("layout") == i, o)
+    return chosen
+
+
+def _line(*cells):
+    return F.concat_ws(";", *[F.coalesce(c.cast("string"), F.lit("")) for c in cells])
+
+
+def _content(header, line):
+    return F.concat_ws("\n", header, F.array_join(F.array_sort(F.collect_list(line)), "\n"))
+
+
+def export_files(spark, sf):
+    """(path, content) of one team and at most one player export per game."""
+    lines = views.players(spark, sf).withColumn("layout", F.col("game_id") % 4)
+    folder = (
+        F.when(F.col("game_id") % 3 == 0, "Group Stages/Group A")
+        .when(F.col("game_id") % 3 == 1, "Group Stages/Group B")
+        .otherwise("Playoff 1")
+    )
+
+    def path(ending):
+        return F.concat(F.lit(ROOT + "/"), folder, F.lit("/"), F.col("game_id").cast("string"), ending)
+
+    sides = lines.groupBy("game_id", "layout", "color").agg(
+        F.sum("goals").alias("goals"), F.sum("score").alias("score")
+    )
+    k = (F.col("game_id") % 7).cast("string")
+    name = F.when(F.col("game_id") % 20 == 0, "").otherwise(F.concat("color", F.lit("_"), k))
+    quoted = F.concat(F.lit('"'), "color", F.lit(";"), k, F.lit('"'))
+    team_line = _by_layout(
+        _line(F.col("color"), name, F.col("score"), F.col("goals"), F.lit("300")),
+        _line(F.col("goals"), F.col("color"), name, F.col("score")),
+        _line(F.col("color"), name, F.col("goals")),
+        _line(F.col("color"), quoted, F.col("score"), F.col("goals"), F.lit("300")),
+    )
+    team_header = _by_layout(
+        F.lit("color;team name;score;goals;game duration"),
+        F.lit("\ufeffGoals;Color; Team Name ;Score"),
+        F.lit("team color;name;goals"),
+        F.lit("color;team name;score;goals;game duration"),
+    )
+    team = sides.groupBy("game_id", "layout").agg(F.array_join(F.array_sort(F.collect_list(team_line)), "\n").alias("t"))
+    team = team.select(
+        path(F.when(F.col("layout") == 2, "_team.csv").otherwise("-teams.csv")).alias("path"),
+        F.concat_ws("\n", team_header, "t").alias("content"),
+    )
+    demos = F.when(F.col("line") % 3 != 0, F.col("line"))
+    c, p, n = F.col("color"), F.col("player"), F.col("goals")
+    player_line = _by_layout(
+        _line(c, p, n, F.col("line"), F.col("discount"), F.col("tax"), n, demos),
+        _line(p, F.concat(c, F.lit("-club")), F.col("discount"), n, demos, c, F.col("line"), F.col("tax"), n),
+        _line(c, p, n, F.col("line"), F.col("discount"), demos),
+        _line(c, p, n, F.col("line"), F.col("discount"), F.col("tax"), n, demos),
+    )
+    player_header = _by_layout(
+        F.lit("color;player name;goals;assists;shooting %;bpm;avg boost amount;demos taken"),
+        F.lit("player name;team;shooting percentage;goals;demos received;color;assists;bpm;average boost"),
+        F.lit("\ufeffTeam Color;Player;Goals;Assists;Shooting_Percentage;demos_taken"),
+        F.lit("color;player name;goals;assists;shooting %;bpm;avg boost amount;demos taken"),
+    )
+    player = (
+        lines.filter(F.col("game_id") % 50 != 7)
+        .groupBy("game_id", "layout")
+        .agg(F.array_join(F.array_sort(F.collect_list(player_line)), "\n").alias("t"))
+        .select(
+            path(F.when(F.col("layout") == 2, "_player.csv").otherwise("-players.csv")).alias("path"),
+            F.concat_ws("\n", player_header, "t").alias("content"),
+        )
+    )
+    return team.unionByName(player)
+
+
+def parsed(spark, sf):
+    return x.parse_exports(x.with_path_fields(export_files(spark, sf), ROOT))
+
+
+FOLDER = """case game_id % 3 when 0 then 'Group Stages/Group A' when 1 then 'Group Stages/Group B' else 'Playoff 1' end"""
+SIDES = (
+    PLAYERS
+    + """,
+sides as (
+  select game_id, color, sum(goals)::double as goals, sum(score)::double as score, sum(line)::double as assists,
+    avg(discount) as shooting_percentage, case when game_id % 4 <> 2 then avg(tax) end as bpm,
+    case when game_id % 4 <> 2 then avg(goals) end as avg_boost,
+    sum(case when line % 3 <> 0 then line end)::double as demos_taken, count(*) as n,
+    case when game_id % 4 = 3 then color || ';' || (game_id % 7) when game_id % 20 = 0 then null
+      else color || '_' || (game_id % 7) end as team_file,
+    case when game_id % 4 = 1 then color || '-club' end as team_players
+  from players group by game_id, color)"""
+)
+FILLED = ("goals", "assists", "shooting_percentage", "bpm", "avg_boost", "demos_taken")
+
+
+@register(
+    "path_fields",
+    f"""with {PLAYERS}, g as (select distinct game_id from players), f as (
+  select game_id, 'team' as kind, case when game_id % 4 = 2 then '_team.csv' else '-teams.csv' end as ending from g
+  union all
+  select game_id, 'player', case when game_id % 4 = 2 then '_player.csv' else '-players.csv' end from g where game_id % 50 <> 7)
+select kind, game_id || '' as replay_id, {FOLDER} as folder, {FOLDER} || '/' || game_id || ending as source_file,
+  case when game_id % 3 = 2 then 'Playoff 1' else 'Group Stages' end as stage,
+  case game_id % 3 when 0 then 'Group A' when 1 then 'Group B' end as subgroup from f""",
+)
+def path_fields(spark, sf):
+    out = x.with_path_fields(export_files(spark, sf), ROOT)
+    return out.select("kind", "replay_id", "folder", "source_file", "stage", "subgroup")
+
+
+@register(
+    "pair_files",
+    f"""with {PLAYERS}, g as (select distinct game_id from players)
+select {FOLDER} as folder, game_id || '' as replay_id,
+  {FOLDER} || '/' || game_id || case when game_id % 4 = 2 then '_team.csv' else '-teams.csv' end as team_file,
+  case when game_id % 50 <> 7 then {FOLDER} || '/' || game_id ||
+    case when game_id % 4 = 2 then '_player.csv' else '-players.csv' end end as player_file,
+  case when game_id % 50 <> 7 then 1::bigint end as player_files from g""",
+)
+def pair_files(spark, sf):
+    return x.pair_files(x.with_path_fields(export_files(spark, sf), ROOT))
+
+
+@register(
+    "parse_exports",
+    f"""with {PLAYERS}
+select game_id || '' as replay_id, color, player, case when game_id % 4 = 1 then color || '-club' end as team,
+  goals::double as goals, line::double as assists, discount as shooting_percentage,
+  case when game_id % 4 <> 2 then tax end as bpm, case when game_id % 4 <> 2 then goals::double end as avg_boost,
+  case when line % 3 <> 0 then line::double end as demos_taken, null::double as saves
+from players where game_id % 50 <> 7""",
+)
+def parse_exports(spark, sf):
+    rows = x.player_stats(parsed(spark, sf).filter(F.col("kind") == "player"))
+    return rows.select("replay_id", "color", "player", "team", *FILLED, "saves")
+
+
+@register(
+    "quarantine_exports",
+    f"""with {SIDES}, g as (
+  select game_id, count(*) as rows, count(*) filter (color = 'blue') as blue from sides group by 1)
+select {FOLDER} as folder, game_id || '' as replay_id,
+  case when game_id % 4 = 2 then 'missing_columns' when rows <> 2 then 'team_rows_not_2'
+    when game_id % 50 = 7 then 'no_player_export' end as reject_reason from g""",
+)
+def quarantine_exports(spark, sf):
+    return x.reject_reasons(parsed(spark, sf), ["color", "team name", "score", "goals"])
+
+
+def _sides_sql():
+    out = []
+    for c in COLOURS:
+        for s in SUMMED + AVERAGED:
+            out.append(
+                f"{r6_sql(f'{c[0]}.{s}')} as {c}_{s}" if s in FILLED else f"null::double as {c}_{s}"
+            )
+    return ", ".join(out)
+
+
+@register(
+    "game_rows",
+    f"""with {SIDES}, b as (select * from sides where color = 'blue'), o as (select * from sides where color = 'orange'),
+g as (select distinct game_id from sides where game_id % 50 <> 7)
+select game_id || '' as replay_id, case when game_id % 3 = 2 then 'Playoff 1' else 'Group Stages' end as stage,
+  case game_id % 3 when 0 then 'Group A' when 1 then 'Group B' end as subgroup,
+  {FOLDER} || '/' || game_id || case when game_id % 4 = 2 then '_team.csv' else '-teams.csv' end as source_team_file,
+  coalesce(b.team_file, b.team_players) as blue_team, coalesce(o.team_file, o.team_players) as orange_team,
+  {r6_sql("case when game_id % 4 = 2 then b.goals else b.score end")} as blue_score,
+  {r6_sql("case when game_id % 4 = 2 then o.goals else o.score end")} as orange_score,
+  case when game_id % 4 in (0, 3) then '300' end as game_duration, {_sides_sql()},
+  case when b.goals > o.goals then coalesce(b.team_file, b.team_players)
+       when o.goals > b.goals then coalesce(o.team_file, o.team_players) end as game_winner
+from g left join b using (game_id) left join o using (game_id)""",
+)
+def game_rows(spark, sf):
+    """All exports into the 45-column game table."""
+    out = x.game_rows(parsed(spark, sf))
+    numeric = [c for c, t in out.dtypes if t == "double"]
+    return out.withColumns({c: r6(c) for c in numeric})
+
+
+@register(
+    "aggregate_sides",
+    f"""with {PLAYERS}
+select game_id, cast(sum(goals) filter (color = 'blue') as bigint) as blue_goals,
+  cast(sum(goals) filter (color = 'orange') as bigint) as orange_goals,
+  {r6_sql("avg(discount) filter (color = 'blue')")} as blue_bpm,
+  {r6_sql("avg(discount) filter (color = 'orange')")} as orange_bpm from players group by 1""",
+)
+def aggregate_sides(spark, sf):
+    stats = views.players(spark, sf).withColumn("bpm", F.col("discount"))
+    missing = [s for s in SUMMED + AVERAGED if s not in ("goals", "bpm")]
+    stats = stats.withColumns({s: F.lit(None).cast("double") for s in missing})
+    out = games.aggregate_sides(stats)
+    return out.select("game_id", "blue_goals", "orange_goals", *[r6(f"{c}_bpm").alias(f"{c}_bpm") for c in COLOURS])
+
+
+@register(
+    "aggregate_sides_from_team_rows",
+    f"""with {SIDES}
+select game_id, max(goals) filter (color = 'blue') as blue_goals, max(goals) filter (color = 'orange') as orange_goals
+from sides group by 1""",
+)
+def aggregate_sides_from_team_rows(spark, sf):
+    team = views.players(spark, sf).groupBy("game_id", "color").agg(F.sum("goals").cast("double").alias("goals"))
+    missing = [s for s in SUMMED + AVERAGED if s != "goals"]
+    team = team.withColumns({s: F.lit(None).cast("double") for s in missing})
+    return games.aggregate_sides(team, source="team").select("game_id", "blue_goals", "orange_goals")
+
+
+@register(
+    "team_means",
+    f"""with {PLAYERS}
+select game_id, color, {r6_sql('avg(goals)')} as avg_goals, {r6_sql('avg(line)')} as avg_line,
+  {r6_sql('avg(discount)')} as avg_discount from players group by 1, 2""",
+)
+def team_means(spark, sf):
+    stats = ["goals", "line", "discount"]
+    out = games.team_means(views.players(spark, sf), stats, ["game_id", "color"])
+    return out.withColumns({f"avg_{s}": r6(f"avg_{s}") for s in stats})
+
+
+@register(
+    "colour_to_team",
+    f"""with {PLAYERS}, t as (select game_id, color, arg_max(player || '_' || line, (line, player)) as team from players group by 1, 2)
+select game_id, player, team, count(*) as rows from players join t using (game_id, color) group by 1, 2, 3""",
+)
+def colour_to_team(spark, sf):
+    """The team rows repeat a colour: the last one names all its players."""
+    lines = views.players(spark, sf)
+    teams = lines.select(
+        "game_id",
+        "color",
+        F.concat("player", F.lit("_"), F.col("line").cast("string")).alias("team"),
+        F.struct("line", "player").alias("row_no"),
+    )
+    out = games.colour_to_team(lines.select("game_id", "color", "player"), teams)
+    return out.groupBy("game_id", "player", "team").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@register(
+    "drop_all_null_columns",
+    """select c_custkey, c_name, case when c_custkey % 7 = 0 then c_acctbal end as sometimes from customer""",
+)
+def drop_all_null_columns(spark, sf):
+    df = views.table(spark, sf, "customer").select(
+        "c_custkey",
+        "c_name",
+        F.when(F.col("c_custkey") % 7 == 0, F.col("c_acctbal")).alias("sometimes"),
+        F.when(F.col("c_custkey") < 0, F.col("c_acctbal")).alias("never"),
+        F.lit(None).cast("string").alias("nothing"),
+    )
+    return checks.drop_all_null_columns(df)
+
+
+PAGE_SQL = f"""with src as (
+  select page_id, url, html, case page_id % 4 when 0 then '2024-01-0' || (page_id % 9 + 1) || ' 10:15'
+    when 1 then '2024-01-0' || (page_id % 9 + 1) || ' 10:15 UTC (x)' when 2 then 'unknown' end as shown from pages),
+t as (select *, trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1),
+    '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as title from src)
+select page_id,
+  replace(replace(replace(replace(replace(replace(title, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''),
+    '&nbsp;', ' '), '&amp;', '&') as page_title,
+  shown as replay_date_raw, md5(url) as match_guid, 'EU-' || (page_id % 5) as server,
+  case page_id % 4 when 0 then '2024-01-0' || (page_id % 9 + 1) || ' 16:15:00'
+    when 1 then '2024-01-0' || (page_id % 9 + 1) || ' 10:15:00' end as replay_timestamp_utc,
+  case page_id % 4 when 0 then 'display_clock_assumed_-06' when 1 then 'explicit_utc' end as timestamp_method,
+  page_id % 4 < 2 as scrape_success,
+  case page_id % 4 when 3 then 'replay_date_tag_not_found' when 2 then 'replay_date_parse_failed' end as error from t"""
+
+
+@register("extract_page_fields", PAGE_SQL)
+def page_fields(spark, sf):
+    """Whole pages, with a replay block appended that differs from page to page."""
+    k = F.col("page_id") % 4
+    day = F.concat(F.lit("2024-01-0"), (F.col("page_id") % 9 + 1).cast("string"))
+    shown = (
+        F.when(k == 0, F.concat(day, F.lit(" 10:15")))
+        .when(k == 1, F.concat(day, F.lit(" 10:15 UTC (x)")))
+        .when(k == 2, "unknown")
+    )
+    block = F.concat(
+        F.coalesce(
+            F.concat(F.lit('<span class="d" title="When the game took place"><b>'), shown, F.lit("</b></span>")),
+            F.lit(""),
+        ),
+        F.lit("<p>MatchGUID: "),
+        F.md5("url"),
+        F.lit("</p><!-- Server: none --><p>Server:&nbsp;EU-"),
+        (F.col("page_id") % 5).cast("string"),
+        F.lit("</p>"),
+    )
+    pages = views.table(spark, sf, "pages").select("page_id", F.concat("html", block).alias("html"))
+    return (
+        extract_page_fields(pages)
+        .withColumn("replay_timestamp_utc", stamp("replay_timestamp_utc"))
+        .drop("html")
+    )
+
+
+@register(
+    "keys_to_fetch",
+    """select distinct user_id::varchar as user_id from events
+where user_id::varchar not in (select user_id::varchar from events where event_type = 'signup' and value > 90)""",
+)
+def keys_to_fetch(spark, sf):
+    log = views.table(spark, sf, "events").select("user_id", "event_type", "value")
+    done = log.filter((F.col("event_type") == "signup") & (F.col("value") > 90))
+    return tables.keys_to_fetch(log, "user_id", done)
+
+
+@register(
+    "distinct_keys",
+    "select distinct user_id::varchar as user_id from events where user_id is not null",
+)
+def distinct_keys(spark, sf):
+    return tables.keys_to_fetch(views.table(spark, sf, "events"), "user_id")
+
+
+@register(
+    "upsert_latest",
+    """select user_id, event_id, event_type from events
+qualify row_number() over (partition by user_id order by event_id desc) = 1""",
+)
+def upsert_latest(spark, sf):
+    log = views.table(spark, sf, "events").select("user_id", "event_id", "event_type")
+    old, new = log.filter(F.col("event_type") != "error"), log.filter(F.col("event_type") == "error")
+    return tables.upsert_latest(old, new, "user_id", "event_id")
+
+
+@register(
+    "player_history",
+    f"""with {PLAYERS}
+select player, max(goals)::double as career_games, null::double as career_rating from players group by 1""",
+)
+def player_history(spark, sf):
+    raw = views.players(spark, sf).select(
+        F.concat(F.lit(" "), "player").alias("player_name"), F.col("goals").cast("string").alias("career_games")
+    )
+    return tables.player_history(raw).select("player", "career_games", "career_rating")
+
+
+@register(
+    "write_stage",
+    f"""with {GAMES} select tournament, stage, count(*) as games, cast(sum(blue_goals) as bigint) as goals
+from games where tournament_order >= 2 group by 1, 2""",
+)
+def write_stage(spark, sf):
+    """Games written by tournament into the shared folder, read back with pruning."""
+    path = scratch_table(spark, "games")
+    columns = ["game_id", "stage", "blue_goals", "tournament", "tournament_order"]
+    tables.write_stage(views.games(spark, sf), path, columns, partition_by=["tournament"])
+    back = spark.read.parquet(path).filter(F.col("tournament").isin("Open 2", "Open 3"))
+    return back.groupBy("tournament", "stage").agg(
+        F.count(F.lit(1)).alias("games"), F.sum("blue_goals").alias("goals")
+    )
+
+
+@register(
+    "quarantine_rows",
+    f"""with {GAMES}
+select game_id, case when blue_team is null or orange_team is null then 'no_team_name'
+  when blue_goals = orange_goals then 'no_winner' end as reject_reason from games""",
+)
+def quarantine_rows(spark, sf):
+    rules = {
+        "no_team_name": F.col("blue_team").isNull() | F.col("orange_team").isNull(),
+        "no_winner": F.col("blue_goals") == F.col("orange_goals"),
+    }
+    return checks.quarantine(views.games(spark, sf), rules).select("game_id", "reject_reason")
