@@ -19,6 +19,7 @@ from seriesmill.sources import tables
 from seriesmill.sources.pages import extract_page_fields
 
 ROOT = "/raw"
+NO_PLAYER_EXPORT = 50  # a game with a player of so many goals lacks its player export
 
 
 def _by_layout(*options):
@@ -86,9 +87,12 @@ def export_files(spark, sf):
         F.lit("color;player name;goals;assists;shooting %;bpm;avg boost amount;demos taken"),
     )
     player = (
-        lines.filter(F.col("game_id") % 50 != 7)
-        .groupBy("game_id", "layout")
-        .agg(F.array_join(F.array_sort(F.collect_list(player_line)), "\n").alias("t"))
+        lines.groupBy("game_id", "layout")
+        .agg(
+            F.array_join(F.array_sort(F.collect_list(player_line)), "\n").alias("t"),
+            F.max("goals").alias("top"),
+        )
+        .filter(F.col("top") < NO_PLAYER_EXPORT)
         .select(
             path(F.when(F.col("layout") == 2, "_player.csv").otherwise("-players.csv")).alias("path"),
             F.concat_ws("\n", player_header, "t").alias("content"),
@@ -109,7 +113,7 @@ sides as (
   select game_id, color, sum(goals)::double as goals, sum(score)::double as score, sum(line)::double as assists,
     avg(discount) as shooting_percentage, case when game_id % 4 <> 2 then avg(tax) end as bpm,
     case when game_id % 4 <> 2 then avg(goals) end as avg_boost,
-    sum(case when line % 3 <> 0 then line end)::double as demos_taken, count(*) as n,
+    sum(case when line % 3 <> 0 then line end)::double as demos_taken, count(*) as n, max(goals) as top,
     case when game_id % 4 = 3 then color || ';' || (game_id % 7) when game_id % 20 = 0 then null
       else color || '_' || (game_id % 7) end as team_file,
     case when game_id % 4 = 1 then color || '-club' end as team_players
@@ -120,10 +124,10 @@ FILLED = ("goals", "assists", "shooting_percentage", "bpm", "avg_boost", "demos_
 
 @register(
     "path_fields",
-    f"""with {PLAYERS}, g as (select distinct game_id from players), f as (
+    f"""with {PLAYERS}, g as (select game_id, max(goals) as top from players group by 1), f as (
   select game_id, 'team' as kind, case when game_id % 4 = 2 then '_team.csv' else '-teams.csv' end as ending from g
   union all
-  select game_id, 'player', case when game_id % 4 = 2 then '_player.csv' else '-players.csv' end from g where game_id % 50 <> 7)
+  select game_id, 'player', case when game_id % 4 = 2 then '_player.csv' else '-players.csv' end from g where top < 50)
 select kind, game_id || '' as replay_id, {FOLDER} as folder, {FOLDER} || '/' || game_id || ending as source_file,
   case when game_id % 3 = 2 then 'Playoff 1' else 'Group Stages' end as stage,
   case game_id % 3 when 0 then 'Group A' when 1 then 'Group B' end as subgroup from f""",
@@ -135,12 +139,12 @@ def path_fields(spark, sf):
 
 @register(
     "pair_files",
-    f"""with {PLAYERS}, g as (select distinct game_id from players)
+    f"""with {PLAYERS}, g as (select game_id, max(goals) as top from players group by 1)
 select {FOLDER} as folder, game_id || '' as replay_id,
   {FOLDER} || '/' || game_id || case when game_id % 4 = 2 then '_team.csv' else '-teams.csv' end as team_file,
-  case when game_id % 50 <> 7 then {FOLDER} || '/' || game_id ||
+  case when top < 50 then {FOLDER} || '/' || game_id ||
     case when game_id % 4 = 2 then '_player.csv' else '-players.csv' end end as player_file,
-  case when game_id % 50 <> 7 then 1::bigint end as player_files from g""",
+  case when top < 50 then 1::bigint end as player_files from g""",
 )
 def pair_files(spark, sf):
     return x.pair_files(x.with_path_fields(export_files(spark, sf), ROOT))
@@ -153,7 +157,7 @@ select game_id || '' as replay_id, color, player, case when game_id % 4 = 1 then
   goals::double as goals, line::double as assists, discount as shooting_percentage,
   case when game_id % 4 <> 2 then tax end as bpm, case when game_id % 4 <> 2 then goals::double end as avg_boost,
   case when line % 3 <> 0 then line::double end as demos_taken, null::double as saves
-from players where game_id % 50 <> 7""",
+from players where game_id not in (select game_id from players where goals >= 50)""",
 )
 def parse_exports(spark, sf):
     rows = x.player_stats(parsed(spark, sf).filter(F.col("kind") == "player"))
@@ -163,10 +167,10 @@ def parse_exports(spark, sf):
 @register(
     "quarantine_exports",
     f"""with {SIDES}, g as (
-  select game_id, count(*) as rows, count(*) filter (color = 'blue') as blue from sides group by 1)
+  select game_id, count(*) as rows, max(top) as top from sides group by 1)
 select {FOLDER} as folder, game_id || '' as replay_id,
   case when game_id % 4 = 2 then 'missing_columns' when rows <> 2 then 'team_rows_not_2'
-    when game_id % 50 = 7 then 'no_player_export' end as reject_reason from g""",
+    when top >= 50 then 'no_player_export' end as reject_reason from g""",
 )
 def quarantine_exports(spark, sf):
     return x.reject_reasons(parsed(spark, sf), ["color", "team name", "score", "goals"])
@@ -185,7 +189,7 @@ def _sides_sql():
 @register(
     "game_rows",
     f"""with {SIDES}, b as (select * from sides where color = 'blue'), o as (select * from sides where color = 'orange'),
-g as (select distinct game_id from sides where game_id % 50 <> 7)
+g as (select game_id from sides group by 1 having max(top) < 50)
 select game_id || '' as replay_id, case when game_id % 3 = 2 then 'Playoff 1' else 'Group Stages' end as stage,
   case game_id % 3 when 0 then 'Group A' when 1 then 'Group B' end as subgroup,
   {FOLDER} || '/' || game_id || case when game_id % 4 = 2 then '_team.csv' else '-teams.csv' end as source_team_file,
