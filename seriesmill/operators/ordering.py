@@ -141,6 +141,8 @@ def exact_quantiles(
     Equal values are counted first, ranks come from piece totals, and only the two
     values next to each rank are kept, so no task ever holds a whole key.
     """
+    if not keys:
+        return exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, name).drop("__all")
     counts = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("__v"))
@@ -160,10 +162,7 @@ def exact_quantiles(
     )
     ranked = join_null_safe(cut.withColumn("__below", below), offsets, keys + names)
     ranked = ranked.withColumn("__from", F.col("__below") + F.col("before___n"))
-    if keys:
-        ranked = join_null_safe(ranked, sizes, keys)
-    else:
-        ranked = ranked.join(F.broadcast(sizes))  # one row
+    ranked = join_null_safe(ranked, sizes, keys)
     targets = F.array(*[F.lit(float(p)) for p in probs])
     hit = ranked.select(
         *keys, "__v", "__from", "__c", "__size", F.explode(targets).alias("prob")

@@ -1 +1,99 @@
-"""Registered queries."""
+"""Preprocessing and models on the whole modelling table, fold by fold."""
+
+from __future__ import annotations
+
+from functools import partial
+
+from pyspark.sql import functions as F
+
+from seriesmill.evaluation import metrics as m
+from seriesmill.models import fit
+from seriesmill.models.preprocess import fit_median_imputer, fit_standard_scaler
+from seriesmill.operators import dataset as d
+from seriesmill.operators import profile
+from seriesmill.plans.catalog import r6, r6_sql, register
+from seriesmill.plans.queries_dataset import PREDICTORS, TABLE_SQL, modelling_table
+
+# Trees per forest here; the library's default is the 1000 of a full run.
+TREES = 40
+
+MEDIANS = f"""{TABLE_SQL}, med as (
+  select {", ".join(f'median("{c}") as "{c}"' for c in PREDICTORS)} from modelling where tournament_order <= 1),
+filled as (select m.contest_id, m.tournament_order, {", ".join(f'coalesce(m."{c}", med."{c}") as "{c}"' for c in PREDICTORS)}
+  from modelling m, med)"""
+
+
+def table(spark, sf):
+    return fit.written(modelling_table(spark, sf))
+
+
+@register(
+    "median_imputer",
+    f"""{MEDIANS} select contest_id, {", ".join(f'{r6_sql(chr(34) + c + chr(34))} as "{c}"' for c in PREDICTORS)} from filled""",
+)
+def median_imputer(spark, sf):
+    """Medians of the first fold's training rows fill the holes of every row."""
+    rows = table(spark, sf)
+    imputer = fit_median_imputer(rows.filter(F.col("fold1_role") == "train"), PREDICTORS)
+    return imputer.transform(rows).select("contest_id", *[r6(F.col(c)).alias(c) for c in PREDICTORS])
+
+
+@register(
+    "standard_scaler",
+    f"""{MEDIANS}, mom as (select {", ".join(f'avg("{c}") as "m{i}", case when min("{c}") = max("{c}") then 1 else stddev_pop("{c}") end as "s{i}"'
+      for i, c in enumerate(PREDICTORS))} from filled where tournament_order <= 1)
+select contest_id, {", ".join(f'''{r6_sql(f'("{c}" - m{i}) / s{i}')} as "{c}"''' for i, c in enumerate(PREDICTORS))} from filled, mom""",
+)
+def standard_scaler(spark, sf):
+    rows = table(spark, sf)
+    train = F.col("fold1_role") == "train"
+    filled = fit_median_imputer(rows.filter(train), PREDICTORS).transform(rows)
+    scaler = fit_standard_scaler(filled.filter(train), PREDICTORS)
+    return scaler.transform(filled).select("contest_id", *[r6(F.col(c)).alias(c) for c in PREDICTORS])
+
+
+def _run(spark, sf, how):
+    rows = d.missing_indicators(table(spark, sf), PREDICTORS)
+    features = PREDICTORS + [c for c in rows.columns if c.endswith(d.MISSING_SUFFIX)]
+    return fit.run_temporal_folds(rows, features, 2, how, ["contest_id"])
+
+
+@register("logistic_folds")
+def logistic_folds(spark, sf):
+    return _run(spark, sf, fit.fit_logistic)[0]
+
+
+@register("logistic_metrics")
+def logistic_metrics(spark, sf):
+    scored, _ = _run(spark, sf, fit.fit_logistic)
+    return m.metrics_by_scope(scored.withColumn("model", F.lit("logistic_regression")))
+
+
+@register("strongest_coefficients")
+def strongest_coefficients(spark, sf):
+    """The 12 largest coefficients of each fold."""
+    _, fitted = _run(spark, sf, fit.fit_logistic)
+    order = [F.desc("absolute_coefficient"), F.asc("feature")]
+    return profile.top_per_group(fit.coefficient_table(spark, fitted), ["fold"], order, 12)
+
+
+@register("forest_folds")
+def forest_folds(spark, sf):
+    return _run(spark, sf, partial(fit.fit_forest, trees=TREES))[0]
+
+
+@register("forest_importances")
+def forest_importances(spark, sf):
+    _, fitted = _run(spark, sf, partial(fit.fit_forest, trees=TREES))
+    return fit.importance_table(spark, fitted)
+
+
+@register("mlp_folds")
+def mlp_folds(spark, sf):
+    return _run(spark, sf, fit.fit_mlp)[0]
+
+
+@register("mlp_diagnostics")
+def mlp_diagnostics(spark, sf):
+    _, fitted = _run(spark, sf, fit.fit_mlp)
+    return fit.training_diagnostics(spark, fitted)
