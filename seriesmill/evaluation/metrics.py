@@ -105,9 +105,15 @@ def with_rates(table: DataFrame) -> DataFrame:
     )
 
 
+def _log_loss_of(p: Column, positive: bool) -> Column:
+    """Loss of one prediction whose target is known, with the score kept off 0 and 1."""
+    kept = F.greatest(F.least(p, F.lit(1.0 - EPSILON)), F.lit(EPSILON))
+    return -F.log(kept if positive else 1 - kept)
+
+
 def log_loss_term() -> Column:
-    p = F.greatest(F.least(F.col("probability"), F.lit(1.0 - EPSILON)), F.lit(EPSILON))
-    return -F.log(F.when(F.col("target") == 1, p).otherwise(1 - p))
+    p = F.col("probability")
+    return F.when(F.col("target") == 1, _log_loss_of(p, True)).otherwise(_log_loss_of(p, False))
 
 
 def brier_term() -> Column:
@@ -133,12 +139,14 @@ def _by_score(preds: DataFrame, keys: list[str], weight: str | None) -> DataFram
 
 
 def roc_auc(preds: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """AUC per key: won pairs plus half the tied ones; null with one class only.
+    """AUC per key: won pairs plus half the tied ones; null with one class only."""
+    return _area(_by_score(preds, keys, weight), keys)
 
-    ``u`` counts such pairs inside a slice of scores; slices merge like sums, plus every
-    positive above times every negative below.
-    """
-    cut, levels = with_levels(_by_score(preds, keys, weight), value_levels(F.col("probability")))
+
+def _area(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """``u`` counts won and half the tied pairs inside a slice of scores; slices merge
+    like sums, plus every positive above times every negative below."""
+    cut, levels = with_levels(scores, value_levels(F.col("probability")))
     order = ["probability", *reversed(levels)]
     pairs = cut.withColumn("u", F.col("pos") * F.col("neg") / F.lit(2.0))
     for depth in range(len(levels), -1, -1):
@@ -156,21 +164,30 @@ def roc_auc(preds: DataFrame, keys: list[str], weight: str | None = None) -> Dat
 
 
 def metric_table(preds: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
-    """All metrics per key in one row."""
-    w, y, c = _weight(weight), F.col("target"), F.col("prediction")
+    """All metrics per key in one row.
 
-    def cell(target: int, prediction: int) -> Column:
-        return F.sum(F.when((y == target) & (c == prediction), w).otherwise(0))
-
-    sums = preds.groupBy(*keys).agg(
-        cell(0, 0).alias("tn"),
-        cell(0, 1).alias("fp"),
-        cell(1, 0).alias("fn"),
-        cell(1, 1).alias("tp"),
-        (F.sum(w * log_loss_term()) / F.sum(w)).alias("log_loss"),
-        (F.sum(w * brier_term()) / F.sum(w)).alias("brier_score"),
+    Every metric depends on (score, class, target) only, so equal ones are merged first
+    and the predictions are read and shuffled once.
+    """
+    w, y, p = _weight(weight), F.col("target"), F.col("probability")
+    merged = preds.groupBy(*keys, "probability", "prediction").agg(
+        F.sum(F.when(y == 1, w).otherwise(0)).alias("pos"),
+        F.sum(F.when(y == 0, w).otherwise(0)).alias("neg"),
+    )
+    yes = F.col("prediction") == 1
+    n = F.sum(F.col("pos") + F.col("neg"))
+    losses = F.col("pos") * _log_loss_of(p, True) + F.col("neg") * _log_loss_of(p, False)
+    misses = F.col("pos") * (p - 1) * (p - 1) + F.col("neg") * p * p
+    sums = merged.groupBy(*keys).agg(
+        F.sum(F.when(~yes, F.col("neg")).otherwise(0)).alias("tn"),
+        F.sum(F.when(yes, F.col("neg")).otherwise(0)).alias("fp"),
+        F.sum(F.when(~yes, F.col("pos")).otherwise(0)).alias("fn"),
+        F.sum(F.when(yes, F.col("pos")).otherwise(0)).alias("tp"),
+        (F.sum(losses) / n).alias("log_loss"),
+        (F.sum(misses) / n).alias("brier_score"),
     )
-    return join_null_safe(with_rates(sums), roc_auc(preds, keys, weight), keys)
+    scores = merged.groupBy(*keys, "probability").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return join_null_safe(with_rates(sums), _area(scores, keys), keys)
 
 
 def metrics_by_scope(preds: DataFrame) -> DataFrame:

@@ -25,7 +25,8 @@ def valid_name(c: Column) -> Column:
 def to_double_lenient(c: Column) -> Column:
     """Number or null; never an error. NaN and Java's 1d/1f literals are null too."""
     text = F.trim(c.cast("string"))
-    value = F.when(~text.rlike("[dDfF]$") | F.lower(text).rlike("inf$"), text).try_cast("double")
+    java_only = F.lower(F.right(text, F.lit(1))).isin("d", "f") & ~F.lower(F.right(text, F.lit(3))).eqNullSafe("inf")
+    value = F.when(~java_only, text).try_cast("double")
     return F.when(~F.isnan(value), value)
 
 

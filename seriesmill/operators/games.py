@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.rosters import matchup_fingerprint
@@ -66,20 +66,23 @@ def player_matchups(players: DataFrame, game: str = "game_id", distinct: bool =
     )
 
 
+def side_cells(colour: Column, source: str = "players") -> list[Column]:
+    """blue_*/orange_* aggregates of the statistics columns."""
+    cells = []
+    for c in COLOURS:
+        for s in SUMMED + AVERAGED:
+            how = F.max if source == "team" else (F.sum if s in SUMMED else F.avg)
+            cells.append(how(F.when(colour == c, F.col(s))).alias(f"{c}_{s}"))
+    return cells
+
+
 def aggregate_sides(stats: DataFrame, game: str = "game_id", source: str = "players") -> DataFrame:
     """blue_*/orange_* statistics per game, null where every value is null.
 
     ``source='players'`` sums counts and averages rates over a side's players;
     ``source='team'`` copies the one row a team export has per colour.
     """
-    colour = F.lower(F.trim("color"))
-    cells = []
-    for c in COLOURS:
-        for s in SUMMED + AVERAGED:
-            mine = F.when(colour == c, F.col(s))
-            how = F.max if source == "team" else (F.sum if s in SUMMED else F.avg)
-            cells.append(how(mine).alias(f"{c}_{s}"))
-    return stats.groupBy(game).agg(*cells)
+    return stats.groupBy(game).agg(*side_cells(F.lower(F.trim("color")), source))
 
 
 def team_means(players: DataFrame, stats: list[str], keys: list[str]) -> DataFrame:

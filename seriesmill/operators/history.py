@@ -45,11 +45,12 @@ def _latest(arrays: Column, k: int) -> Column:
     return F.slice(F.flatten(arrays), 1, k)
 
 
-def _moments(rows: DataFrame, k: int) -> DataFrame:
+def _moments(rows: DataFrame, k: int, bucket: str) -> DataFrame:
     """One row per team and timestamp: totals, its newest k results, wins since a loss.
 
     Contests sharing a timestamp are first gathered in pieces of at most ``ID_PIECE``
-    ids each, so a crowded moment of one team is spread over tasks.
+    ids each, so a crowded moment of one team is spread over tasks. The result is laid
+    out by (team, bucket), as the scan that follows needs it.
     """
     decided = F.col("won").isNotNull()
     games = F.col("game_wins") + F.col("game_losses")
@@ -102,10 +103,13 @@ def _moments(rows: DataFrame, k: int) -> DataFrame:
         lambda acc, p: F.when(p["losses"] > 0, p["tail_wins"]).otherwise(acc + p["tail_wins"]),
     )
     return (
-        pieces.groupBy("team", "ts")
+        pieces.withColumn("bucket", F.date_trunc(bucket, "ts"))
+        .repartition("team", "bucket")
+        .groupBy("team", "bucket", "ts")
         .agg(*[F.sum(t).alias(t) for t in TOTALS], newest_first.alias("pieces"))
         .select(
             "team",
+            "bucket",
             "ts",
             *TOTALS,
             F.nullif(_latest(F.transform("pieces", lambda p: p["newest"]), k), F.array()).alias("newest"),
@@ -135,7 +139,7 @@ def team_history(contests: DataFrame, windows: tuple[int, ...] = WINDOWS, bucket
     each (team, bucket) and then over the team's buckets, never over all its rows.
     """
     k = max(windows)
-    moments = _moments(participants(contests), k).withColumn("bucket", F.date_trunc(bucket, "ts"))
+    moments = _moments(participants(contests), k, bucket)
     before = (
         Window.partitionBy("team", "bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
     )

@@ -16,8 +16,10 @@ from seriesmill.operators.ordering import (
 
 CHUNK = 128  # games folded in one array
 FAN_IN = 1024  # chunk functions folded in one array
-SLOT = 32  # wins of one side inside a state code; wins needed stay below it
-CLOSED = SLOT * SLOT  # one closed segment in a state code
+BITS = 5  # of a state code for the wins of one side: up to 31 wins may be needed
+LOW = (1 << BITS) - 1
+STATE = (1 << 2 * BITS) - 1
+CLOSED = 1 << 2 * BITS  # one closed segment in a state code
 
 
 def sessionise(
@@ -76,24 +78,24 @@ def number_in_group(
 
 
 def _advance(code: Column, winner: Column, need: Column) -> Column:
-    a = F.floor(code / SLOT) % SLOT + F.when(winner == "A", 1).otherwise(0)
-    b = code % SLOT + F.when(winner == "B", 1).otherwise(0)
-    closed = code - code % CLOSED
-    return F.when((a >= need) | (b >= need), closed + CLOSED).otherwise(closed + a * SLOT + b).cast("long")
+    a = F.shiftright(code, BITS).bitwiseAND(LOW) + F.when(winner == "A", 1).otherwise(0)
+    b = code.bitwiseAND(LOW) + F.when(winner == "B", 1).otherwise(0)
+    closed = code - code.bitwiseAND(STATE)
+    return F.when((a >= need) | (b >= need), closed + CLOSED).otherwise(closed + F.shiftleft(a, BITS) + b)
 
 
 def _all_states(need: Column) -> Column:
     return F.transform(
-        F.sequence(F.lit(0), need * need - 1),
-        lambda i: (F.floor(i / need) * SLOT + i % need).cast("long"),
+        F.sequence(F.lit(0).cast("long"), need * need - 1),
+        lambda i: F.shiftleft(F.floor(i / need), BITS) + i % need,
     )
 
 
 def _apply(function: Column, code: Column, need: Column) -> Column:
     """State after ``function`` when it starts from ``code``; closed segments add up."""
-    state = code % CLOSED
-    at = F.floor(state / SLOT) * need + state % SLOT
-    return (code - state + F.get(function, at.cast("int"))).cast("long")
+    state = code.bitwiseAND(STATE)
+    at = F.shiftright(state, BITS) * need + state.bitwiseAND(LOW)
+    return code - state + F.get(function, at.cast("int"))
 
 
 def _entering(functions: DataFrame, keys: list[str], depth: int) -> DataFrame:
@@ -185,7 +187,7 @@ def split_by_threshold(
         ),
         lambda acc, w: F.struct(
             _advance(acc["code"], w, F.col("need")).alias("code"),
-            F.concat(acc["seen"], F.array(F.floor(acc["code"] / CLOSED) + 1)).alias("seen"),
+            F.concat(acc["seen"], F.array(F.shiftright(acc["code"], 2 * BITS) + 1)).alias("seen"),
         ),
     )
     pairs = F.arrays_zip(F.transform("rows", lambda r: r["row"]).alias("row"), walked["seen"].alias("seg"))

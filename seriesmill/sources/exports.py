@@ -87,13 +87,14 @@ def _cells(line: Column, sep: str) -> Column:
     raw = F.regexp_extract_all(
         F.concat(F.lit(sep), line), F.lit(s + '("(?:[^"]|"")*"|[^' + s + "]*)"), F.lit(1)
     )
-    return F.transform(
+    unquoted = F.transform(
         raw,
         lambda c: F.when(
             c.startswith('"') & c.endswith('"') & (F.length(c) >= 2),
             F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"')),
         ).otherwise(c),
     )
+    return F.when(line.contains('"'), unquoted).otherwise(F.split(line, s))
 
 
 def normalise_headers(names: Column) -> Column:
@@ -109,21 +110,26 @@ def parse_exports(files: DataFrame, sep: str = ";") -> DataFrame:
     """
     lines = F.filter(F.split("content", "\r?\n"), lambda x: F.trim(F.replace(x, F.lit("\ufeff"))) != "")
     header = normalise_headers(_cells(F.get(lines, F.lit(0)), sep))
-    out = files.withColumns({"__header": header, "__lines": F.slice(lines, 2, 2147483646)}).drop("content")
-    out = out.select("*", F.posexplode("__lines").alias("row_no", "__line")).drop("__lines")
-    values = _cells(F.col("__line"), sep)
-    pairs = F.transform(
-        "__header", lambda h, i: F.struct(h.alias("h"), i.alias("i"), F.get(F.col("__v"), i).alias("v"))
+    named = F.transform("__header", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+    first = F.filter(named, lambda p: F.array_position(F.col("__header"), p["h"]) == p["i"] + 1)
+    out = (
+        files.withColumns({"__header": header, "__lines": F.slice(lines, 2, 2147483646)})
+        .withColumn("__names", first)
+        .drop("content", "__header")
     )
-    first = F.filter(pairs, lambda p: F.array_position(F.col("__header"), p["h"]) == p["i"] + 1)
-    cells = F.map_from_entries(
-        F.transform(first, lambda p: F.struct(p["h"], F.nullif(F.trim(p["v"]), F.lit("")).alias("v")))
+    out = out.select("*", F.posexplode("__lines").alias("row_no", "__line")).drop("__lines")
+    values = F.transform(
+        "__names",
+        lambda p: F.struct(p["h"], F.nullif(F.trim(F.get(F.col("__cells"), p["i"])), F.lit("")).alias("v")),
     )
-    return out.withColumn("__v", values).withColumn("cells", cells).drop("__header", "__line", "__v")
+    out = out.withColumn("__cells", _cells(F.col("__line"), sep))
+    return out.withColumn("cells", F.map_from_entries(values)).drop("__names", "__line", "__cells")
 
 
 def cell(names: list[str]) -> Column:
     """The first of several synonymous columns that the file has."""
+    if len(names) == 1:
+        return F.col("cells")[names[0]]
     found = None
     for n in names:
         value = F.col("cells")[n]
@@ -212,34 +218,56 @@ def game_rows(rows: DataFrame) -> DataFrame:
     """45 columns per game: identity, scores, both sides' statistics and the winner.
 
     Names come from the team export, else from the first named player row of the colour.
+    Games without one of the two exports are left out; ``reject_reasons`` names them.
     """
     from seriesmill.functions.rules import winner_from_goals
-    from seriesmill.operators.games import COLOURS, aggregate_sides
+    from seriesmill.operators.games import COLOURS, side_cells
 
-    team = team_rows(rows.filter(F.col("kind") == "team"))
-    players = player_stats(rows.filter(F.col("kind") == "player"))
-    keys = ["folder", "replay_id"]
+    team, player = F.col("kind") == "team", F.col("kind") == "player"
+    colour = F.lower(F.trim(cell(COLOUR_NAMES)))
+    typed = rows.select(
+        "folder",
+        "replay_id",
+        "kind",
+        "row_no",
+        "stage",
+        "subgroup",
+        "source_file",
+        colour.alias("color"),
+        F.when(team, blank_to_null(cell(TEAM_FILE_NAMES)))
+        .otherwise(blank_to_null(cell(PLAYER_FILE_TEAM_NAMES)))
+        .alias("team"),
+        F.when(
+            team, F.coalesce(to_double_lenient(cell(["score"])), to_double_lenient(cell(["goals"])))
+        ).alias("score"),
+        cell(DURATION_NAMES).alias("duration"),
+        *[F.when(player, to_double_lenient(cell(SYNONYMS[s]))).alias(s) for s in SUMMED + AVERAGED],
+    )
 
     def first(column: str, where: Column) -> Column:
         return F.min_by(F.col(column), F.when(where, F.col("row_no")))
 
-    identity = team.groupBy(*keys).agg(
-        F.min("stage").alias("stage"),
-        F.min("subgroup").alias("subgroup"),
-        F.min("source_file").alias("source_team_file"),
-        *[first("team", F.col("color") == c).alias(f"{c}_team_file") for c in COLOURS],
-        *[first("score", F.col("color") == c).alias(f"{c}_score") for c in COLOURS],
-        first("duration", F.col("duration").isNotNull()).alias("game_duration"),
-    )
-    named = players.groupBy(*keys).agg(
-        *[
-            first("team", (F.col("color") == c) & F.col("team").isNotNull()).alias(f"{c}_team_players")
-            for c in COLOURS
-        ]
+    known = F.col("team").isNotNull()
+    # Team and player rows of a game meet in one aggregate: one shuffle, partly summed before.
+    out = (
+        typed.groupBy("folder", "replay_id")
+        .agg(
+            F.bool_or(team).alias("__team"),
+            F.bool_or(player).alias("__player"),
+            F.min(F.when(team, F.col("stage"))).alias("stage"),
+            F.min(F.when(team, F.col("subgroup"))).alias("subgroup"),
+            F.min(F.when(team, F.col("source_file"))).alias("source_team_file"),
+            *[first("team", team & (F.col("color") == c)).alias(f"{c}_team_file") for c in COLOURS],
+            *[first("team", player & known & (F.col("color") == c)).alias(f"{c}_team_players") for c in COLOURS],
+            *[first("score", team & (F.col("color") == c)).alias(f"{c}_score") for c in COLOURS],
+            F.min_by(
+                "duration",
+                F.when(F.col("duration").isNotNull(), F.struct((~team).alias("second"), F.col("row_no"))),
+            ).alias("game_duration"),
+            *side_cells(F.col("color")),
+        )
+        .filter(F.col("__team") & F.col("__player"))
     )
-    sides = aggregate_sides(players.withColumn("game", F.struct(*keys)), "game")
-    sides = sides.select("game.*", *[c for c in sides.columns if c != "game"])
-    out = identity.join(named, keys).join(sides, keys)
     out = out.withColumns({f"{c}_team": F.coalesce(f"{c}_team_file", f"{c}_team_players") for c in COLOURS})
     winner = winner_from_goals(
         F.col("blue_goals"), F.col("orange_goals"), F.col("blue_team"), F.col("orange_team")
