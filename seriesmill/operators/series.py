@@ -173,7 +173,7 @@ def split_by_threshold(
         "id",
         F.when(
             F.col("id") == 0,
-            F.transform(_all_states(F.col("need")), lambda _: F.get(ends, F.lit(0))),
+            F.array_repeat(F.get(ends, F.lit(0)), (F.col("need") * F.col("need")).cast("int")),
         )
         .otherwise(ends)
         .alias("function"),

@@ -36,21 +36,15 @@ SYNONYMS = {
     "demos_inflicted": ["demos inflicted", "demos inflicted on opponents", "demos_inflicted"],
     "demos_taken": ["demos taken", "demos received", "demos_taken"],
 }
-COLOUR_NAMES = ["color", "team color"]
+SYNONYMS |= {"color": ["color", "team color"], "duration": ["game duration", "duration"]}
 TEAM_FILE_NAMES = ["team name", "name", "team"]
 PLAYER_FILE_TEAM_NAMES = ["team name", "team"]
 PLAYER_NAMES = ["player name", "player", "name"]
-DURATION_NAMES = ["game duration", "duration"]
 
 
 def read_exports(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
     """(path, content) of every matching file below ``root``; one file is one game side."""
-    files = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", pattern)
-        .option("wholetext", "true")
-        .text(root)
-    )
+    files = spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
     path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
     return files.select(path.alias("path"), F.col("value").alias("content"))
 
@@ -102,34 +96,55 @@ def normalise_headers(names: Column) -> Column:
     return F.transform(names, lambda h: F.lower(F.trim(F.regexp_replace(h, "^\ufeff", ""))))
 
 
+def _named_columns(header: Column) -> Column:
+    """(name, preference, index) of each header cell, the preferred synonym first."""
+    preference = {w: (name, i) for name, words in SYNONYMS.items() for i, w in enumerate(words)}
+    known = F.create_map(
+        *[x for w, (n, i) in preference.items() for x in (F.lit(w), F.struct(F.lit(n).alias("n"), F.lit(i).alias("p")))]
+    )
+
+    def named(h: Column, i: Column) -> Column:
+        hit = F.try_element_at(known, h)
+        return F.struct(
+            F.coalesce(hit["n"], h).alias("n"), F.coalesce(hit["p"], F.lit(0)).alias("p"), i.alias("i")
+        )
+
+    return F.array_sort(F.transform(header, named))
+
+
 def parse_exports(files: DataFrame, sep: str = ";") -> DataFrame:
-    """One row per data line: the other columns, ``row_no`` from 0 and ``cells``.
+    """One row per data line: the other columns, ``header``, ``row_no`` from 0, ``cells``.
 
-    ``cells`` maps header to text; a repeated header keeps its first column, missing and
-    blank cells are null.
+    ``cells`` maps a column's name to its text. Synonyms of statistics, colour and
+    duration go by one name; where a file has several, or repeats one, the preferred or
+    first column counts. Missing and blank cells are null.
     """
     lines = F.filter(F.split("content", "\r?\n"), lambda x: F.trim(F.replace(x, F.lit("\ufeff"))) != "")
-    header = normalise_headers(_cells(F.get(lines, F.lit(0)), sep))
-    named = F.transform("__header", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
-    first = F.filter(named, lambda p: F.array_position(F.col("__header"), p["h"]) == p["i"] + 1)
     out = (
-        files.withColumns({"__header": header, "__lines": F.slice(lines, 2, 2147483646)})
-        .withColumn("__names", first)
-        .drop("content", "__header")
+        files.withColumn("__all", lines)
+        .withColumn("header", normalise_headers(_cells(F.get("__all", F.lit(0)), sep)))
+        .withColumn("__sorted", _named_columns(F.col("header")))
+        .withColumn(
+            "__names",
+            F.filter(
+                "__sorted",
+                lambda e, i: (i == 0) | (F.get(F.col("__sorted"), i - 1)["n"] != e["n"]),
+            ),
+        )
+        # Lines are cut before they become rows: a lambda would cut its line once per cell.
+        .withColumn("__lines", F.transform(F.slice("__all", 2, 2147483646), lambda x: _cells(x, sep)))
+        .drop("content", "__all", "__sorted")
     )
-    out = out.select("*", F.posexplode("__lines").alias("row_no", "__line")).drop("__lines")
+    out = out.select("*", F.posexplode("__lines").alias("row_no", "__cells")).drop("__lines")
     values = F.transform(
         "__names",
-        lambda p: F.struct(p["h"], F.nullif(F.trim(F.get(F.col("__cells"), p["i"])), F.lit("")).alias("v")),
+        lambda e: F.struct(e["n"], F.nullif(F.trim(F.get(F.col("__cells"), e["i"])), F.lit("")).alias("v")),
     )
-    out = out.withColumn("__cells", _cells(F.col("__line"), sep))
-    return out.withColumn("cells", F.map_from_entries(values)).drop("__names", "__line", "__cells")
+    return out.withColumn("cells", F.map_from_entries(values)).drop("__names", "__cells")
 
 
 def cell(names: list[str]) -> Column:
     """The first of several synonymous columns that the file has."""
-    if len(names) == 1:
-        return F.col("cells")[names[0]]
     found = None
     for n in names:
         value = F.col("cells")[n]
@@ -138,16 +153,26 @@ def cell(names: list[str]) -> Column:
     return found
 
 
+def _with_stats(rows: DataFrame) -> DataFrame:
+    """Add the statistics as doubles. One lambda over an array of texts keeps the
+    generated code small, where 17 lenient casts side by side would not be compiled."""
+    names = SUMMED + AVERAGED
+    texts = F.array(*[F.col("cells")[s] for s in names])
+    out = rows.withColumn("__numbers", F.transform(texts, to_double_lenient))
+    return out.withColumns({s: F.get("__numbers", F.lit(i)) for i, s in enumerate(names)}).drop("__numbers")
+
+
 def player_stats(rows: DataFrame) -> DataFrame:
     """Typed statistics of player rows."""
-    return rows.select(
+    return _with_stats(rows).select(
         "folder",
         "replay_id",
         "row_no",
-        F.lower(F.trim(cell(COLOUR_NAMES))).alias("color"),
+        F.lower(F.trim(F.col("cells")["color"])).alias("color"),
         blank_to_null(cell(PLAYER_NAMES)).alias("player"),
         blank_to_null(cell(PLAYER_FILE_TEAM_NAMES)).alias("team"),
-        *[to_double_lenient(cell(SYNONYMS[s])).alias(s) for s in SUMMED + AVERAGED],
+        *SUMMED,
+        *AVERAGED,
     )
 
 
@@ -160,10 +185,10 @@ def team_rows(rows: DataFrame) -> DataFrame:
         "subgroup",
         "source_file",
         "row_no",
-        F.lower(F.trim(cell(COLOUR_NAMES))).alias("color"),
+        F.lower(F.trim(F.col("cells")["color"])).alias("color"),
         blank_to_null(cell(TEAM_FILE_NAMES)).alias("team"),
-        F.coalesce(to_double_lenient(cell(["score"])), to_double_lenient(cell(["goals"]))).alias("score"),
-        cell(DURATION_NAMES).alias("duration"),
+        F.coalesce(to_double_lenient(F.col("cells")["score"]), to_double_lenient(F.col("cells")["goals"])).alias("score"),
+        F.col("cells")["duration"].alias("duration"),
     )
 
 
@@ -189,8 +214,8 @@ def reject_reasons(rows: DataFrame, required: list[str]) -> DataFrame:
     team = rows.filter(F.col("kind") == "team")
     has_all = F.lit(True)
     for name in required:
-        has_all = has_all & F.map_contains_key("cells", F.lit(name))
-    colour = F.lower(F.trim(cell(COLOUR_NAMES)))
+        has_all = has_all & F.array_contains("header", name)
+    colour = F.lower(F.trim(F.col("cells")["color"]))
     checked = team.groupBy("folder", "replay_id").agg(
         F.bool_and(has_all).alias("complete"),
         F.count(F.lit(1)).alias("n"),
@@ -221,11 +246,10 @@ def game_rows(rows: DataFrame) -> DataFrame:
     Games without one of the two exports are left out; ``reject_reasons`` names them.
     """
     from seriesmill.functions.rules import winner_from_goals
-    from seriesmill.operators.games import COLOURS, side_cells
+    from seriesmill.operators.games import COLOURS
 
-    team, player = F.col("kind") == "team", F.col("kind") == "player"
-    colour = F.lower(F.trim(cell(COLOUR_NAMES)))
-    typed = rows.select(
+    team, player, text = F.col("kind") == "team", F.col("kind") == "player", F.col("cells")
+    typed = _with_stats(rows).select(
         "folder",
         "replay_id",
         "kind",
@@ -233,42 +257,50 @@ def game_rows(rows: DataFrame) -> DataFrame:
         "stage",
         "subgroup",
         "source_file",
-        colour.alias("color"),
+        F.lower(F.trim(text["color"])).alias("color"),
         F.when(team, blank_to_null(cell(TEAM_FILE_NAMES)))
         .otherwise(blank_to_null(cell(PLAYER_FILE_TEAM_NAMES)))
         .alias("team"),
-        F.when(
-            team, F.coalesce(to_double_lenient(cell(["score"])), to_double_lenient(cell(["goals"])))
-        ).alias("score"),
-        cell(DURATION_NAMES).alias("duration"),
-        *[F.when(player, to_double_lenient(cell(SYNONYMS[s]))).alias(s) for s in SUMMED + AVERAGED],
+        F.coalesce(to_double_lenient(text["score"]), F.col("goals")).alias("score"),
+        text["duration"].alias("duration"),
+        *[F.when(player, F.col(s)).alias(s) for s in SUMMED + AVERAGED],
     )
 
     def first(column: str, where: Column) -> Column:
         return F.min_by(F.col(column), F.when(where, F.col("row_no")))
 
-    known = F.col("team").isNotNull()
-    # Team and player rows of a game meet in one aggregate: one shuffle, partly summed before.
+    # One colour of one game first, both exports together; then both colours side by side.
+    place = F.when(F.col("duration").isNotNull(), F.struct((~team).alias("second"), F.col("row_no")))
+    sides = typed.groupBy("folder", "replay_id", "color").agg(
+        F.bool_or(team).alias("in_team"),
+        F.bool_or(player).alias("in_player"),
+        F.min(F.when(team, F.col("stage"))).alias("stage"),
+        F.min(F.when(team, F.col("subgroup"))).alias("subgroup"),
+        F.min(F.when(team, F.col("source_file"))).alias("source_team_file"),
+        F.coalesce(first("team", team), first("team", player & F.col("team").isNotNull())).alias("team"),
+        first("score", team).alias("score"),
+        F.min(place).alias("place"),
+        F.min_by("duration", place).alias("duration"),
+        *[F.sum(s).alias(s) for s in SUMMED],
+        *[F.avg(s).alias(s) for s in AVERAGED],
+    )
+    side = F.struct("team", "score", *SUMMED, *AVERAGED)
     out = (
-        typed.groupBy("folder", "replay_id")
+        sides.groupBy("folder", "replay_id")
         .agg(
-            F.bool_or(team).alias("__team"),
-            F.bool_or(player).alias("__player"),
-            F.min(F.when(team, F.col("stage"))).alias("stage"),
-            F.min(F.when(team, F.col("subgroup"))).alias("subgroup"),
-            F.min(F.when(team, F.col("source_file"))).alias("source_team_file"),
-            *[first("team", team & (F.col("color") == c)).alias(f"{c}_team_file") for c in COLOURS],
-            *[first("team", player & known & (F.col("color") == c)).alias(f"{c}_team_players") for c in COLOURS],
-            *[first("score", team & (F.col("color") == c)).alias(f"{c}_score") for c in COLOURS],
-            F.min_by(
-                "duration",
-                F.when(F.col("duration").isNotNull(), F.struct((~team).alias("second"), F.col("row_no"))),
-            ).alias("game_duration"),
-            *side_cells(F.col("color")),
+            F.bool_or("in_team").alias("in_team"),
+            F.bool_or("in_player").alias("in_player"),
+            F.min("stage").alias("stage"),
+            F.min("subgroup").alias("subgroup"),
+            F.min("source_team_file").alias("source_team_file"),
+            F.min_by("duration", "place").alias("game_duration"),
+            *[F.first(F.when(F.col("color") == c, side), ignorenulls=True).alias(c) for c in COLOURS],
         )
-        .filter(F.col("__team") & F.col("__player"))
+        .filter(F.col("in_team") & F.col("in_player"))
+    )
+    out = out.withColumns(
+        {f"{c}_{f}": F.col(f"{c}.{f}") for c in COLOURS for f in ("team", "score", *SUMMED, *AVERAGED)}
     )
-    out = out.withColumns({f"{c}_team": F.coalesce(f"{c}_team_file", f"{c}_team_players") for c in COLOURS})
     winner = winner_from_goals(
         F.col("blue_goals"), F.col("orange_goals"), F.col("blue_team"), F.col("orange_team")
     )
