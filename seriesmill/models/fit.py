@@ -40,33 +40,53 @@ class FittedFold:
     features: list[str]
     model: object = field(repr=False)
 
-    def prepare(self, df: DataFrame) -> DataFrame:
+    def columns(self, df: DataFrame) -> DataFrame:
+        """Imputed and scaled feature columns, and the constant one."""
         out = self.imputer.transform(df)
         if self.scaler:
             out = self.scaler.transform(out)
-        out = out.withColumn(BIAS, F.lit(1.0))
+        return out.withColumn(BIAS, F.lit(1.0)).withColumn("target", F.col("target").cast("double"))
+
+    def vectors(self, df: DataFrame) -> DataFrame:
         inputs = self.features + ([BIAS] if isinstance(self.scaler, BiasedScaler) else [])
-        return VectorAssembler(inputCols=inputs, outputCol="features_vector").transform(out)
+        return VectorAssembler(inputCols=inputs, outputCol="features_vector").transform(df)
+
+    def prepare(self, df: DataFrame) -> DataFrame:
+        return self.vectors(self.columns(df))
 
     def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
         scored = self.model.transform(self.prepare(df))
         probability = vector_to_array("probability")[1].alias("probability")
-        return with_decisions(scored.select(*keep, "target", F.lit(self.fold).alias("fold"), probability))
+        return with_decisions(scored.select(*keep, F.col("target").cast("int").alias("target"), F.lit(self.fold).alias("fold"), probability))
 
 
 class BiasedScaler(StandardScaler):
     """A scaler whose model carries its intercept as one more weight."""
 
 
-def _learn(train: DataFrame, features: list[str], fold: str, scale: str) -> tuple[DataFrame, FittedFold]:
+def _learn(train: DataFrame, features: list[str], fold: str, scale: str) -> FittedFold:
     imputer = fit_median_imputer(train, features)
     scaler = None
     if scale != "none":
         scaler = fit_standard_scaler(imputer.transform(train), imputer.kept)
         if scale == "biased":
             scaler = BiasedScaler(scaler.moments)
-    fitted = FittedFold(fold, imputer, scaler, imputer.kept, None)
-    return fitted.prepare(train).select("features_vector", F.col("target").cast("double").alias("target")), fitted
+    return FittedFold(fold, imputer, scaler, imputer.kept, None)
+
+
+def _mirrored(train: DataFrame, features: list[str], n: int) -> DataFrame:
+    """The same losses with a constant feature that varies.
+
+    MLlib fixes the weight of a feature without variance at 0, also that of the constant
+    one. A row and its mirror image (features negated, target flipped) have the same loss
+    at any weights, so about half of the rows are mirrored; a small table gets both.
+    """
+    turn = F.when(F.pmod(F.xxhash64("target", *[F.col(f"`{f}`") for f in features]), F.lit(2)) == 0, -1).otherwise(1)
+    signs = F.array(turn) if n >= 1000 else F.array(F.lit(1), F.lit(-1))
+    out = train.select("*", F.explode(signs).alias("__sign"))
+    sign = F.col("__sign")
+    flipped = {c: F.col(f"`{c}`") * sign for c in [*features, BIAS]}
+    return out.withColumns(flipped | {"target": F.when(sign > 0, F.col("target")).otherwise(1 - F.col("target"))})
 
 
 def fit_logistic(train: DataFrame, features: list[str], fold: str, c: float = 1.0, max_iter: int = 500) -> FittedFold:
@@ -75,8 +95,9 @@ def fit_logistic(train: DataFrame, features: list[str], fold: str, c: float = 1.
     Minimising  |w|^2 / 2 + C * sum(loss)  is the same as  mean(loss) + |w|^2 / (2 C n).
     The intercept is the weight of a constant feature, hence ``fitIntercept=False``.
     """
-    ready, fitted = _learn(train, features, fold, "biased")
+    fitted = _learn(train, features, fold, "biased")
     n = train.count()
+    mirrored = _mirrored(fitted.columns(train), fitted.features, n)
     fitted.model = LogisticRegression(
         featuresCol="features_vector",
         labelCol="target",
@@ -86,7 +107,7 @@ def fit_logistic(train: DataFrame, features: list[str], fold: str, c: float = 1.
         fitIntercept=False,
         maxIter=max_iter,
         tol=1e-10,
-    ).fit(ready)
+    ).fit(fitted.vectors(mirrored).select("features_vector", "target"))
     return fitted
 
 
@@ -105,7 +126,7 @@ def fit_forest(
     Two rows per leaf already imply four per split. Splits are chosen among ``bins``
     quantile bins; a feature with fewer distinct values is split exactly.
     """
-    ready, fitted = _learn(train, features, fold, "none")
+    fitted = _learn(train, features, fold, "none")
     fitted.model = RandomForestClassifier(
         featuresCol="features_vector",
         labelCol="target",
@@ -115,7 +136,7 @@ def fit_forest(
         featureSubsetStrategy=str(max(1, int(len(fitted.features) ** 0.5))),
         maxBins=bins,
         seed=seed,
-    ).fit(ready)
+    ).fit(fitted.prepare(train).select("features_vector", "target"))
     return fitted
 
 
@@ -124,14 +145,14 @@ def fit_mlp(
 ) -> FittedFold:
     """One small hidden layer. An approximation by design: MLlib has sigmoid units and
     L-BFGS, no weight decay and no early stopping on a validation share."""
-    ready, fitted = _learn(train, features, fold, "plain")
+    fitted = _learn(train, features, fold, "plain")
     fitted.model = MultilayerPerceptronClassifier(
         featuresCol="features_vector",
         labelCol="target",
         layers=[len(fitted.features), hidden, 2],
         maxIter=max_iter,
         seed=seed,
-    ).fit(ready)
+    ).fit(fitted.prepare(train).select("features_vector", "target"))
     return fitted
 
 
