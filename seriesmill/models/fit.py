@@ -25,7 +25,6 @@ from seriesmill.models.preprocess import (
     fit_median_imputer,
     fit_standard_scaler,
 )
-from seriesmill.session import scratch_table
 
 BIAS = "__bias"
 
@@ -159,16 +158,6 @@ def fit_mlp(
 Fit = Callable[[DataFrame, list[str], str], FittedFold]
 
 
-def written(df: DataFrame, name: str = "modelling") -> DataFrame:
-    """The table written to the shared folder and read back.
-
-    Fitting reads it many times; a lost executor then costs a re-read, not the features.
-    """
-    path = scratch_table(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def run_temporal_folds(
     df: DataFrame, features: list[str], folds: int, fit: Fit, keep: list[str]
 ) -> tuple[DataFrame, list[FittedFold]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -146,12 +148,16 @@ def split_by_threshold(
     name: str = "segment",
     chunk: int = CHUNK,
     levels: list[Column] | None = None,
+    cut: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Number the segments (from 1) inside each key.
 
     A segment closes at the game in which a side reaches ``need`` wins (a function of the
     keys); both counters then restart. Undecided games belong to the open segment and
     count for nobody; a segment still open at the end is kept.
+
+    The chunks are read twice, to compose them and to walk through them. ``cut`` may
+    turn them into a table in between, such as ``sources.tables.written``.
     """
     columns = [c for c in games.columns if c not in keys]
     numbered = with_position(games, keys, [ts, tiebreak], levels or [minute_of(ts)], "__pos", start=0)
@@ -160,6 +166,7 @@ def split_by_threshold(
         .agg(F.array_sort(F.collect_list(F.struct("__pos", F.struct(*columns).alias("row")))).alias("rows"))
         .withColumn("need", need.cast("long"))
     )
+    chunks = cut(chunks) if cut else chunks
     starts = F.when(F.col("id") == 0, F.array(F.lit(0).cast("long"))).otherwise(_all_states(F.col("need")))
     ends = F.aggregate(
         F.transform("rows", lambda r: r["row"][winner]),

@@ -11,12 +11,13 @@ from seriesmill.operators.identity import resolve_identity
 from seriesmill.plans import views
 from seriesmill.plans.catalog import r6, r6_sql, register, stamp, stamp_sql
 from seriesmill.plans.queries_reconcile import ROSTER_SQL, ROSTER_STATS, _history
-from seriesmill.plans.views_sql import CONTESTS, GAMES, HISTORY, IDENTITY, PLAYERS, history_sql
+from seriesmill.plans.views_sql import CONTESTS, GAMES, IDENTITY, PLAYERS, history_sql
+from seriesmill.sources.tables import written
 
 
 def modelling_table(spark, sf):
     """Contests -> identities -> form and roster features -> predictors and fold roles."""
-    known = resolve_identity(views.contests(spark, sf))
+    known = written(resolve_identity(views.contests(spark, sf)), "contests")
     form = history.form_features(known)
     both = attach.roster_history_features(form, _history(spark, sf), ROSTER_STATS)
     keep = ["contest_id", "ts", "tournament", "tournament_order", "target"]
@@ -68,7 +69,7 @@ def modelling(spark, sf):
         "diff_recent3_avg_game_win_rate", "diff_recent5_avg_game_win_rate"])} from modelling""",
 )
 def missing_indicators(spark, sf):
-    table = modelling_table(spark, sf)
+    table = written(modelling_table(spark, sf), "modelling")
     out = d.missing_indicators(table, PREDICTORS)
     return out.select("contest_id", *[c for c in out.columns if c.endswith(d.MISSING_SUFFIX)])
 
@@ -117,7 +118,7 @@ union all select 'missingness_indicator', n from holes""",
 )
 def feature_groups(spark, sf):
     """Families of the final inputs; which indicators there are depends on the data."""
-    out = d.missing_indicators(modelling_table(spark, sf), PREDICTORS)
+    out = d.missing_indicators(written(modelling_table(spark, sf), "modelling"), PREDICTORS)
     inputs = PREDICTORS + [c for c in out.columns if c.endswith(d.MISSING_SUFFIX)]
     return d.feature_group_counts(d.feature_report(spark, inputs))
 

@@ -9,13 +9,15 @@ from seriesmill.operators.identity import resolve_identity
 from seriesmill.plans import views
 from seriesmill.plans.catalog import r6, r6_sql, register, stamp, stamp_sql
 from seriesmill.plans.views_sql import CONTESTS, IDENTITY, history_sql
+from seriesmill.sources.tables import written
 
 BASE = f"with {CONTESTS}, {IDENTITY}, {history_sql('resolved')}"
 RATES = ("win_rate",)
 
 
 def _known(spark, sf):
-    return resolve_identity(views.contests(spark, sf))
+    """Contests with identities, as a table: every branch of a history reads them."""
+    return written(resolve_identity(views.contests(spark, sf)), "contests")
 
 
 def _is_rate(name: str) -> bool:

@@ -13,6 +13,7 @@ from seriesmill.operators import dataset as d
 from seriesmill.operators import profile
 from seriesmill.plans.catalog import r6, r6_sql, register
 from seriesmill.plans.queries_dataset import PREDICTORS, TABLE_SQL, modelling_table
+from seriesmill.sources.tables import written
 
 # Trees per forest here; the library's default is the 1000 of a full run.
 TREES = 40
@@ -24,7 +25,7 @@ filled as (select m.contest_id, m.tournament_order, {", ".join(f'coalesce(m."{c}
 
 
 def table(spark, sf):
-    return fit.written(modelling_table(spark, sf))
+    return written(modelling_table(spark, sf), "modelling")
 
 
 @register(

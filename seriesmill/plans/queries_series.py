@@ -21,6 +21,7 @@ from seriesmill.operators.ordering import id_piece, minute_of, time_levels, with
 from seriesmill.plans import views
 from seriesmill.plans.catalog import r6, r6_sql, register, stamp, stamp_sql
 from seriesmill.plans.views_sql import GAMES, ORIENTED, PLAYERS, SESSIONS
+from seriesmill.sources.tables import written
 
 MATCHUP = ["fingerprint", "stage", "subgroup"]
 
@@ -272,7 +273,14 @@ def segmented(spark, sf, chunk=s.CHUNK):
     )
     levels = time_levels("ts", id_piece(F.col("game_id")))
     return s.split_by_threshold(
-        games, MATCHUP, "ts", "game_id", wins_required(F.col("stage")), chunk=chunk, levels=levels
+        games,
+        MATCHUP,
+        "ts",
+        "game_id",
+        wins_required(F.col("stage")),
+        chunk=chunk,
+        levels=levels,
+        cut=lambda chunks: written(chunks, "chunks"),
     )
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.text import alias_name, to_double_lenient
+from seriesmill.session import scratch_table
 
 # Statistics of the player-history table.
 HISTORY_STATS = [
@@ -42,6 +43,17 @@ def write_stage(
     writer.save(path)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The table written to the shared folder and read back.
+
+    For a table that several branches or jobs read: it is computed once, plans above it
+    stay small, and a lost executor costs a re-read instead of the lineage.
+    """
+    path = scratch_table(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def player_history(
     df: DataFrame,
     aliases: dict[str, str] | None = None,
