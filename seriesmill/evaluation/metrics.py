@@ -170,24 +170,25 @@ def metric_table(preds: DataFrame, keys: list[str], weight: str | None = None) -
     and the predictions are read and shuffled once.
     """
     w, y, p = _weight(weight), F.col("target"), F.col("probability")
-    merged = preds.groupBy(*keys, "probability", "prediction").agg(
-        F.sum(F.when(y == 1, w).otherwise(0)).alias("pos"),
-        F.sum(F.when(y == 0, w).otherwise(0)).alias("neg"),
-    )
     yes = F.col("prediction") == 1
-    n = F.sum(F.col("pos") + F.col("neg"))
-    losses = F.col("pos") * _log_loss_of(p, True) + F.col("neg") * _log_loss_of(p, False)
-    misses = F.col("pos") * (p - 1) * (p - 1) + F.col("neg") * p * p
+
+    def cell(target: int, decided: Column) -> Column:
+        return F.sum(F.when((y == target) & decided, w).otherwise(0))
+
+    merged = preds.groupBy(*keys, "probability").agg(
+        cell(0, ~yes).alias("tn"), cell(0, yes).alias("fp"), cell(1, ~yes).alias("fn"), cell(1, yes).alias("tp")
+    )
+    pos, neg = F.col("fn") + F.col("tp"), F.col("tn") + F.col("fp")
+    losses = pos * _log_loss_of(p, True) + neg * _log_loss_of(p, False)
+    misses = pos * (p - 1) * (p - 1) + neg * p * p
+    n = F.sum(pos + neg)
     sums = merged.groupBy(*keys).agg(
-        F.sum(F.when(~yes, F.col("neg")).otherwise(0)).alias("tn"),
-        F.sum(F.when(yes, F.col("neg")).otherwise(0)).alias("fp"),
-        F.sum(F.when(~yes, F.col("pos")).otherwise(0)).alias("fn"),
-        F.sum(F.when(yes, F.col("pos")).otherwise(0)).alias("tp"),
+        *[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")],
         (F.sum(losses) / n).alias("log_loss"),
         (F.sum(misses) / n).alias("brier_score"),
     )
-    scores = merged.groupBy(*keys, "probability").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return join_null_safe(with_rates(sums), _area(scores, keys), keys)
+    area = _area(merged.select(*keys, "probability", pos.alias("pos"), neg.alias("neg")), keys)
+    return join_null_safe(with_rates(sums), area, keys)
 
 
 def metrics_by_scope(preds: DataFrame) -> DataFrame:
