@@ -32,7 +32,10 @@ def fold_positions(contests: DataFrame) -> DataFrame:
 def sample_weights(positions: DataFrame, reps: int, seed: int) -> DataFrame:
     """(rep, fold, position, weight): how often a contest is drawn in a replicate."""
     sizes = positions.groupBy("fold").agg(F.count(F.lit(1)).alias("size"))
-    slots = positions.select("fold", "position").join(sizes, "fold")
+    # Each row becomes ``reps`` rows below: a set number of partitions keeps adaptive
+    # execution from merging the still small input into a few tasks.
+    width = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = positions.select("fold", "position").join(sizes, "fold").repartition(width, "fold", "position")
     drawn = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
     at = draw(seed, F.col("rep"), F.col("fold"), F.col("position"), F.col("size"))
     return drawn.groupBy("rep", "fold", at.alias("position")).agg(F.count(F.lit(1)).alias("weight"))

@@ -163,17 +163,22 @@ def exact_quantiles(
     ranked = join_null_safe(cut.withColumn("__below", below), offsets, keys + names)
     ranked = ranked.withColumn("__from", F.col("__below") + F.col("before___n"))
     ranked = join_null_safe(ranked, sizes, keys)
-    targets = F.array(*[F.lit(float(p)) for p in probs])
-    hit = ranked.select(
-        *keys, "__v", "__from", "__c", "__size", F.explode(targets).alias("prob")
-    ).withColumn("__at", F.col("prob") * (F.col("__size") - 1))
+    last = F.col("__size") - 1
+    start, end = F.col("__from"), F.col("__from") + F.col("__c")
+    # Only the values at the wanted ranks become rows.
+    wanted = F.filter(
+        F.array(*[F.lit(float(p)) for p in probs]),
+        lambda p: (F.ceil(p * last) >= start) & (F.floor(p * last) < end),
+    )
+    hit = ranked.select(*keys, "__v", "__from", "__c", "__size", F.explode(wanted).alias("prob")).withColumn(
+        "__at", F.col("prob") * last
+    )
     lower, upper = F.floor("__at"), F.ceil("__at")
-    covers = lambda rank: (rank >= F.col("__from")) & (rank < F.col("__from") + F.col("__c"))
+    covers = lambda rank: (rank >= start) & (rank < end)
     lo = F.max(F.when(covers(lower), F.col("__v")))
     hi = F.max(F.when(covers(upper), F.col("__v")))
     return (
-        hit.filter(covers(lower) | covers(upper))
-        .groupBy(*keys, "prob")
+        hit.groupBy(*keys, "prob")
         .agg(lo.alias("__lo"), hi.alias("__hi"), F.max("__at").alias("__at"))
         .select(
             *keys,
