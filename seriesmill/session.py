@@ -19,25 +19,34 @@ def local_session(cores: int | str = 8, app: str = "seriesmill", shuffle: int =
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="seriesmill-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+#: The folder of each local application that names none.
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) is a temporary folder made.
+    Only where the session names none and runs in one process (local tests) is a temporary
+    folder made, one for each application.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir", None
     )
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-    return tempfile.mkdtemp(prefix="seriesmill-")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="seriesmill-")
+    return _OWN[context.applicationId]
 
 
 def scratch_table(spark: SparkSession, name: str) -> str:
