@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import language_id, quality
+from seriesmill.llm import language_id, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     ready = docs.withColumn("held_out", fold("doc_id", 4) == 2)
     scored = quality.score(ready, model, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_BAR).cast("int"))
+
+
+@query("op3_simhash")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf, "documents"))
