@@ -182,20 +182,21 @@ def fit(
     return LanguageModel(languages, np.log(counts[-1] / max(counts[-1].sum(), 1)), table, bits)
 
 
-def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns plus ``lang_pred`` and ``score`` of every row, from its whole text.
+def predict(
+    docs: DataFrame, model: LanguageModel, keep: list[str], text: str = "text", names: tuple[str, str] = ("lang_pred", "score")
+) -> DataFrame:
+    """``keep`` columns plus language and score (``names``) of every row, from its whole text.
 
     Null texts and texts without a letter give ``und`` and 0, as does a model without languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    schema = rows.drop("__text").schema.add(names[0], "string").add(names[1], "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             language, values = shared.value.predict(batch.column("__text"))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            names = [*batch.schema.names[:-1], "lang_pred", "score"]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(language, pa.string()), pa.array(values)], names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(language, pa.string()), pa.array(values)], schema.names)
 
     return rows.mapInArrow(score, schema)

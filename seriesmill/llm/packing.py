@@ -92,7 +92,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str
     """
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     schema = rows.select("id").schema
-    for name, kind in (("piece", "int"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("task", "int"), ("local", "long")):
+    for name, kind in (("piece", "integer"), ("start", "long"), ("length", "long"), ("ids_crc32", "long"), ("task", "integer"), ("local", "long")):
         schema = schema.add(name, kind)
     last = np.array([end], "<u4").tobytes()
 

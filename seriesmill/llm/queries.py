@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import language_id, quality, simhash
+from seriesmill.llm import language_id, packing, quality, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -15,6 +16,8 @@ ORACLES: dict[str, str] = {}
 
 #: Scores from which a text passes as good.
 QUALITY_BAR = 0.7
+#: Tokenizer file of the token queries.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
@@ -53,6 +56,11 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= QUALITY_BAR).cast("int"))
 
 
+@query("op2_packing")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.pack(table(spark, sf, "documents"), TOKENIZER)
+
+
 @query("op3_simhash")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))

@@ -58,16 +58,16 @@ def fingerprint(text: bytes, width: int = 4) -> int:
     return int(np.packbits(2 * total > len(starts), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprint(docs: DataFrame, keep: list[str], text: str = "text", width: int = 4) -> DataFrame:
-    """``keep`` columns plus ``fp``, the fingerprint of the whole text as a long; null is a text without words."""
+def with_fingerprint(docs: DataFrame, keep: list[str], text: str = "text", width: int = 4, name: str = "fp") -> DataFrame:
+    """``keep`` columns plus ``name``, the fingerprint of the whole text as a long; null is a text without words."""
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add("fp", "long")
+    schema = rows.drop("__text").schema.add(name, "long")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([fingerprint(t, width) for t in as_bytes(batch.column("__text"))], np.uint64)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(found.view(np.int64))], [*batch.schema.names[:-1], "fp"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(found.view(np.int64))], schema.names)
 
     return rows.mapInArrow(each, schema)
 
@@ -186,18 +186,39 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     differing bits (null ids only count where a component has no other). Null, empty and blank
     texts have fingerprint zero and link like any other; rows that repeat an id each get a row.
     """
-    prints = written(with_fingerprint(docs, [id_col], text, width), "fingerprints")
-    return labelled(prints, id_col).select(
-        f"`{id_col}`", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    ids = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    prints = written(with_fingerprint(ids, ["id"], width=width), "fingerprints")
+    return labelled(prints).select(
+        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
-def labelled(prints: DataFrame, id_col: str) -> DataFrame:
-    """``prints`` (with ``fp``) plus ``component_id``."""
-    distinct = written(prints.groupBy("fp").agg(F.min(F.col(f"`{id_col}`")).alias("first")), "fingerprints-distinct")
+def labelled(prints: DataFrame) -> DataFrame:
+    """``prints`` (``id`` and ``fp``) plus ``component_id``."""
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints-distinct")
     label = components(written(links(distinct), "fingerprint-links"))  # node, component
     joined = distinct.join(label, distinct.fp == label.node, "left")
     joined = joined.select("fp", "first", F.coalesce("component", "fp").alias("component"))
     first = joined.groupBy("component").agg(F.min("first").alias("component_id"))
     named = joined.join(first, "component").select("fp", "component_id")
     return prints.join(named, "fp")
+
+
+def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
+    """One row of each near-duplicate group, all columns: that with the group's smallest id.
+
+    Rows that repeat an id are told apart by their fingerprint, then by all their columns; a
+    group whose ids are all null keeps one row.
+    """
+    prints = written(with_fingerprint(docs, docs.columns, text, width, "__fp"), "documents-with-fingerprint")
+    slim = prints.select(F.col(f"`{id_col}`").alias("__id"), "__fp")
+    counted = slim.groupBy(F.col("__id").alias("id"), F.col("__fp").alias("fp")).agg(F.count("*").alias("n"))
+    named = written(labelled(counted), "fingerprint-labels").filter("id <=> component_id")
+    # One fingerprint for each component: of several rows with its smallest id, that of the least.
+    kept = named.groupBy("component_id").agg(F.min(F.struct("fp", "n")).alias("r"))
+    kept = written(kept.select(F.col("component_id").alias("__id"), F.col("r.fp").alias("__fp"), "r.n"), "fingerprint-kept")
+    same = prints[f"`{id_col}`"].eqNullSafe(kept["__id"]) & (prints["__fp"] == kept["__fp"])
+    once = prints.join(kept.filter("n = 1"), same, "left_semi").select(*[f"`{c}`" for c in docs.columns])
+    again = prints.join(kept.filter("n > 1"), same, "left_semi").groupBy(F.col(f"`{id_col}`").alias("__id"), "__fp")
+    again = again.agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+    return once.union(again)

@@ -7,11 +7,15 @@ seen and keeps them in a bounded table.
 
 from __future__ import annotations
 
+import os
 import re
 
 import numpy as np
 from tokenizers import Tokenizer
 
+# A task has one core.
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+
 #: Words that are kept; when full, the table starts anew.
 MOST_WORDS = 400_000
 _WORDS_AT_ONCE = 1 << 17
@@ -27,11 +31,26 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _encode_plain(self, words: list[bytes]) -> list[bytes]:
+        """Of words of letters a to z: many in one text, cut after each id that ends a word."""
+        out = []
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.frombuffer(b"".join(self._encode([b" ".join(some).decode()])), "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return out
 
     def _fill(self, new: list[bytes]) -> None:
         """Learn words; those of letters and signs are put together from their parts."""
@@ -46,8 +65,11 @@ class WordIds:
         parts = self.parts
         if len(parts) > MOST_WORDS:
             parts.clear()
-        missing = list({p for ps in split.values() for p in ps if p not in parts})
-        parts.update(zip(missing, self._encode([p.decode("utf-8", "replace") for p in missing]), strict=True))
+        missing = {p for ps in split.values() for p in ps if p not in parts}
+        plain = [p for p in missing if _PLAIN.fullmatch(p)]
+        other = [p for p in missing if not _PLAIN.fullmatch(p)]
+        parts.update(zip(plain, self._encode_plain(plain), strict=True))
+        parts.update(zip(other, self._encode([p.decode("utf-8", "replace") for p in other]), strict=True))
         self.words.update((w, b"".join([parts[p] for p in ps])) for w, ps in split.items())
 
     def encode(self, text: bytes) -> list[bytes]:
