@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import language_id, packing, quality, simhash
+from seriesmill.llm import bpe, language_id, packing, quality, simhash, token_files
+from seriesmill.session import scratch_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -64,3 +65,15 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_simhash")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query("op7_bpe")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf, "documents"), TOKENIZER)
+
+
+@query("op8_token_files")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    path = scratch_table(spark, "token-files")
+    token_files.write(table(spark, sf, "documents"), path, TOKENIZER)
+    return token_files.read(spark.read.parquet(path))
