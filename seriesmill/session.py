@@ -19,6 +19,7 @@ def local_session(cores: int | str = 8, app: str = "seriesmill", shuffle: int =
         .config("spark.sql.shuffle.partitions", str(shuffle))
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="seriesmill-"))
         .getOrCreate()
     )
