@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, language_id, packing, quality, simhash, token_files
+from seriesmill.llm import bpe, exact_topk, language_id, packing, quality, simhash, token_files
 from seriesmill.session import scratch_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,3 +77,25 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_table(spark, "token-files")
     token_files.write(table(spark, sf, "documents"), path, TOKENIZER)
     return token_files.read(spark.read.parquet(path))
+
+
+@query(
+    "op10_exact_topk",
+    """
+    with v as (
+        select vec_id, list_transform(embedding, lambda x: floor(256 * cast(x as double))) as e
+        from embeddings
+        where embedding is not null
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    ), scored as (
+        select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.e, c.e) as bigint) as score
+        from v q join v c on q.vec_id <> c.vec_id
+        where q.vec_id % 50 = 0
+    ), ranked as (
+        select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored
+    )
+    select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 5
+    """,
+)
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return exact_topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
