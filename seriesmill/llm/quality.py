@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.llm.text import SEGMENT, segments, utf8
+from seriesmill.llm.text import SEGMENT, segments, slices, utf8
 from seriesmill.sources.tables import written
 
 #: Class of each byte: 0 blank, 1 letter (also every byte of a character beyond ASCII), 2 digit, 3 other.
@@ -52,7 +52,7 @@ def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """
     global _UP, _DOWN
     if len(_UP) <= len(data):
-        _UP, _DOWN = _powers(max(len(data), 3 * SEGMENT))
+        _UP, _DOWN = _powers(max(len(data), 2 * SEGMENT))
     kinds = KINDS[data]
     edge = np.ones(len(data) + 1, bool)
     edge[1:-1] = kinds[1:] != kinds[:-1]
@@ -149,10 +149,12 @@ class QualityModel:
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Probability of label 1; a text without tokens gets that of the bias alone."""
-        where, at, values = features(column, self.bits)
-        sums = np.concatenate([[0.0], np.cumsum(self.weights[at] * values)])
-        z = sums[where[1:]] - sums[where[:-1]] + self.weights[-1]
-        return 1.0 / (1.0 + np.exp(-np.clip(z, -35.0, 35.0)))
+        z = [np.zeros(0)]
+        for some in slices(column):
+            where, at, values = features(some, self.bits)
+            sums = np.concatenate([[0.0], np.cumsum(self.weights[at] * values)])
+            z.append(sums[where[1:]] - sums[where[:-1]])
+        return 1.0 / (1.0 + np.exp(-np.clip(np.concatenate(z) + self.weights[-1], -35.0, 35.0)))
 
 
 def sample_labels(labels: DataFrame, id_col: str, label_col: str, where: Column, bound: int) -> DataFrame:
@@ -179,13 +181,15 @@ def fit(
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            where, at, values = features(batch.column("text"), bits)
-            parts = [at[:0].astype(np.int32)] if not len(where) else np.split(at.astype(np.int32), where[1:-1])
-            xs = np.split(values, where[1:-1])
-            yield pa.RecordBatch.from_pydict({
-                "id": batch.column("id").cast(pa.string()), "y": batch.column("y"),
-                "at": pa.array([p.tobytes() for p in parts], pa.binary()), "x": pa.array([p.tobytes() for p in xs], pa.binary()),
-            })
+            row = 0
+            for some in slices(batch.column("text")):
+                where, at, values = features(some, bits)
+                at = [p.tobytes() for p in np.split(at.astype(np.int32), where[1:-1])]
+                x = [p.tobytes() for p in np.split(values, where[1:-1])]
+                own = [batch.column(c).slice(row, len(some)) for c in ("id", "y")]
+                arrays = [own[0].cast(pa.string()), own[1], pa.array(at, pa.binary()), pa.array(x, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "y", "at", "x"])
+                row += len(some)
 
     made = rows.mapInArrow(examples, "id string, y int, at binary, x binary")
     made = written(made.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards))), "quality-examples")
@@ -225,16 +229,16 @@ def _sent(shard: int, state: Ftrl, seen: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"shard": [shard], "z": [z], "n": [n], "seen": [seen]})
 
 
-def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns plus ``score`` of every row's whole text; null counts as an empty text."""
+def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
+    """``keep`` columns plus the score (``name``) of every row's whole text; null counts as an empty text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add("score", "double")
+    schema = rows.drop("__text").schema.add(name, "double")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             values = pa.array(shared.value.score(batch.column("__text")))
-            yield pa.RecordBatch.from_arrays([*columns, values], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*columns, values], schema.names)
 
     return rows.mapInArrow(each, schema)

@@ -50,3 +50,13 @@ def segments(offsets: np.ndarray, cuts: np.ndarray, limit: int = SEGMENT) -> Ite
             yield row, row + 1, at, to
             at = to
         row += 1
+
+
+def slices(column: pa.Array, limit: int = SEGMENT) -> Iterator[pa.Array]:
+    """The column in runs of rows of about ``limit`` bytes; a longer text comes alone."""
+    _, offsets = utf8(column)
+    row = 0
+    while row < len(column):
+        last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
+        yield column.slice(row, last - row)
+        row = last
