@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import language_id, quality
-from seriesmill.llm.queries import QUALITY_BAR, fold, table
+from seriesmill.llm import language_id, packing, quality, simhash
+from seriesmill.llm.queries import QUALITY_BAR, TOKENIZER, fold, table
 from seriesmill.session import scratch_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -17,19 +17,33 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without a letter, or with no likely language, go."""
     model = language_id.fit(docs, where=fold("doc_id", 3) != 1)
-    found = language_id.predict(docs, model, keep=docs.columns)
-    return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= 0.5)).select(*docs.columns)
+    found = language_id.predict(docs, model, keep=docs.columns, names=("__lang", "__score"))
+    kept = found.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= 0.5))
+    return kept.drop("__lang", "__score")
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as good; the model learns from the labels of the documents left."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"), where=fold("doc_id", 4) != 2)
-    return quality.score(docs, model, keep=docs.columns).filter(F.col("score") >= QUALITY_BAR).select(*docs.columns)
+    scored = quality.score(docs, model, keep=docs.columns, name="__score")
+    return scored.filter(F.col("__score") >= QUALITY_BAR).drop("__score")
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each near-duplicate group; one row of it, should rows repeat."""
+    return simhash.without_copies(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, with their places in training sequences."""
+    return packing.pack(docs, TOKENIZER)
 
 
 STAGES: list[tuple[str, Stage]] = [
     ("language_id", known_language),
     ("quality", good_quality),
+    ("simhash", one_of_each_group),
+    ("packing", packed),
 ]
 
 #: Trained models, fingerprints and a tokenizer have no counterpart in SQL.
