@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import bpe, exact_topk, language_id, packing, quality, simhash, token_files
+from seriesmill.llm import bpe, exact_topk, language_id, packing, quality, simhash, token_files, url_filter
 from seriesmill.session import scratch_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,15 @@ QUALITY_BAR = 0.7
 #: Tokenizer file of the token queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
+#: Rules for pages: verdict, host and path.
+URL_RULES = [
+    url_filter.Rule("allow", "org/"),
+    url_filter.Rule("block", "example.org/es/"),
+    url_filter.Rule("block", "example.org/en/1"),
+    url_filter.Rule("allow", "com/fr/"),
+    url_filter.Rule("block", "com/de/"),
+]
+
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
@@ -79,6 +88,11 @@ def op8(spark: SparkSession, sf: str) -> DataFrame:
     return token_files.read(spark.read.parquet(path))
 
 
+@query("op9_url_filter")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf, "pages"), URL_RULES)
+
+
 @query(
     "op10_exact_topk",
     """
