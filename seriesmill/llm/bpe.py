@@ -21,6 +21,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -159,8 +160,23 @@ class Codec:
             self.pieces[i] = t
         self.decimals = [str(i) for i in range(len(self.pieces))]
         self._kept: dict[bytes, tuple[int, ...]] = {}
+        self._tokens: dict[str, tuple[int, ...]] = {}
+
+    def _token(self, token: str) -> tuple[int, ...]:
+        """Ids of a token of the splitter, lower case already."""
+        ids = self._tokens.get(token)
+        if ids is None:
+            ids = tuple(self.merges.stream("".join([self._symbols[b] for b in token.encode()])))
+            if len(token) <= 64:
+                if len(self._tokens) > MOST_KEPT:
+                    self._tokens.clear()
+                self._tokens[token] = ids
+        return ids
 
     def _word(self, raw: bytes) -> tuple[int, ...]:
+        """Ids of a word between blanks."""
+        if raw.isalpha():  # of ASCII letters only
+            return self._token(raw.lower().decode())
         out: list[int] = []
         text = raw.decode("utf-8", "replace")
         for k, part in enumerate(self._specials.split(text) if self._specials else [text]):
@@ -170,24 +186,23 @@ class Codec:
             part = unicodedata.normalize("NFC", part)
             low = "".join(map(str.lower, part)) if "Σ" in part else part.lower()  # no final form of sigma
             for token in self._split.findall(low):
-                out += self.merges.stream("".join([self._symbols[b] for b in token.encode()]))
+                out += self._token(token)
         return tuple(out)
 
     def encode(self, text: bytes) -> Iterator[list[int]]:
         """Ids of a text, in pieces of many words. Neither normaliser nor splitter looks across a blank."""
         words, kept = text.split(), self._kept
         for at in range(0, len(words), _WORDS_AT_ONCE):
-            out: list[int] = []
-            for w in words[at : at + _WORDS_AT_ONCE]:
-                ids = kept.get(w)
-                if ids is None:
-                    ids = self._word(w)
-                    if len(w) <= 64:
+            some = words[at : at + _WORDS_AT_ONCE]
+            found = [*map(kept.get, some)]
+            if None in found:
+                for i in [i for i, ids in enumerate(found) if ids is None]:
+                    found[i] = ids = self._word(some[i])
+                    if len(some[i]) <= 64:
                         if len(kept) > MOST_KEPT:
                             kept.clear()
-                        kept[w] = ids
-                out += ids
-            yield out
+                        kept[some[i]] = ids
+            yield [*chain.from_iterable(found)]
 
 
 class Decoder:
@@ -206,7 +221,7 @@ class Decoder:
     def feed(self, ids: list[int]) -> str:
         if not ids:
             return ""
-        raw = self._between.join([self._bytes[i] for i in ids])
+        raw = self._between.join(map(self._bytes.__getitem__, ids))
         if self._begun:
             raw = self._between + raw
         self._begun = True
@@ -251,7 +266,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text: st
                 n, ids_hash, text_hash, decoder = 0, hashlib.sha256(), hashlib.sha256(), Decoder(own)
                 for ids in own.encode(raw):
                     if ids:
-                        ids_hash.update(((" " if n else "") + " ".join([own.decimals[i] for i in ids])).encode())
+                        ids_hash.update(((" " if n else "") + " ".join(map(own.decimals.__getitem__, ids))).encode())
                         text_hash.update(decoder.feed(ids).encode())
                         n += len(ids)
                 text_hash.update(decoder.end().encode())

@@ -100,8 +100,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end: int, id_col: str
         task, seen, encode = TaskContext.get().partitionId(), Counter(), word_ids(tokenizer).encode
         for batch in batches:
             row, piece, start, length, crc, local = [], [], [], [], [], []
-            for i, raw in enumerate(as_bytes(batch.column("text"))):
-                ids = b"".join([*encode(raw), last])
+            for i, parts in enumerate(encode(as_bytes(batch.column("text")))):
+                ids = b"".join([*parts, last])
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     n = len(part) // 4

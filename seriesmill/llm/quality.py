@@ -44,8 +44,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the runs of letters, digits or other signs, and where each run starts.
+def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the runs of letters, digits or other signs, and where each run starts and ends.
 
     ``starts``: positions at which a run can't continue. The hash is a polynomial in the bytes,
     taken from prefix sums, so that runs of any length cost the same.
@@ -63,7 +63,7 @@ def tokens(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     begin, end = begin[worded], end[worded]
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[: len(data)], out=sums[1:])
-    return _mix((sums[end] - sums[begin]) * _DOWN[begin]), begin
+    return _mix((sums[end] - sums[begin]) * _DOWN[begin]), begin, end
 
 
 def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,7 +84,7 @@ def features(column: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray, np.nd
     last_row, last_hash = -1, np.zeros(0, np.uint64)
     for row, end, lo, hi in segments(offsets, KINDS[data] == 0):
         starts = offsets[row:end] - lo if end > row + 1 or lo == offsets[row] else np.zeros(1, np.int64)
-        hashes, begin = tokens(data[lo:hi], starts[starts < hi - lo])
+        hashes, begin, _ = tokens(data[lo:hi], starts[starts < hi - lo])
         rows = (np.searchsorted(starts, begin, side="right") - 1 + row).astype(np.uint64)
         if row == last_row:  # the same long text goes on
             before, same = np.append(last_hash, hashes[:-1]) if len(last_hash) else hashes[:-1], hashes

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import ann, bpe, exact_topk, language_id, packing, quality, simhash, token_files, url_filter
+from seriesmill.llm import ann, bpe, exact_topk, language_id, masked_lm, packing, quality, simhash, token_files, url_filter
 from seriesmill.session import scratch_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,6 +81,12 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return ann.nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query("op6_masked_lm")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return masked_lm.score(docs, masked_lm.fit(docs))
+
+
 @query("op7_bpe")
 def op7(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf, "documents"), TOKENIZER)

@@ -60,8 +60,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end: int = 2, id_col: str
         task, encode = TaskContext.get().partitionId(), word_ids(tokenizer).encode
         chunk, before, size, held, doc, length = 0, 0, 0, [], [], []
         for batch in batches:
-            for key, raw in zip(batch.column("id").to_pylist(), as_bytes(batch.column("text")), strict=True):
-                parts = [*encode(raw), last]
+            for key, parts in zip(batch.column("id").to_pylist(), encode(as_bytes(batch.column("text"))), strict=True):
+                parts = [*parts, last]
                 held += parts
                 doc.append(key)
                 length.append(sum(map(len, parts)) // 4)

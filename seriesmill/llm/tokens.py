@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -17,11 +18,13 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words that are kept; when full, the table starts anew.
-MOST_WORDS = 400_000
+MOST_WORDS = 600_000
+_TEXT_AT_ONCE = 1 << 21
 _WORDS_AT_ONCE = 1 << 17
-# Lower case doesn't change the ids of such words, nor does the cut before trailing signs.
-_PLAIN = re.compile(rb"[A-Za-z]+")
-_PLAIN_AND_SIGNS = re.compile(rb"([A-Za-z]+)([^A-Za-z0-9\x00-\x20'\x7f-\xff]+)")
+# Letters (those of ASCII and U+00C0 to U+00FF in UTF-8), then signs. The splitter cuts between
+# the two, and lower case of ASCII letters doesn't change ids.
+_LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
+_LETTERS_AND_SIGNS = re.compile(rb"(" + _LETTERS + rb")([^A-Za-z0-9\x00-\x20'\x7f-\xff]*)")
 
 
 class WordIds:
@@ -41,8 +44,8 @@ class WordIds:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _encode_plain(self, words: list[bytes]) -> list[bytes]:
-        """Of words of letters a to z: many in one text, cut after each id that ends a word."""
+    def _encode_letters(self, words: list[bytes]) -> list[bytes]:
+        """Of words of letters only: many in one text, cut after each id that ends a word."""
         out = []
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
@@ -52,38 +55,57 @@ class WordIds:
             out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         return out
 
-    def _fill(self, new: list[bytes]) -> None:
-        """Learn words; those of letters and signs are put together from their parts."""
-        split = {}
-        for w in new:
-            if _PLAIN.fullmatch(w):
-                split[w] = (w.lower(),)
-            elif (m := _PLAIN_AND_SIGNS.fullmatch(w)) and b"<|" not in w:
-                split[w] = (m[1].lower(), m[2])
+    def _learn(self, seen: set[bytes]) -> None:
+        """Make sure of some words; those of letters and signs are put together from their parts."""
+        if len(self.words) > MOST_WORDS:
+            self.words.clear()
+        if len(self.parts) > MOST_WORDS:
+            self.parts.clear()
+        words, parts = self.words, self.parts
+        split, letters, other = [], set(), set()
+        for w in seen.difference(words):
+            if w.isalpha():
+                stem, signs = w.lower(), b""
+            elif (m := _LETTERS_AND_SIGNS.fullmatch(w)) and b"<|" not in w:
+                stem, signs = m[1].lower(), m[2]
             else:
-                split[w] = (w,)
-        parts = self.parts
-        if len(parts) > MOST_WORDS:
-            parts.clear()
-        missing = {p for ps in split.values() for p in ps if p not in parts}
-        plain = [p for p in missing if _PLAIN.fullmatch(p)]
-        other = [p for p in missing if not _PLAIN.fullmatch(p)]
-        parts.update(zip(plain, self._encode_plain(plain), strict=True))
+                other.add(w)
+                split.append((w, w, b""))
+                continue
+            split.append((w, stem, signs))
+            if stem not in parts:
+                letters.add(stem)
+            if signs and signs not in parts:
+                other.add(signs)
+        letters, other = list(letters), list(other)
+        parts.update(zip(letters, self._encode_letters(letters), strict=True))
         parts.update(zip(other, self._encode([p.decode("utf-8", "replace") for p in other]), strict=True))
-        self.words.update((w, b"".join([parts[p] for p in ps])) for w, ps in split.items())
-
-    def encode(self, text: bytes) -> list[bytes]:
-        """The ids of a text, in pieces of many words each."""
-        words, out = text.split(), []  # at the six ASCII blanks
+        for w, stem, signs in split:
+            words[w] = parts[stem] + parts[signs] if signs else parts[stem]
+
+    def encode(self, texts: list[bytes]) -> Iterator[list[bytes]]:
+        """Ids of each text, in pieces of many words each."""
+        at = 0
+        while at < len(texts):
+            size, to = 0, at
+            while to < len(texts) and size < _TEXT_AT_ONCE:
+                size, to = size + len(texts[to]), to + 1
+            if to == at + 1 and size > _TEXT_AT_ONCE:
+                yield self._long(texts[at].split())
+            else:
+                split = [t.split() for t in texts[at:to]]  # at the six ASCII blanks
+                self._learn(set().union(*split))
+                get = self.words.__getitem__
+                for words in split:
+                    yield [b"".join(map(get, words))]
+            at = to
+
+    def _long(self, words: list[bytes]) -> list[bytes]:
+        out = []
         for at in range(0, len(words), _WORDS_AT_ONCE):
             some = words[at : at + _WORDS_AT_ONCE]
-            found = [*map(self.words.get, some)]
-            if None in found:
-                if len(self.words) > MOST_WORDS:
-                    self.words.clear()
-                self._fill(list({w for w in some if w not in self.words}))
-                found = [*map(self.words.__getitem__, some)]
-            out.append(b"".join(found))
+            self._learn(set(some))
+            out.append(b"".join(map(self.words.__getitem__, some)))
         return out
 
 
