@@ -194,13 +194,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 
 def labelled(prints: DataFrame) -> DataFrame:
-    """``prints`` (``id`` and ``fp``) plus ``component_id``."""
+    """``prints`` (``id`` and ``fp``) plus ``component`` (its least fingerprint) and ``component_id`` (its least id)."""
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints-distinct")
     label = components(written(links(distinct), "fingerprint-links"))  # node, component
     joined = distinct.join(label, distinct.fp == label.node, "left")
     joined = joined.select("fp", "first", F.coalesce("component", "fp").alias("component"))
     first = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = joined.join(first, "component").select("fp", "component_id")
+    named = joined.join(first, "component").select("fp", "component", "component_id")
     return prints.join(named, "fp")
 
 
@@ -215,7 +215,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     counted = slim.groupBy(F.col("__id").alias("id"), F.col("__fp").alias("fp")).agg(F.count("*").alias("n"))
     named = written(labelled(counted), "fingerprint-labels").filter("id <=> component_id")
     # One fingerprint for each component: of several rows with its smallest id, that of the least.
-    kept = named.groupBy("component_id").agg(F.min(F.struct("fp", "n")).alias("r"))
+    kept = named.groupBy("component").agg(F.first("component_id").alias("component_id"), F.min(F.struct("fp", "n")).alias("r"))
     kept = written(kept.select(F.col("component_id").alias("__id"), F.col("r.fp").alias("__fp"), "r.n"), "fingerprint-kept")
     same = prints[f"`{id_col}`"].eqNullSafe(kept["__id"]) & (prints["__fp"] == kept["__fp"])
     once = prints.join(kept.filter("n = 1"), same, "left_semi").select(*[f"`{c}`" for c in docs.columns])
