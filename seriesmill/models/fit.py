@@ -73,16 +73,14 @@ def _learn(train: DataFrame, features: list[str], fold: str, scale: str) -> Fitt
     return FittedFold(fold, imputer, scaler, imputer.kept, None)
 
 
-def _mirrored(train: DataFrame, features: list[str], n: int) -> DataFrame:
-    """The same losses with a constant feature that varies.
+def _mirrored(train: DataFrame, features: list[str]) -> DataFrame:
+    """The same mean loss with a constant feature that varies.
 
     MLlib fixes the weight of a feature without variance at 0, also that of the constant
     one. A row and its mirror image (features negated, target flipped) have the same loss
-    at any weights, so about half of the rows are mirrored; a small table gets both.
+    at any weights, so every row goes in with its mirror image.
     """
-    turn = F.when(F.pmod(F.xxhash64("target", *[F.col(f"`{f}`") for f in features]), F.lit(2)) == 0, -1).otherwise(1)
-    signs = F.array(turn) if n >= 1000 else F.array(F.lit(1), F.lit(-1))
-    out = train.select("*", F.explode(signs).alias("__sign"))
+    out = train.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("__sign"))
     sign = F.col("__sign")
     flipped = {c: F.col(f"`{c}`") * sign for c in [*features, BIAS]}
     return out.withColumns(flipped | {"target": F.when(sign > 0, F.col("target")).otherwise(1 - F.col("target"))})
@@ -96,7 +94,7 @@ def fit_logistic(train: DataFrame, features: list[str], fold: str, c: float = 1.
     """
     fitted = _learn(train, features, fold, "biased")
     n = train.count()
-    mirrored = _mirrored(fitted.columns(train), fitted.features, n)
+    mirrored = _mirrored(fitted.columns(train), fitted.features)
     fitted.model = LogisticRegression(
         featuresCol="features_vector",
         labelCol="target",

@@ -75,3 +75,12 @@ def test_forest_and_mlp(spark, table):
 def test_empty_fold_is_an_error(table):
     with pytest.raises(ValueError, match="test2"):
         fit.run_temporal_folds(table.filter("period < 3"), FEATURES, 2, fit.fit_logistic, ["id"])
+
+
+@pytest.mark.parametrize("n", [999, 1000, 1001])
+def test_logistic_of_equal_rows(spark, n):
+    """One distinct row: the intercept alone must carry the log odds, at any size."""
+    train = spark.range(n).select(F.lit(1).alias("target"), F.lit(1.0).alias("x"))
+    fitted = fit.fit_logistic(train, ["x"], "f")
+    w = fitted.model.coefficients.toArray()
+    assert w[0] == 0 and abs(w[-1] - n / (1 + np.exp(w[-1]))) < 1e-2
