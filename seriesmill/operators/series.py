@@ -18,8 +18,8 @@ from seriesmill.operators.ordering import (
 
 CHUNK = 128  # games folded in one array
 FAN_IN = 1024  # chunk functions folded in one array
-BITS = 5  # of a state code for the wins of one side: up to 31 wins may be needed
-LOW = (1 << BITS) - 1
+BITS = 12  # of a state code for the wins of one side
+LOW = (1 << BITS) - 1  # most wins that may be needed; more are an error
 STATE = (1 << 2 * BITS) - 1
 CLOSED = 1 << 2 * BITS  # one closed segment in a state code
 
@@ -86,6 +86,11 @@ def _advance(code: Column, winner: Column, need: Column) -> Column:
     return F.when((a >= need) | (b >= need), closed + CLOSED).otherwise(closed + F.shiftleft(a, BITS) + b)
 
 
+def _checked(need: Column) -> Column:
+    fault = F.raise_error(F.format_string("wins needed must be from 1 to %d, not %s", F.lit(LOW), need.cast("string")))
+    return F.when(need.between(1, LOW), need).otherwise(fault.cast("long"))
+
+
 def _all_states(need: Column) -> Column:
     return F.transform(
         F.sequence(F.lit(0).cast("long"), need * need - 1),
@@ -153,7 +158,7 @@ def split_by_threshold(
     """Number the segments (from 1) inside each key.
 
     A segment closes at the game in which a side reaches ``need`` wins (a function of the
-    keys); both counters then restart. Undecided games belong to the open segment and
+    keys, from 1 to ``LOW``; anything else is an error); both counters then restart. Undecided games belong to the open segment and
     count for nobody; a segment still open at the end is kept.
 
     The chunks are read twice, to compose them and to walk through them. ``cut`` may
@@ -164,7 +169,7 @@ def split_by_threshold(
     chunks = (
         numbered.groupBy(*keys, F.floor(F.col("__pos") / chunk).alias("id"))
         .agg(F.array_sort(F.collect_list(F.struct("__pos", F.struct(*columns).alias("row")))).alias("rows"))
-        .withColumn("need", need.cast("long"))
+        .withColumn("need", _checked(need.cast("long")))
     )
     chunks = cut(chunks) if cut else chunks
     starts = F.when(F.col("id") == 0, F.array(F.lit(0).cast("long"))).otherwise(_all_states(F.col("need")))

@@ -58,6 +58,22 @@ def test_threshold_matches_brute_force(spark, chunk):
     assert [got[("known", "Group Stages", None)].count(n) for n in (1, 2, 3)] == [4, 3, 3]
 
 
+@pytest.mark.parametrize("need", [1, 31, 32, 40, 100])
+def test_any_number_of_wins(spark, need):
+    rng = random.Random(need)
+    winners = list("AB") * 120 + rng.choices(["A", "B", None], [5, 5, 1], k=160)
+    df = games(spark, {("x", "Group Stages", None): winners})
+    out = s.split_by_threshold(df, KEYS, "ts", "game_id", F.lit(need), chunk=128)
+    assert [r["segment"] for r in out.orderBy("game_id").collect()] == brute(winners, need)
+
+
+@pytest.mark.parametrize("need", [0, -1, s.LOW + 1, None])
+def test_impossible_number_of_wins(spark, need):
+    df = games(spark, {("x", "Group Stages", None): list("AB")})
+    with pytest.raises(Exception, match="wins needed"):
+        s.split_by_threshold(df, KEYS, "ts", "game_id", F.lit(need).cast("int")).collect()
+
+
 def test_deep_composition(spark, monkeypatch):
     """A small fan-in makes one key climb all levels of the tree."""
     monkeypatch.setattr(s, "FAN_IN", 3)
