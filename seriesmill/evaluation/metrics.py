@@ -148,7 +148,7 @@ def _area(scores: DataFrame, keys: list[str]) -> DataFrame:
     like sums, plus every positive above times every negative below."""
     cut, levels = with_levels(scores, value_levels(F.col("probability")))
     order = ["probability", *reversed(levels)]
-    pairs = cut.withColumn("u", F.col("pos") * F.col("neg") / F.lit(2.0))
+    pairs = cut.withColumn("u", F.col("pos").cast("double") * F.col("neg") / F.lit(2.0))
     for depth in range(len(levels), -1, -1):
         group = keys + levels[:depth]
         below = (
@@ -156,7 +156,7 @@ def _area(scores: DataFrame, keys: list[str]) -> DataFrame:
             .orderBy(order[len(levels) - depth])
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        merged = pairs.withColumn("u", F.col("u") + F.col("pos") * F.coalesce(F.sum("neg").over(below), F.lit(0)))
+        merged = pairs.withColumn("u", F.col("u") + F.col("pos").cast("double") * F.coalesce(F.sum("neg").over(below), F.lit(0)))
         pairs = merged.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "u")])
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
     area = F.when(both, F.col("u") / (F.col("pos").cast("double") * F.col("neg")))
@@ -169,21 +169,33 @@ def metric_table(preds: DataFrame, keys: list[str], weight: str | None = None) -
     Every metric depends on (score, class, target) only, so equal ones are merged first
     and the predictions are read and shuffled once.
     """
-    w, y, p = _weight(weight), F.col("target"), F.col("probability")
+    return _metrics_of(_merged(preds, keys, weight), keys)
+
+
+CELLS = ("tn", "fp", "fn", "tp")
+
+
+def _merged(preds: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
+    """Weights by key, score and confusion cell."""
+    w, y = _weight(weight), F.col("target")
     yes = F.col("prediction") == 1
 
     def cell(target: int, decided: Column) -> Column:
         return F.sum(F.when((y == target) & decided, w).otherwise(0))
 
-    merged = preds.groupBy(*keys, "probability").agg(
+    return preds.groupBy(*keys, "probability").agg(
         cell(0, ~yes).alias("tn"), cell(0, yes).alias("fp"), cell(1, ~yes).alias("fn"), cell(1, yes).alias("tp")
     )
+
+
+def _metrics_of(merged: DataFrame, keys: list[str]) -> DataFrame:
+    p = F.col("probability")
     pos, neg = F.col("fn") + F.col("tp"), F.col("tn") + F.col("fp")
     losses = pos * _log_loss_of(p, True) + neg * _log_loss_of(p, False)
     misses = pos * (p - 1) * (p - 1) + neg * p * p
     n = F.sum(pos + neg)
     sums = merged.groupBy(*keys).agg(
-        *[F.sum(c).alias(c) for c in ("tn", "fp", "fn", "tp")],
+        *[F.sum(c).alias(c) for c in CELLS],
         (F.sum(losses) / n).alias("log_loss"),
         (F.sum(misses) / n).alias("brier_score"),
     )
@@ -192,9 +204,11 @@ def metric_table(preds: DataFrame, keys: list[str], weight: str | None = None) -
 
 
 def metrics_by_scope(preds: DataFrame) -> DataFrame:
-    """Pooled rows and one row per fold, for each model."""
-    pooled = metric_table(preds, ["model"]).withColumn("fold", F.lit("pooled"))
-    return pooled.unionByName(metric_table(preds, ["model", "fold"]))
+    """Pooled rows and one row per fold, for each model; the pooled ones add up the folds' merged scores."""
+    by_fold = _merged(preds, ["model", "fold"])
+    pooled = by_fold.groupBy("model", "probability").agg(*[F.sum(c).alias(c) for c in CELLS])
+    pooled = _metrics_of(pooled, ["model"]).withColumn("fold", F.lit("pooled"))
+    return pooled.unionByName(_metrics_of(by_fold, ["model", "fold"]))
 
 
 def roc_points(preds: DataFrame, keys: list[str]) -> DataFrame:
@@ -271,6 +285,17 @@ def rank_models(table: DataFrame, metric: str) -> DataFrame:
     return table.select("model", metric, F.rank().over(order).alias("rank"))
 
 
+def rank_by_all(table: DataFrame) -> DataFrame:
+    """(model, metric, rank) for every metric, from one pass over the table of one row per model."""
+    cells = [
+        F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"), (F.col(m) * (-1 if up else 1)).alias("worse"))
+        for m, up in HIGHER_IS_BETTER.items()
+    ]
+    long = table.select("model", F.explode(F.array(*cells)).alias("c")).select("model", "c.*")
+    rank = F.rank().over(Window.partitionBy("metric").orderBy(F.asc_nulls_last("worse")))
+    return long.select("model", "metric", rank.alias("rank"))
+
+
 def alignment_problems(preds: DataFrame, models: list[str]) -> DataFrame:
     """Contests some model lacks or scores with another target or fold: must be empty."""
     per_id = preds.filter(F.col("model").isin(*models)).groupBy("id").agg(

@@ -176,11 +176,7 @@ def missed_by_all(spark, sf):
 {" union all ".join(f"select model, '{c}' as metric, rank() over (order by {c} {'desc' if up else 'asc'})::int as rank from metrics" for c, up in m.HIGHER_IS_BETTER.items())}""",
 )
 def rank_models(spark, sf):
-    table = m.metric_table(preds(spark, sf), ["model"])
-    parts = [
-        m.rank_models(table, c).select("model", F.lit(c).alias("metric"), "rank") for c in m.HIGHER_IS_BETTER
-    ]
-    return d.union_all(parts)
+    return m.rank_by_all(m.metric_table(preds(spark, sf), ["model"]))
 
 
 def _misaligned(spark, sf):

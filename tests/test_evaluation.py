@@ -153,3 +153,9 @@ def test_prediction_synonyms(spark):
     assert (r["id"], r["target"], r["prediction"], r["fold"], r["tournament"]) == ("s1", 1, 1, "f", "")
     with pytest.raises(ValueError):
         m.standardise_predictions(raw.drop("y_prob"), "mine")
+
+
+def test_area_of_heavy_weights(spark):
+    rows = [("m", 0.2, 1, 4_000_000_000), ("m", 0.2, 0, 4_000_000_000), ("m", 0.8, 1, 4_000_000_000), ("m", 0.8, 0, 4_000_000_000)]
+    preds = spark.createDataFrame(rows, "model string, probability double, target int, weight long")
+    assert m.roc_auc(preds, ["model"], "weight").first()["roc_auc"] == 0.5
