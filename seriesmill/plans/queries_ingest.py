@@ -189,7 +189,7 @@ def _sides_sql():
 @register(
     "game_rows",
     f"""with {SIDES}, b as (select * from sides where color = 'blue'), o as (select * from sides where color = 'orange'),
-g as (select game_id from sides group by 1 having max(top) < 50)
+g as (select game_id from sides group by 1 having max(top) < 50 and count(*) = 2)
 select game_id || '' as replay_id, case when game_id % 3 = 2 then 'Playoff 1' else 'Group Stages' end as stage,
   case game_id % 3 when 0 then 'Group A' when 1 then 'Group B' end as subgroup,
   {FOLDER} || '/' || game_id || case when game_id % 4 = 2 then '_team.csv' else '-teams.csv' end as source_team_file,

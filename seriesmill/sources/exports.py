@@ -37,6 +37,7 @@ SYNONYMS = {
     "demos_taken": ["demos taken", "demos received", "demos_taken"],
 }
 SYNONYMS |= {"color": ["color", "team color"], "duration": ["game duration", "duration"]}
+# Header synonyms of names, by kind of file.
 TEAM_FILE_NAMES = ["team name", "name", "team"]
 PLAYER_FILE_TEAM_NAMES = ["team name", "team"]
 PLAYER_NAMES = ["player name", "player", "name"]
@@ -78,8 +79,9 @@ def with_path_fields(files: DataFrame, root: str) -> DataFrame:
 def _cells(line: Column, sep: str) -> Column:
     """Cells of one line; a cell may be quoted and then contain the separator."""
     s = "\\" + sep
+    # Possessive throughout: a cell of any length costs no stack.
     raw = F.regexp_extract_all(
-        F.concat(F.lit(sep), line), F.lit(s + '("(?:[^"]|"")*"|[^' + s + "]*)"), F.lit(1)
+        F.concat(F.lit(sep), line), F.lit(s + '("[^"]*+(?:""[^"]*+)*+"|[^' + s + "]*+)"), F.lit(1)
     )
     unquoted = F.transform(
         raw,
@@ -117,9 +119,11 @@ def parse_exports(files: DataFrame, sep: str = ";") -> DataFrame:
 
     ``cells`` maps a column's name to its text. Synonyms of statistics, colour and
     duration go by one name; where a file has several, or repeats one, the preferred or
-    first column counts. Missing and blank cells are null.
+    first column counts. Missing and blank cells are null. A quoted cell may hold line
+    breaks. A file without a data line gives one row without ``row_no`` and cells.
     """
-    lines = F.filter(F.split("content", "\r?\n"), lambda x: F.trim(F.replace(x, F.lit("\ufeff"))) != "")
+    records = F.regexp_extract_all("content", F.lit(r'((?:[^"\r\n]++|"[^"]*+(?:"|\z))++)'), F.lit(1))
+    lines = F.filter(records, lambda x: F.trim(F.replace(x, F.lit("\ufeff"))) != "")
     out = (
         files.withColumn("__all", lines)
         .withColumn("header", normalise_headers(_cells(F.get("__all", F.lit(0)), sep)))
@@ -135,12 +139,13 @@ def parse_exports(files: DataFrame, sep: str = ";") -> DataFrame:
         .withColumn("__lines", F.transform(F.slice("__all", 2, 2147483646), lambda x: _cells(x, sep)))
         .drop("content", "__all", "__sorted")
     )
-    out = out.select("*", F.posexplode("__lines").alias("row_no", "__cells")).drop("__lines")
+    out = out.select("*", F.posexplode_outer("__lines").alias("row_no", "__cells")).drop("__lines")
     values = F.transform(
         "__names",
         lambda e: F.struct(e["n"], F.nullif(F.trim(F.get(F.col("__cells"), e["i"])), F.lit("")).alias("v")),
     )
-    return out.withColumn("cells", F.map_from_entries(values)).drop("__names", "__cells")
+    cells = F.when(F.col("row_no").isNotNull(), F.map_from_entries(values))
+    return out.withColumn("cells", cells).drop("__names", "__cells")
 
 
 def cell(names: list[str]) -> Column:
@@ -164,7 +169,7 @@ def _with_stats(rows: DataFrame) -> DataFrame:
 
 def player_stats(rows: DataFrame) -> DataFrame:
     """Typed statistics of player rows."""
-    return _with_stats(rows).select(
+    return _with_stats(rows.filter(F.col("row_no").isNotNull())).select(
         "folder",
         "replay_id",
         "row_no",
@@ -178,7 +183,7 @@ def player_stats(rows: DataFrame) -> DataFrame:
 
 def team_rows(rows: DataFrame) -> DataFrame:
     """Colour, name, score (goals where it is missing) and duration of team rows."""
-    return rows.select(
+    return rows.filter(F.col("row_no").isNotNull()).select(
         "folder",
         "replay_id",
         "stage",
@@ -208,8 +213,8 @@ def pair_files(files: DataFrame) -> DataFrame:
 def reject_reasons(rows: DataFrame, required: list[str]) -> DataFrame:
     """One row per team export: why it cannot be used, or null.
 
-    Reasons, first match: missing columns, not two rows, not one blue and one orange,
-    no player export.
+    Reasons, first match: an empty file, missing columns, no data rows, not two rows, not
+    one blue and one orange, no player export (one without data rows counts as none).
     """
     team = rows.filter(F.col("kind") == "team")
     has_all = F.lit(True)
@@ -217,19 +222,22 @@ def reject_reasons(rows: DataFrame, required: list[str]) -> DataFrame:
         has_all = has_all & F.array_contains("header", name)
     colour = F.lower(F.trim(F.col("cells")["color"]))
     checked = team.groupBy("folder", "replay_id").agg(
-        F.bool_and(has_all).alias("complete"),
-        F.count(F.lit(1)).alias("n"),
+        F.bool_and(F.coalesce(has_all, F.lit(False))).alias("complete"),
+        F.bool_and(F.col("header").isNull()).alias("empty"),
+        F.count("row_no").alias("n"),
         F.count_if(colour == "blue").alias("blue"),
         F.count_if(colour == "orange").alias("orange"),
     )
     players = (
-        rows.filter(F.col("kind") == "player")
+        rows.filter((F.col("kind") == "player") & F.col("row_no").isNotNull())
         .select("folder", "replay_id")
         .distinct()
         .withColumn("has_players", F.lit(True))
     )
     reason = (
-        F.when(~F.col("complete"), "missing_columns")
+        F.when(F.col("empty"), "empty_file")
+        .when(~F.col("complete"), "missing_columns")
+        .when(F.col("n") == 0, "no_rows")
         .when(F.col("n") != 2, "team_rows_not_2")
         .when((F.col("blue") != 1) | (F.col("orange") != 1), "not_one_blue_one_orange")
         .when(F.col("has_players").isNull(), "no_player_export")
@@ -239,19 +247,24 @@ def reject_reasons(rows: DataFrame, required: list[str]) -> DataFrame:
     )
 
 
-def game_rows(rows: DataFrame) -> DataFrame:
+def game_rows(rows: DataFrame, required: list[str] | None = None) -> DataFrame:
     """45 columns per game: identity, scores, both sides' statistics and the winner.
 
     Names come from the team export, else from the first named player row of the colour.
-    Games without one of the two exports are left out; ``reject_reasons`` names them.
+    Only sound games are built: a team export of one blue and one orange row, a player
+    export with rows, and all ``required`` columns; ``reject_reasons`` names the others.
     """
     from seriesmill.functions.rules import winner_from_goals
     from seriesmill.operators.games import COLOURS
 
     team, player, text = F.col("kind") == "team", F.col("kind") == "player", F.col("cells")
-    typed = _with_stats(rows).select(
+    complete = F.lit(True)
+    for name in required or []:
+        complete = complete & F.array_contains("header", name)
+    typed = _with_stats(rows.filter(F.col("row_no").isNotNull())).select(
         "folder",
         "replay_id",
+        complete.alias("complete"),
         "kind",
         "row_no",
         "stage",
@@ -272,7 +285,8 @@ def game_rows(rows: DataFrame) -> DataFrame:
     # One colour of one game first, both exports together; then both colours side by side.
     place = F.when(F.col("duration").isNotNull(), F.struct((~team).alias("second"), F.col("row_no")))
     sides = typed.groupBy("folder", "replay_id", "color").agg(
-        F.bool_or(team).alias("in_team"),
+        F.count_if(team).alias("team_rows"),
+        F.bool_and(~team | F.col("complete")).alias("complete"),
         F.bool_or(player).alias("in_player"),
         F.min(F.when(team, F.col("stage"))).alias("stage"),
         F.min(F.when(team, F.col("subgroup"))).alias("subgroup"),
@@ -288,7 +302,9 @@ def game_rows(rows: DataFrame) -> DataFrame:
     out = (
         sides.groupBy("folder", "replay_id")
         .agg(
-            F.bool_or("in_team").alias("in_team"),
+            F.bool_and("complete").alias("complete"),
+            F.sum("team_rows").alias("team_rows"),
+            *[F.sum(F.when(F.col("color") == c, F.col("team_rows")).otherwise(0)).alias(f"{c}_rows") for c in COLOURS],
             F.bool_or("in_player").alias("in_player"),
             F.min("stage").alias("stage"),
             F.min("subgroup").alias("subgroup"),
@@ -296,7 +312,7 @@ def game_rows(rows: DataFrame) -> DataFrame:
             F.min_by("duration", "place").alias("game_duration"),
             *[F.first(F.when(F.col("color") == c, side), ignorenulls=True).alias(c) for c in COLOURS],
         )
-        .filter(F.col("in_team") & F.col("in_player"))
+        .filter("complete and in_player and team_rows = 2 and blue_rows = 1 and orange_rows = 1")
     )
     out = out.withColumns(
         {f"{c}_{f}": F.col(f"{c}.{f}") for c in COLOURS for f in ("team", "score", *SUMMED, *AVERAGED)}

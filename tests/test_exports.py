@@ -44,7 +44,7 @@ def test_columns_go_by_name(spark, tmp_path):
 def test_game_rows(spark, tmp_path):
     games = {r["replay_id"]: r for r in x.game_rows(exports(spark, tmp_path)).collect()}
     g1 = games["g1"]
-    assert len(g1) == 44 and set(games) == {"g1", "g2", "g3"}
+    assert len(g1) == 44 and set(games) == {"g1", "g2"}
     assert (g1["blue_team"], g1["orange_team"], g1["game_winner"]) == ("Red; Blue", "Guests", "Red; Blue")
     assert (g1["blue_goals"], g1["blue_assists"], g1["blue_shooting_percentage"]) == (2, 1, 50)
     assert g1["blue_demos_taken"] is None and g1["orange_demos_taken"] == 3
@@ -66,3 +66,27 @@ def test_pairs(spark, tmp_path):
     files = x.with_path_fields(x.read_exports(spark, str(tmp_path)), str(tmp_path))
     got = {r["replay_id"]: r["player_file"] for r in x.pair_files(files).collect()}
     assert got["g2"] == "Playoff 1/g2_player.csv" and got["g4"] is None
+
+
+def parsed(spark, **contents):
+    rows = [(f"/raw/S/{name.replace('_', '-')}.csv", c) for name, c in contents.items()]
+    return x.parse_exports(x.with_path_fields(spark.createDataFrame(rows, "path string, content string"), "/raw/"))
+
+
+def test_quoted_line_breaks_and_long_cells(spark):
+    long = "y" * 1_000_000
+    rows = parsed(spark, g_players=PLAYER + f'blue;"an\nn ""x""";1;2;3;4\r\norange;"{long}";5;6;7;8\n')
+    got = {r["row_no"]: r for r in x.player_stats(rows).collect()}
+    assert len(got) == 2 and got[0]["player"] == 'an\nn "x"' and got[1]["player"] == long and got[1]["goals"] == 5
+    open_quote = x.player_stats(parsed(spark, g_players=PLAYER + 'blue;"ann;1;2;3;4\norange;bob;1;2;3;4\n'))
+    assert open_quote.count() == 1
+
+
+def test_files_without_rows_are_rejected(spark):
+    two = "blue;A;1;1;300\norange;B;2;2;300\n"
+    rows = parsed(
+        spark, a_teams=TEAM, b_teams="", c_teams=TEAM + two, c_players=PLAYER, d_teams=TEAM + two, d_players=PLAYER + "blue;x;1;1;1;1\n"
+    )
+    why = {r["replay_id"]: r["reject_reason"] for r in x.reject_reasons(rows, ["color", "score"]).collect()}
+    assert why == {"a": "no_rows", "b": "empty_file", "c": "no_player_export", "d": None}
+    assert {r["replay_id"] for r in x.game_rows(rows).collect()} == {"d"}
