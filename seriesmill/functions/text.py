@@ -31,8 +31,10 @@ def to_double_lenient(c: Column) -> Column:
 
 
 def to_utc_lenient(c: Column) -> Column:
-    """UTC timestamp or null; never an error."""
-    return F.trim(c.cast("string")).try_cast("timestamp")
+    """UTC timestamp of a text, or null; never an error. A text without a zone is UTC."""
+    text = F.trim(c.cast("string"))
+    forms = [*(F.concat(text, F.lit(end)) for end in ("Z", ":00Z", " 00:00:00Z")), text]
+    return F.coalesce(*[form.try_cast("timestamp") for form in forms])
 
 
 def alias_name(c: Column, mapping: dict[str, str], ignore_case: bool = False) -> Column:
@@ -47,8 +49,11 @@ def alias_name(c: Column, mapping: dict[str, str], ignore_case: bool = False) ->
 
 
 def alias_by_table(df: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
-    """Alias replacement from a table (alias, name); Spark sizes the join itself."""
-    pairs = aliases.select(F.col("alias").alias("__alias"), F.col("name").alias("__name"))
+    """Alias replacement from a table (alias, name); of a repeated alias the smallest name counts.
+
+    Spark sizes the join itself.
+    """
+    pairs = aliases.groupBy(F.col("alias").alias("__alias")).agg(F.min("name").alias("__name"))
     out = df.withColumn(column, F.trim(column))
     out = out.join(pairs, F.col(column) == F.col("__alias"), "left")
     return out.withColumn(column, F.coalesce("__name", column)).drop("__alias", "__name")

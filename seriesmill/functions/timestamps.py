@@ -15,7 +15,8 @@ ASSUMED_OFFSET_HOURS = -6
 def _clock(text: Column) -> Column:
     """UTC instant of a minute-precision clock text, null if it is no real time."""
     tidy = F.regexp_replace(text, r"\s+", " ")
-    return F.when(tidy != "", F.try_to_timestamp(tidy, F.lit("yyyy-MM-dd HH:mm")))
+    zoned = F.concat(tidy, F.lit(" +00:00"))  # whatever the session's zone is
+    return F.when(tidy != "", F.try_to_timestamp(zoned, F.lit("yyyy-MM-dd HH:mm XXX")))
 
 
 def _shift(instant: Column, offset_hours: Column) -> Column:

@@ -13,9 +13,10 @@ from seriesmill.functions.rules import difference
 
 
 def attach_metadata(games: DataFrame, metadata: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Left join with only the wanted metadata columns; one metadata row per key."""
+    """Left join with only the wanted metadata columns; of repeated keys the greatest row counts."""
     stale = [c for c in columns if c in games.columns]
-    return games.drop(*stale).join(metadata.select(key, *columns), key, "left")
+    one = metadata.groupBy(key).agg(F.max(F.struct(*columns)).alias("__m")).select(key, "__m.*")
+    return games.drop(*stale).join(one, key, "left")
 
 
 def attach_both_sides(contests: DataFrame, stats: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -88,10 +88,11 @@ def keys_to_fetch(df: DataFrame, key: str, done: DataFrame | None = None) -> Dat
 
 
 def upsert_latest(existing: DataFrame, new: DataFrame, key: str, sequence: str) -> DataFrame:
-    """Append and keep, per key, the row with the highest ``sequence``.
+    """Append and keep, per key, the row with the highest ``sequence``; of several the greatest by value.
 
-    ``max_by`` keeps one row per key already before the shuffle.
+    ``max`` keeps one row per key already before the shuffle.
     """
     both = existing.unionByName(new, allowMissingColumns=True)
     others = [c for c in both.columns if c != key]
-    return both.groupBy(key).agg(F.max_by(F.struct(*others), F.col(sequence)).alias("r")).select(key, "r.*")
+    last = F.max(F.struct(F.col(sequence).alias("__sequence"), F.struct(*others).alias("row")))
+    return both.groupBy(key).agg(last.alias("r")).select(key, "r.row.*")

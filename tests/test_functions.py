@@ -80,3 +80,23 @@ def test_rules(spark):
     assert one(spark, rules.is_playoff(F.col("s")), s=None) == 0
     assert one(spark, rules.format_series_id(F.lit("O1"), F.col("n")), n="7") == "O1_007"
     assert one(spark, rules.format_series_id(F.lit("O1"), F.col("n")), n="12345") == "O1_12345"
+
+
+def test_times_do_not_depend_on_the_session_zone(spark):
+    from seriesmill.functions.text import to_utc_lenient
+    from seriesmill.functions.timestamps import parse_display_timestamp
+
+    texts = ["2025-01-10 18:22 UTC", "(2025-01-10 12:22 -06)", "2025-01-10 12:22"]
+    plain = ["2025-01-10 18:22", "2025-01-10", "2025-01-10T18:22:00Z", "2025-01-10 18:22:00+02:00", "x", None]
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    found = []
+    for other in (zone, "America/Chicago"):
+        spark.conf.set("spark.sql.session.timeZone", other)
+        try:
+            a = spark.createDataFrame([(t,) for t in texts], "t string").select(F.unix_seconds(parse_display_timestamp(F.col("t"))["utc"]))
+            b = spark.createDataFrame([(t,) for t in plain], "t string").select(F.unix_seconds(to_utc_lenient(F.col("t"))))
+            found.append([[r[0] for r in df.collect()] for df in (a, b)])
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+    noon = 1736533320
+    assert found[0] == found[1] == [[noon] * 3, [noon, 1736467200, noon, noon - 7200, None, None]]
