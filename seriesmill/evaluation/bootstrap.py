@@ -42,13 +42,16 @@ def sample_weights(positions: DataFrame, reps: int, seed: int) -> DataFrame:
 
 
 def replicate_metrics(preds: DataFrame, reps: int = 10000, seed: int = 42) -> DataFrame:
-    """Metrics per replicate and model. Each model must score every contest once."""
-    positions = fold_positions(preds.select("id", "fold").distinct())
-    placed = preds.join(positions, ["id", "fold"])
-    weights = sample_weights(positions, reps, seed)
-    sample = weights.join(placed, ["fold", "position"]).select(
-        "rep", "model", "target", "probability", "prediction", "weight"
-    )
+    """Metrics per replicate and model. Each model must score every contest once.
+
+    A contest's scores by all models are one row, so its weights meet it once; models are
+    unfolded after that and merge before the next shuffle.
+    """
+    scores = F.collect_list(F.struct("model", "target", "probability", "prediction"))  # one for each model
+    placed = fold_positions(preds.groupBy("id", "fold").agg(scores.alias("scores")))
+    weights = sample_weights(placed, reps, seed)
+    joined = weights.join(placed.select("fold", "position", "scores"), ["fold", "position"])
+    sample = joined.select("rep", "weight", F.explode("scores").alias("s")).select("rep", "s.*", "weight")
     return metric_table(sample, ["rep", "model"], "weight").select("rep", "model", *METRICS)
 
 

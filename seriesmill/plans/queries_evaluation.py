@@ -13,7 +13,7 @@ from seriesmill.plans.catalog import r6, r6_sql, register
 from seriesmill.plans.views_sql import CONTESTS, PREDICTIONS
 
 MODELS = ["score_share", "scramble", "size_share"]
-REPS = 20
+REPS = 1000
 SEED = 42
 
 SCORED = f"""with {PREDICTIONS}, preds as (
