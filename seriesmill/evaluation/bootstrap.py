@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.evaluation.metrics import HIGHER_IS_BETTER, METRICS, metric_table
-from seriesmill.operators.ordering import id_piece, with_position
+from seriesmill.operators.ordering import id_level, with_position
 
+TEXT_LEVELS = (3, 6, 9, 12)  # ids of text are cut at longer and longer beginnings
 HEX_DIGITS = 15  # 60 bits: far more than there are rows to draw from
 
 
@@ -24,9 +25,8 @@ def draw(seed: int, rep: Column, fold: Column, slot: Column, size: Column) -> Co
 
 def fold_positions(contests: DataFrame) -> DataFrame:
     """(id, fold, position): each fold's contests numbered from 0 in id order."""
-    numeric = dict(contests.dtypes)["id"] in ("int", "bigint")
-    level = id_piece(F.col("id")) if numeric else F.substring("id", 1, 3)
-    return with_position(contests, ["fold"], ["id"], [level], "position", start=0)
+    levels = id_level(contests, "id") or [F.substring("id", 1, n) for n in TEXT_LEVELS]
+    return with_position(contests, ["fold"], ["id"], levels, "position", start=0)
 
 
 def sample_weights(positions: DataFrame, reps: int, seed: int) -> DataFrame:

@@ -35,6 +35,18 @@ def id_piece(c: Column) -> Column:
     return F.floor(c / F.lit(ID_PIECE))
 
 
+def id_level(df: DataFrame, column: str) -> list[Column]:
+    """The id's slice as a level; none for ids that are no whole numbers."""
+    kind = dict(df.dtypes)[column]
+    whole = kind in ("tinyint", "smallint", "int", "bigint") or kind.startswith("decimal") and kind.endswith(",0)")
+    return [id_piece(F.col(column))] if whole else []
+
+
+def order_levels(df: DataFrame, ts: str, tiebreak: str) -> list[Column]:
+    """Levels for the order (ts, tiebreak): a crowded minute is cut by time, a crowded time by id."""
+    return time_levels(ts, *id_level(df, tiebreak))
+
+
 def time_levels(ts: str, *then: Column) -> list[Column]:
     """Levels for an order (ts, ..., id): the minute, then all coarse parts together.
 
@@ -94,36 +106,36 @@ def with_position(
 
 
 def with_previous(
-    df: DataFrame, keys: list[str], order: list[str], level: Column, values: list[str], name: str
+    df: DataFrame, keys: list[str], order: list[str], levels: list[Column], values: list[str], name: str
 ) -> DataFrame:
     """Add the struct ``name`` holding ``values`` of the preceding row of the same key."""
-    cut, (lv,) = with_levels(df, [level])
+    cut, names = with_levels(df, levels)
     last = (
-        cut.groupBy(*keys, lv)
+        cut.groupBy(*keys, *names)
         .agg(F.max_by(F.struct(*values), F.struct(*order)).alias("__last"))
         .withColumn(
-            "__carried", F.lag("__last").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(lv))
+            "__carried", F.lag("__last").over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*names))
         )
         .drop("__last")
     )
-    inside = F.lag(F.struct(*values)).over(Window.partitionBy(*keys, lv).orderBy(*order))
-    out = join_null_safe(cut.withColumn("__inside", inside), last, keys + [lv])
-    return out.withColumn(name, F.coalesce("__inside", "__carried")).drop("__inside", "__carried", lv)
+    inside = F.lag(F.struct(*values)).over(Window.partitionBy(*keys, *names).orderBy(*order))
+    out = join_null_safe(cut.withColumn("__inside", inside), last, keys + names)
+    return out.withColumn(name, F.coalesce("__inside", "__carried")).drop("__inside", "__carried", *names)
 
 
 def with_running_total(
-    df: DataFrame, keys: list[str], order: list, level: Column, value: str, name: str
+    df: DataFrame, keys: list[str], order: list, levels: list[Column], value: str, name: str
 ) -> DataFrame:
     """Add the running total of ``value`` up to and including each row of its key."""
-    cut, (lv,) = with_levels(df, [level])
-    sums = cut.groupBy(*keys, lv).agg(F.sum(value).alias("__sum"))
-    offsets = exclusive_totals(sums, keys, [lv], ["__sum"]).drop("__sum")
+    cut, names = with_levels(df, levels)
+    sums = cut.groupBy(*keys, *names).agg(F.sum(value).alias("__sum"))
+    offsets = exclusive_totals(sums, keys, names, ["__sum"]).drop("__sum")
     inside = F.sum(value).over(
-        Window.partitionBy(*keys, lv).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        Window.partitionBy(*keys, *names).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     )
-    out = join_null_safe(cut.withColumn("__inside", inside), offsets, keys + [lv])
+    out = join_null_safe(cut.withColumn("__inside", inside), offsets, keys + names)
     return out.withColumn(name, F.col("before___sum") + F.col("__inside")).drop(
-        "__inside", "before___sum", lv
+        "__inside", "before___sum", *names
     )
 
 

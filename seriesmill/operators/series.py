@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from seriesmill.functions.rules import minutes_between, series_key, wins_required
 from seriesmill.operators.ordering import (
     join_null_safe,
-    minute_of,
+    order_levels,
     with_position,
     with_previous,
     with_running_total,
@@ -31,9 +31,9 @@ def sessionise(
 
     Null keys form a group of their own. Adds previous value and time, minutes since.
     """
-    level = minute_of(ts)
+    levels = order_levels(df, ts, tiebreak)
     order = [ts, tiebreak]
-    out = with_previous(df, keys, order, level, [ts, change], "__previous")
+    out = with_previous(df, keys, order, levels, [ts, change], "__previous")
     out = out.withColumns(
         {
             f"previous_{change}": F.col(f"__previous.{change}"),
@@ -47,7 +47,7 @@ def sessionise(
         | (F.col("minutes_since_previous") > gap_minutes)
     )
     out = out.withColumn("new_session", begins.cast("int")).drop("__previous")
-    return with_running_total(out, keys, order, level, "new_session", "session")
+    return with_running_total(out, keys, order, levels, "new_session", "session")
 
 
 def candidate_summary(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
@@ -61,14 +61,13 @@ def number_in_group(
     df: DataFrame, keys: list[str], ts: str, tiebreak: str, name: str = "game_number", null_keys: bool = False
 ) -> DataFrame:
     """Position of a game in its series; rows without a series get none unless asked."""
+    numbered = with_position(df, keys, [ts, tiebreak], order_levels(df, ts, tiebreak), name)
     if null_keys:
-        return with_position(df, keys, [ts, tiebreak], [minute_of(ts)], name)
+        return numbered
     known = F.lit(True)
     for k in keys:
         known = known & F.col(k).isNotNull()
-    numbered = with_position(df.filter(known), keys, [ts, tiebreak], [minute_of(ts)], name)
-    rest = df.filter(~known).withColumn(name, F.lit(None).cast("long"))
-    return numbered.unionByName(rest)
+    return numbered.withColumn(name, F.when(known, F.col(name)))
 
 
 # --- segments that close when a side has won often enough --------------------------------
@@ -165,7 +164,7 @@ def split_by_threshold(
     turn them into a table in between, such as ``sources.tables.written``.
     """
     columns = [c for c in games.columns if c not in keys]
-    numbered = with_position(games, keys, [ts, tiebreak], levels or [minute_of(ts)], "__pos", start=0)
+    numbered = with_position(games, keys, [ts, tiebreak], levels or order_levels(games, ts, tiebreak), "__pos", start=0)
     chunks = (
         numbered.groupBy(*keys, F.floor(F.col("__pos") / chunk).alias("id"))
         .agg(F.array_sort(F.collect_list(F.struct("__pos", F.struct(*columns).alias("row")))).alias("rows"))
@@ -318,7 +317,7 @@ def chronological_series_id(
     """``series_number`` by first time inside each period, and the id made from it."""
     from seriesmill.functions.rules import format_series_id
 
-    out = with_position(series, [period], [start, *tiebreaks], [minute_of(start)], "series_number")
+    out = with_position(series, [period], [start, *tiebreaks], order_levels(series, start, tiebreaks[0]), "series_number")
     return out.withColumn("series_id", format_series_id(prefix, F.col("series_number"), width))
 
 

@@ -45,3 +45,24 @@ def test_exact_quantiles(spark):
 def test_quantiles_without_key(spark):
     got = o.exact_quantiles(spark.range(11).withColumn("v", F.col("id") * 1.0), [], "v", [0.25]).collect()
     assert [(r["prob"], r["quantile"]) for r in got] == [(0.25, 2.5)]
+
+
+def test_previous_and_totals_on_one_timestamp(spark):
+    df = spark.range(300_000).select(F.col("id"), F.timestamp_seconds(F.lit(60)).alias("ts"), F.lit("k").alias("k"), F.lit(1).alias("one"))
+    levels = o.order_levels(df, "ts", "id")
+    assert len(levels) == 2
+    cut, names = o.with_levels(df, levels)
+    assert cut.groupBy(*names).count().agg(F.max("count")).first()[0] <= o.ID_PIECE
+    before = o.with_previous(df, ["k"], ["ts", "id"], levels, ["id"], "p")
+    assert before.filter("p.id is distinct from nullif(id, 0) - 1").count() == 0
+    total = o.with_running_total(df, ["k"], ["ts", "id"], levels, "one", "n")
+    assert total.filter("n <> id + 1").count() == 0
+    assert o.id_level(df.select(F.col("id").cast("string").alias("id")), "id") == []
+
+
+def test_positions_of_text_ids(spark):
+    from seriesmill.evaluation.bootstrap import fold_positions
+
+    ids = [f"O{1 + i % 3}_{i:04d}" for i in range(500)]
+    df = spark.createDataFrame([("f", i) for i in ids], "fold string, id string")
+    assert [r["position"] for r in fold_positions(df).orderBy("id").collect()] == list(range(500))
