@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.rules import difference
-from seriesmill.operators.ordering import id_piece
 
 WINDOWS = (3, 5)
 TOTALS = ("wins", "losses", "game_wins", "game_losses")
@@ -48,74 +47,49 @@ def _latest(arrays: Column, k: int) -> Column:
 def _moments(rows: DataFrame, k: int, bucket: str) -> DataFrame:
     """One row per team and timestamp: totals, its newest k results, wins since a loss.
 
-    Contests sharing a timestamp are first gathered in pieces of at most ``ID_PIECE``
-    ids each, so a crowded moment of one team is spread over tasks. The result is laid
-    out by (team, bucket), as the scan that follows needs it.
+    Totals and the last loss are partial sums and maxima. The newest results are ranked with
+    a limit of k, which Spark applies before the shuffle, so no array holds more than k. Wins
+    after the last loss are counted by joining it back. The result is laid out by (team,
+    bucket), as the scan that follows needs it.
     """
     decided = F.col("won").isNotNull()
     games = F.col("game_wins") + F.col("game_losses")
-    numeric_id = dict(rows.dtypes)["contest_id"] in ("int", "bigint", "smallint", "tinyint")
-    piece = id_piece(F.col("contest_id")) if numeric_id else F.substring("contest_id", 1, 3)
-    place = F.struct("tournament_order", "contest_id", "side")
-    result = F.struct(
-        place.alias("place"),
-        F.col("won"),
-        F.when(games > 0, F.col("game_wins") / games).alias("rate"),
+    placed = rows.withColumns(
+        {
+            "place": F.struct("tournament_order", "contest_id", "side"),
+            "rate": F.when(games > 0, F.col("game_wins") / games),
+        }
     )
-    pieces = (
-        rows.withColumn("piece", piece)
-        .groupBy("team", "ts", "tournament_order", "piece")
-        .agg(
-            F.coalesce(F.sum("won"), F.lit(0)).alias("wins"),
-            F.coalesce(F.sum(1 - F.col("won")), F.lit(0)).alias("losses"),
-            F.coalesce(F.sum(F.when(decided, F.col("game_wins"))), F.lit(0)).alias("game_wins"),
-            F.coalesce(F.sum(F.when(decided, F.col("game_losses"))), F.lit(0)).alias("game_losses"),
-            F.max(F.when(F.col("won") == 0, place)).alias("last_loss"),
-            F.collect_list(F.when(decided, result)).alias("results"),
-        )
-        .withColumn("results", F.reverse(F.array_sort("results")))
-        .select(
-            "team",
-            "ts",
-            F.struct(
-                "tournament_order",
-                "piece",
-                "wins",
-                "losses",
-                F.transform(
-                    F.slice("results", 1, k), lambda r: F.struct(r["won"].alias("won"), r["rate"].alias("rate"))
-                ).alias("newest"),
-                F.when(
-                    F.col("losses") > 0,
-                    F.size(F.filter("results", lambda r: r["place"] > F.col("last_loss"))),
-                )
-                .otherwise(F.col("wins"))
-                .cast("long")
-                .alias("tail_wins"),
-            ).alias("p"),
-            *TOTALS,
-        )
+    moment = ["team", "ts"]
+    totals = placed.groupBy(*moment).agg(
+        F.coalesce(F.sum("won"), F.lit(0)).alias("wins"),
+        F.coalesce(F.sum(1 - F.col("won")), F.lit(0)).alias("losses"),
+        F.coalesce(F.sum(F.when(decided, F.col("game_wins"))), F.lit(0)).alias("game_wins"),
+        F.coalesce(F.sum(F.when(decided, F.col("game_losses"))), F.lit(0)).alias("game_losses"),
+        F.max(F.when(F.col("won") == 0, F.col("place"))).alias("last_loss"),
     )
-    newest_first = F.reverse(F.array_sort(F.collect_list("p")))
-    since_loss = F.aggregate(
-        F.reverse("pieces"),
-        F.lit(0).cast("long"),
-        lambda acc, p: F.when(p["losses"] > 0, p["tail_wins"]).otherwise(acc + p["tail_wins"]),
+    rank = F.row_number().over(Window.partitionBy(*moment).orderBy(F.desc("place")))
+    newest = (
+        placed.filter(decided)
+        .select(*moment, "won", "rate", rank.alias("rank"))
+        .filter(F.col("rank") <= k)
+        .groupBy(*moment)
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "won", "rate"))).alias("newest"))
+        .withColumn("newest", F.transform("newest", lambda r: F.struct(r["won"].alias("won"), r["rate"].alias("rate"))))
     )
-    return (
-        pieces.withColumn("bucket", F.date_trunc(bucket, "ts"))
-        .repartition("team", "bucket")
-        .groupBy("team", "bucket", "ts")
-        .agg(*[F.sum(t).alias(t) for t in TOTALS], newest_first.alias("pieces"))
-        .select(
-            "team",
-            "bucket",
-            "ts",
-            *TOTALS,
-            F.nullif(_latest(F.transform("pieces", lambda p: p["newest"]), k), F.array()).alias("newest"),
-            F.when(F.col("losses") > 0, F.col("wins") - since_loss).alias("mark"),
-        )
+    losses = totals.filter(F.col("last_loss").isNotNull()).select(*moment, "last_loss")
+    after = (
+        placed.filter(F.col("won") == 1)
+        .join(losses, moment)
+        .filter(F.col("place") > F.col("last_loss"))
+        .groupBy(*moment)
+        .agg(F.count(F.lit(1)).alias("since_loss"))
     )
+    joined = totals.join(newest, moment, "left").join(after, moment, "left")
+    mark = F.when(F.col("losses") > 0, F.col("wins") - F.coalesce("since_loss", F.lit(0)))
+    return joined.select(
+        "team", F.date_trunc(bucket, "ts").alias("bucket"), "ts", *TOTALS, "newest", mark.alias("mark")
+    ).repartition("team", "bucket")
 
 
 def _newest_up_to_here(df: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
