@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import functions as F
 
 from seriesmill.evaluation import metrics as m
@@ -15,9 +13,6 @@ from seriesmill.plans.catalog import r6, r6_sql, register
 from seriesmill.plans.queries_dataset import PREDICTORS, TABLE_SQL, modelling_table
 from seriesmill.sources.tables import written
 
-# Trees per forest here; the library's default is the 1000 of a full run.
-TREES = 40
-
 MEDIANS = f"""{TABLE_SQL}, med as (
   select {", ".join(f'median("{c}") as "{c}"' for c in PREDICTORS)} from modelling where tournament_order <= 1),
 filled as (select m.contest_id, m.tournament_order, {", ".join(f'coalesce(m."{c}", med."{c}") as "{c}"' for c in PREDICTORS)}
@@ -80,12 +75,12 @@ def strongest_coefficients(spark, sf):
 
 @register("forest_folds")
 def forest_folds(spark, sf):
-    return _run(spark, sf, partial(fit.fit_forest, trees=TREES))[0]
+    return _run(spark, sf, fit.fit_forest)[0]
 
 
 @register("forest_importances")
 def forest_importances(spark, sf):
-    _, fitted = _run(spark, sf, partial(fit.fit_forest, trees=TREES))
+    _, fitted = _run(spark, sf, fit.fit_forest)
     return fit.importance_table(spark, fitted)
 
 
