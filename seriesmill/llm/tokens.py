@@ -17,8 +17,8 @@ from tokenizers import Tokenizer
 # A task has one core.
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Words that are kept; when full, the table starts anew.
-MOST_WORDS = 400_000
+#: Words of a generation. When it is full a new one begins; the one before is still asked.
+MOST_WORDS = 250_000
 _TEXT_AT_ONCE = 1 << 21
 _WORDS_AT_ONCE = 1 << 17
 # Letters (those of ASCII and U+00C0 to U+00FF in UTF-8), then signs. The splitter cuts between
@@ -39,6 +39,8 @@ class WordIds:
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
+        self.older_words: dict[bytes, bytes] = {}
+        self.older_parts: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -58,12 +60,15 @@ class WordIds:
     def _learn(self, seen: set[bytes]) -> None:
         """Make sure of some words; those of letters and signs are put together from their parts."""
         if len(self.words) > MOST_WORDS:
-            self.words.clear()
+            self.words, self.older_words = {}, self.words
         if len(self.parts) > MOST_WORDS:
-            self.parts.clear()
+            self.parts, self.older_parts = {}, self.parts
         words, parts = self.words, self.parts
+        new = seen.difference(words)
+        known = new.intersection(self.older_words)
+        words.update(zip(known, map(self.older_words.__getitem__, known), strict=True))
         split, letters, other = [], set(), set()
-        for w in seen.difference(words):
+        for w in new - known:
             if w.isalpha():
                 stem, signs = w.lower(), b""
             elif (m := _LETTERS_AND_SIGNS.fullmatch(w)) and b"<|" not in w:
@@ -77,6 +82,10 @@ class WordIds:
                 letters.add(stem)
             if signs and signs not in parts:
                 other.add(signs)
+        for found in (letters, other):
+            known = found.intersection(self.older_parts)
+            parts.update(zip(known, map(self.older_parts.__getitem__, known), strict=True))
+            found -= known
         letters, other = list(letters), list(other)
         parts.update(zip(letters, self._encode_letters(letters), strict=True))
         parts.update(zip(other, self._encode([p.decode("utf-8", "replace") for p in other]), strict=True))
@@ -90,7 +99,7 @@ class WordIds:
             size, to = 0, at
             while to < len(texts) and size < _TEXT_AT_ONCE:
                 size, to = size + len(texts[to]), to + 1
-            if to == at + 1 and size > _TEXT_AT_ONCE:
+            if to == at + 1 and size >= _TEXT_AT_ONCE:
                 yield self._long(texts[at].split())
             else:
                 split = [t.split() for t in texts[at:to]]  # at the six ASCII blanks
