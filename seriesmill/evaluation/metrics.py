@@ -238,7 +238,7 @@ def roc_points(preds: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def calibration(preds: DataFrame, keys: list[str], n_bins: int = 5) -> DataFrame:
-    """Mean score and observed rate per quantile bin; empty bins do not appear."""
+    """Mean score and observed rate per quantile bin; bins with rows are numbered from 1."""
     inner = [k / n_bins for k in range(1, n_bins)]
     edges = (
         exact_quantiles(preds, keys, "probability", inner, "edge")
@@ -248,11 +248,14 @@ def calibration(preds: DataFrame, keys: list[str], n_bins: int = 5) -> DataFrame
     binned = join_null_safe(preds, edges, keys).withColumn(
         "slot", F.size(F.filter("edges", lambda e: e < F.col("probability")))
     )
-    return binned.groupBy(*keys, "slot").agg(
+    bins = binned.groupBy(*keys, "slot").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("probability").alias("mean_predicted_probability"),
         F.avg("target").alias("observed_rate"),
     )
+    # At most n_bins rows a key.
+    number = F.row_number().over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy("slot"))
+    return bins.withColumn("bin", number).drop("slot")
 
 
 def compare_models_wide(preds: DataFrame, models: list[str]) -> DataFrame:

@@ -63,15 +63,16 @@ def modelling(spark, sf):
 
 @register(
     "missing_indicators",
-    f"""{TABLE_SQL} select contest_id, {", ".join(f'("{c}" is null)::int as "{c}__missing"' for c in [
-        "diff_2024_rating", "diff_career_games", "diff_career_rating", "diff_prior_series_win_rate",
-        "diff_prior_game_win_rate", "diff_recent3_series_win_rate", "diff_recent5_series_win_rate",
-        "diff_recent3_avg_game_win_rate", "diff_recent5_avg_game_win_rate"])} from modelling""",
+    f"""{TABLE_SQL}, long as ({" union all ".join(f"select contest_id, '{c}__missing' as feature, (\"{c}\" is null)::int as missing from modelling" for c in PREDICTORS)})
+select * from long where feature in (select feature from long where missing = 1)""",
 )
 def missing_indicators(spark, sf):
+    """The indicator columns as rows: which there are depends on the data."""
     table = written(modelling_table(spark, sf), "modelling")
     out = d.missing_indicators(table, PREDICTORS)
-    return out.select("contest_id", *[c for c in out.columns if c.endswith(d.MISSING_SUFFIX)])
+    names = [c for c in out.columns if c.endswith(d.MISSING_SUFFIX)]
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("missing")) for c in names])
+    return out.select("contest_id", F.explode(cells).alias("c")).select("contest_id", "c.*")
 
 
 @register(

@@ -133,8 +133,9 @@ def roc_points(spark, sf):
     f"""{SCORED}, e as (
   select model, quantile_cont(probability, [0.2, 0.4, 0.6, 0.8]) as edges from preds group by 1),
 binned as (select p.*, len(list_filter(edges, lambda x: x < probability))::int as slot from preds p join e using (model))
-select model, slot, count(*) as n, {r6_sql('avg(probability)')} as mean_predicted_probability, {r6_sql('avg(target)')} as observed_rate
-from binned group by 1, 2""",
+select model, cast(row_number() over (partition by model order by slot) as integer) as bin, count(*) as n,
+  {r6_sql('avg(probability)')} as mean_predicted_probability, {r6_sql('avg(target)')} as observed_rate
+from binned group by model, slot""",
 )
 def calibration(spark, sf):
     return _rounded(m.calibration(preds(spark, sf), ["model"]), ["mean_predicted_probability", "observed_rate"])

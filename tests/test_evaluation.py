@@ -106,8 +106,8 @@ def test_calibration_matches_numpy(spark):
         p = np.array([r[4] for r in rows if r[2] == mod])
         y = np.array([r[3] for r in rows if r[2] == mod])
         slot = np.searchsorted(np.percentile(p, [20, 40, 60, 80]), p)
-        want = {int(k): ((slot == k).sum(), p[slot == k].mean(), y[slot == k].mean()) for k in set(slot)}
-        mine = {r["slot"]: (r["n"], r["mean_predicted_probability"], r["observed_rate"]) for r in got if r["model"] == mod}
+        want = {n: ((slot == k).sum(), p[slot == k].mean(), y[slot == k].mean()) for n, k in enumerate(sorted(set(slot)), 1)}
+        mine = {r["bin"]: (r["n"], r["mean_predicted_probability"], r["observed_rate"]) for r in got if r["model"] == mod}
         assert mine.keys() == want.keys()
         for k in want:
             assert np.allclose(mine[k], want[k])

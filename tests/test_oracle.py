@@ -9,8 +9,6 @@ import oracle_check
 
 SF = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
-# Which columns hold a null depends on the data; the SQL lists those of larger scales.
-LARGER_SCALE_ONLY = {"missing_indicators"} if SF.endswith("sf0.001") else set()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -24,7 +22,7 @@ def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - LARGER_SCALE_ONLY))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     text, good = oracle_check.compare(spark, duck, name, QUERIES[name], ORACLES.get(name), SF)
     assert good, text
