@@ -127,6 +127,8 @@ def nearest(
     are candidates each. Ties go to the smaller id. Windows' half-widths are ``radii``, in
     units of the projections' spread for points at distance 1.
     """
+    if m > 255:
+        raise ValueError("collisions of a vector are counted in a byte")
     spark = df.sparkSession
     rows = finite(df, id_col, vector).filter(F.exists("v", lambda x: x != 0))
     queries = finite(df.filter(is_query), id_col, vector).filter(F.exists("v", lambda x: x != 0))

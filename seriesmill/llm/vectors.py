@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 
 def finite(df: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """``id`` and ``v`` (array of doubles) of vectors that are there and hold finite numbers only."""
+    """``id`` and ``v`` (array of doubles) of vectors that hold at least one number and finite ones only."""
     v = F.col(f"`{vector}`").cast("array<double>")
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), v.alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < F.lit(float("inf"))))
-    return rows.filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
+    return rows.filter(F.col("id").isNotNull() & (F.size("v") > 0) & fine)
 
 
 def matrix(column: pa.Array) -> np.ndarray:

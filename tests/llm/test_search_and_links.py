@@ -150,6 +150,7 @@ def vectors(spark):
     rows = [(i, x.tolist(), 0, "i", "v", 0.5) for i, x in enumerate(v)]
     rows += [(700, None, 0, None, None, None), (750, [0.0] * 16, 0, "", "", 0.0), (800, [float("nan")] + [0.0] * 15, 0, "", "", 0.0)]
     rows += [(850, [float("inf")] + [0.0] * 15, 0, "", "", 0.0), (900, [None] + [1.0] * 15, 0, "", "", 0.0), (None, [1.0] * 16, 0, "", "", 0.0)]
+    rows += [(950, [], 0, "", "", 0.0)]
     rows += [(11, v[12].tolist(), 0, "", "", 0.0), (50, v[50].tolist(), 0, "", "", 0.0)]  # repeated ids
     return spark.createDataFrame(rows, VECTORS).repartition(3)
 
@@ -157,7 +158,7 @@ def vectors(spark):
 def usable(vectors, zero):
     out = []
     for r in vectors.collect():
-        if r.vec_id is not None and r.embedding is not None and None not in r.embedding and np.isfinite(r.embedding).all() and (zero or any(r.embedding)):
+        if r.vec_id is not None and r.embedding and None not in r.embedding and np.isfinite(r.embedding).all() and (zero or any(r.embedding)):
             out.append((r.vec_id, np.array(r.embedding, np.float64)))
     return out
 
