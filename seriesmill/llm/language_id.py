@@ -156,7 +156,9 @@ def fit(
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
             names = batch.column("lang").to_pylist()
-            own = [seen.setdefault(x, np.zeros(buckets + 1, np.int64)) for x in names]
+            for name in set(names).difference(seen):
+                seen[name] = np.zeros(buckets + 1, np.int64)
+            own = [seen[x] for x in names]
             for row in own:
                 row[-1] += 1
             order = {id(v): k for k, v in enumerate(seen.values())}

@@ -18,14 +18,20 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Words of a generation. When it is full a new one begins; the one before is still asked.
-MOST_WORDS = 250_000
-_TEXT_AT_ONCE = 1 << 21
+MOST_WORDS = 150_000
+_TEXT_AT_ONCE = 1 << 20
 _WORDS_AT_ONCE = 1 << 17
-# Letters (those of ASCII and U+00C0 to U+00FF in UTF-8), then signs. The splitter cuts between
-# the two, and lower case of ASCII letters doesn't change ids.
+# Letters (those of ASCII and U+00C0 to U+00FF in UTF-8), then signs. The splitter cuts between the two.
 _LETTERS = rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+"
 _LETTERS_AND_SIGNS = re.compile(rb"(" + _LETTERS + rb")([^A-Za-z0-9\x00-\x20'\x7f-\xff]*)")
 
+_FIRST_OF_LETTERS = frozenset(range(65, 91)) | frozenset(range(97, 123)) | {0xC3}
+
+
+def _words(text: bytes) -> list[bytes]:
+    """Parts between the six ASCII blanks. Lower case of A to Z changes no ids, unless it makes a special token."""
+    return (text if b"<|" in text else text.lower()).split()
+
 
 class WordIds:
     """Ids of words, from one tokenizer file."""
@@ -38,9 +44,7 @@ class WordIds:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
-        self.older_words: dict[bytes, bytes] = {}
-        self.older_parts: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -57,40 +61,36 @@ class WordIds:
             out += [raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         return out
 
+    def _recall(self, some: set[bytes]) -> set[bytes]:
+        """Take words over from the older generation; those that are in neither."""
+        missing = some.difference(self.words)
+        known = missing.intersection(self.older)
+        self.words.update(zip(known, map(self.older.__getitem__, known), strict=True))
+        return missing - known
+
     def _learn(self, seen: set[bytes]) -> None:
-        """Make sure of some words; those of letters and signs are put together from their parts."""
+        """Make sure of some words; those of letters and signs are put together from the two."""
         if len(self.words) > MOST_WORDS:
-            self.words, self.older_words = {}, self.words
-        if len(self.parts) > MOST_WORDS:
-            self.parts, self.older_parts = {}, self.parts
-        words, parts = self.words, self.parts
-        new = seen.difference(words)
-        known = new.intersection(self.older_words)
-        words.update(zip(known, map(self.older_words.__getitem__, known), strict=True))
-        split, letters, other = [], set(), set()
-        for w in new - known:
-            if w.isalpha():
-                stem, signs = w.lower(), b""
-            elif (m := _LETTERS_AND_SIGNS.fullmatch(w)) and b"<|" not in w:
-                stem, signs = m[1].lower(), m[2]
-            else:
+            self.words, self.older = {}, self.words
+        new = self._recall(seen)
+        letters = set(filter(bytes.isalpha, new))
+        split, parts, other = [], set(), set()
+        for w in new - letters:
+            m = None if b"<|" in w else _LETTERS_AND_SIGNS.fullmatch(w)
+            if m is None:
                 other.add(w)
-                split.append((w, w, b""))
-                continue
-            split.append((w, stem, signs))
-            if stem not in parts:
-                letters.add(stem)
-            if signs and signs not in parts:
-                other.add(signs)
-        for found in (letters, other):
-            known = found.intersection(self.older_parts)
-            parts.update(zip(known, map(self.older_parts.__getitem__, known), strict=True))
-            found -= known
-        letters, other = list(letters), list(other)
-        parts.update(zip(letters, self._encode_letters(letters), strict=True))
-        parts.update(zip(other, self._encode([p.decode("utf-8", "replace") for p in other]), strict=True))
-        for w, stem, signs in split:
-            words[w] = parts[stem] + parts[signs] if signs else parts[stem]
+            elif m[2]:
+                split.append((w, m[1], m[2]))
+                parts.update(m.groups())
+            else:
+                letters.add(w)
+        for part in self._recall(parts - letters):
+            (letters if part[0] in _FIRST_OF_LETTERS else other).add(part)
+        words = self.words
+        known, rest = list(letters), list(other)
+        words.update(zip(known, self._encode_letters(known), strict=True))
+        words.update(zip(rest, self._encode([w.decode("utf-8", "replace") for w in rest]), strict=True))
+        words.update((w, words[stem] + words[signs]) for w, stem, signs in split)
 
     def encode(self, texts: list[bytes]) -> Iterator[list[bytes]]:
         """Ids of each text, in pieces of many words each."""
@@ -100,9 +100,9 @@ class WordIds:
             while to < len(texts) and size < _TEXT_AT_ONCE:
                 size, to = size + len(texts[to]), to + 1
             if to == at + 1 and size >= _TEXT_AT_ONCE:
-                yield self._long(texts[at].split())
+                yield self._long(_words(texts[at]))
             else:
-                split = [t.split() for t in texts[at:to]]  # at the six ASCII blanks
+                split = [_words(t) for t in texts[at:to]]
                 self._learn(set().union(*split))
                 get = self.words.__getitem__
                 for words in split:
