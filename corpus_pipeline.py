@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.llm import language_id, packing, quality, simhash
-from seriesmill.llm.queries import QUALITY_BAR, TOKENIZER, fold, table
+from seriesmill.llm.queries import QUALITY_BAR, TOKENIZER, fold, small_batches, table
 from seriesmill.session import scratch_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -16,6 +16,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language; those without a letter, or with no likely language, go."""
+    small_batches(spark)
     model = language_id.fit(docs, where=fold("doc_id", 3) != 1)
     found = language_id.predict(docs, model, keep=docs.columns, names=("__lang", "__score"))
     kept = found.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= 0.5))
@@ -24,6 +25,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as good; the model learns from the labels of the documents left."""
+    small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), where=fold("doc_id", 4) != 2)
     scored = quality.score(docs, model, keep=docs.columns, name="__score")
     return scored.filter(F.col("__score") >= QUALITY_BAR).drop("__score")
@@ -31,11 +33,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each near-duplicate group; one row of it, should rows repeat."""
+    small_batches(spark)
     return simhash.without_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents left, with their places in training sequences."""
+    small_batches(spark)
     return packing.pack(docs, TOKENIZER)
 
 
