@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import ann, bpe, exact_topk, language_id, masked_lm, packing, quality, simhash, token_files, url_filter
+from seriesmill.llm import ann, bpe, exact_topk, language_id, packing, quality, simhash, token_files, url_filter, word_lm
 from seriesmill.session import scratch_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -93,8 +93,7 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op6_masked_lm")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents")
-    return masked_lm.score(docs, masked_lm.fit(docs))
+    return word_lm.score(table(spark, sf, "documents"))
 
 
 @query("op7_bpe")
