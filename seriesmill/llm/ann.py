@@ -1,15 +1,18 @@
 """Approximate nearest neighbours by collision counting over sorted single projections.
 
-Inner products become distances: a vector is divided by the largest norm M of the table and
+Inner products become distances: a vector is divided by the largest norm M of its shard and
 gets the component that makes its length 1, a query is scaled to length 1 and gets 0; then the
-nearest point has the largest inner product. Each of ``m`` random directions is one hash
+nearest point has the largest inner product. A shard holds vectors of similar norms, or so few
+that all of them are verified: vectors of other lengths move nothing. Each of ``m`` random directions is one hash
 function: a shard of the table keeps its vectors' projections sorted, with their places.
 
 A query opens a window around its own projection in every sorted array. Vectors inside collide
 with it: their place in the array is between the window's ends. Virtual rehashing widens all
 windows, round by round. Vectors with at least ``threshold`` collisions are verified: their
 inner product is worked out on the original vectors. The search in a shard ends when ``share``
-of the shard (and at least ``spare`` x k vectors) is verified, or every vector is.
+of the shard (and at least ``spare`` x k vectors) is verified and a vector as near as the k-th
+best of them is unlikely (``SURE`` standard deviations) to lack collisions at this radius, or
+when every vector is verified.
 
 Shards have a bounded size and every vector is in one; queries come in blocks of bounded size,
 each broadcast and searched in all shards; a shard hands over k vectors for each query.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +35,8 @@ from seriesmill.sources.tables import written
 SHARD = 8192  # places fit in 16 bits
 QUERY_BLOCK = 4096
 SEED = 20
+RATIO = 1.1  # of the norms in a shard
+SURE = 2.0
 
 
 def directions(d: int, m: int) -> np.ndarray:
@@ -69,9 +75,18 @@ def collisions(places: np.ndarray, low: np.ndarray, size: np.ndarray) -> np.ndar
     return count
 
 
+def reach(radius: float, m: int, threshold: int) -> float:
+    """Distance up to which a vector has ``threshold`` collisions with near certainty at this radius."""
+    low, high = 0.0, 1.0
+    for _ in range(50):  # the chance of one collision that leaves SURE deviations above the threshold
+        p = (low + high) / 2
+        low, high = (low, p) if m * p - SURE * (m * p * (1 - p)) ** 0.5 >= threshold else (p, high)
+    return radius / NormalDist().inv_cdf((1 + low) / 2) if low < 1 - 1e-9 else 0.0
+
+
 def search(
     ids: np.ndarray, v: np.ndarray, places: np.ndarray, values: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, threshold: int,
-    share: float, spare: int, radii: tuple[float, ...],
+    share: float, spare: int, radii: tuple[float, ...], largest: float,
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """For each query: its place, and the ids and scores of the k best verified vectors of the shard."""
     n, m = len(v), len(values)
@@ -87,32 +102,51 @@ def search(
         return q, ids[near][best], score[best]
 
     waiting = np.arange(len(queries))
-    for radius in radii:
+    for radius in radii if n > enough else ():
         left = []
+        far = reach(radius, m, threshold)
         for at in range(0, len(waiting), 1024):
             some = waiting[at : at + 1024]
             low, size = windows(values, centres[some], radius)
             for i, q in enumerate(some.tolist()):
                 near = np.flatnonzero(collisions(places, low[i], size[i]) >= threshold)
                 if len(near) >= enough:
-                    yield verified(q, near)
-                else:
-                    left.append(q)
+                    hit = verified(q, near)
+                    # the squared distance of the k-th: 2 - 2 x score / (largest x length of the query)
+                    if len(hit[2]) == k and 2 - 2 * hit[2][-1] / (largest * length[q]) <= far * far:
+                        yield hit
+                        continue
+                left.append(q)
         waiting = np.array(left, np.int64)
     for q in waiting.tolist():
         yield verified(q, np.arange(n))
 
 
-def build(rows: DataFrame, largest: float, m: int) -> DataFrame:
+def alike(v: np.ndarray, least: int) -> Iterator[tuple[np.ndarray, float]]:
+    """Places of vectors whose norms differ by ``RATIO`` at most, or of up to ``least`` vectors; and their largest norm."""
+    norm = np.sqrt((v * v).sum(1))
+    order = np.argsort(norm, kind="stable")
+    norm, start = norm[order], 0
+    while start < len(v):
+        end = max(int(np.searchsorted(norm, norm[start] * RATIO, side="right")), min(len(v), start + least))
+        yield order[start:end], max(float(norm[end - 1]), 1e-150)  # squares of smaller ones are 0
+        start = end
+
+
+def build(rows: DataFrame, m: int, least: int) -> DataFrame:
     """The index: one row for each shard, every vector in one of them."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, v in gathered(batches, SHARD):
-            shard = Shard(v, largest, m)
-            parts = [ids.astype("<i8"), v.astype("<f8"), shard.places, shard.values]
-            yield pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int64()), *(pa.array([p.tobytes()], pa.binary()) for p in parts)], ["n", "ids", "v", "places", "values"])
+            for own, largest in alike(v, least):
+                shard = Shard(v[own], largest, m)
+                parts = [ids[own].astype("<i8"), v[own].astype("<f8"), shard.places, shard.values]
+                columns = [pa.array([len(own)], pa.int64()), pa.array([largest]), *(pa.array([p.tobytes()], pa.binary()) for p in parts)]
+                yield pa.RecordBatch.from_arrays(columns, ["n", "largest", "ids", "v", "places", "values"])
 
-    return rows.mapInArrow(each, "n long, ids binary, v binary, places binary, values binary")
+    square = F.aggregate("v", F.lit(0.0), lambda sofar, x: sofar + x * x)
+    by_norm = rows.sortWithinPartitions(square)
+    return by_norm.mapInArrow(each, "n long, largest double, ids binary, v binary, places binary, values binary")
 
 
 def nearest(
@@ -133,11 +167,7 @@ def nearest(
     rows = finite(df, id_col, vector).filter(F.exists("v", lambda x: x != 0))
     queries = finite(df.filter(is_query), id_col, vector).filter(F.exists("v", lambda x: x != 0))
     queries = written(queries.groupBy("id").agg(F.min("v").alias("v")), "ann-queries")
-    square = F.aggregate("v", F.lit(0.0), lambda sofar, x: sofar + x * x)
-    largest = rows.agg(F.max(F.sqrt(square)).alias("m")).first()["m"]
-    if largest is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = written(build(rows, largest, m), "ann-index")
+    index = written(build(rows, m, spare * k), "ann-index")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     found = []
     for b in range(blocks):
@@ -150,11 +180,11 @@ def nearest(
             query_ids, own = shared.value
             for batch in batches:
                 for row in range(len(batch)):
-                    n, *parts = (batch.column(c)[row].as_py() for c in ("n", "ids", "v", "places", "values"))
+                    n, largest, *parts = (batch.column(c)[row].as_py() for c in ("n", "largest", "ids", "v", "places", "values"))
                     kinds = ("<i8", "<f8", np.uint16, np.float64)
                     ids, v, places, values = (np.frombuffer(p, t) for p, t in zip(parts, kinds, strict=True))
                     args = (ids, v.reshape(n, -1), places.reshape(m, n), values.reshape(m, n), query_ids, own)
-                    hits = [*search(*args, k, threshold, share, spare, radii)]
+                    hits = [*search(*args, k, threshold, share, spare, radii, largest)]
                     at = np.repeat([q for q, _, _ in hits], [len(i) for _, i, _ in hits])
                     yield pa.RecordBatch.from_pydict(
                         {"query_id": query_ids[at], "vec_id": np.concatenate([i for _, i, _ in hits]), "score": np.concatenate([s for _, _, s in hits])}

@@ -219,6 +219,24 @@ def test_neighbours_of_few_and_none(vectors):
     assert ann.nearest(vectors.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["unit", "lognormal", "one long"])
+def test_neighbours_of_unequal_norms(spark, kind):
+    rng = np.random.default_rng(3)
+    v = rng.standard_normal((4000, 64))
+    v /= np.sqrt((v * v).sum(1))[:, None]
+    if kind == "lognormal":
+        v *= rng.lognormal(0, 0.5, 4000)[:, None]
+    elif kind == "one long":
+        v[7] *= 10
+    rows = [(i, x) for i, x in enumerate(v.tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = {(r.query_id, r.vec_id) for r in ann.nearest(table, F.col("vec_id") % 40 == 0).collect()}
+    score = v[::40] @ v.T
+    score[np.arange(100), np.arange(0, 4000, 40)] = -np.inf
+    best = {(40 * q, int(i)) for q in range(100) for i in np.argsort(-score[q])[:20]}
+    assert len(got) == len(best) and len(got & best) >= 0.97 * len(best)
+
+
 URLS = [
     None, "", "http://", "x", "http://A.EXAMPLE.org", "http://É.Org/ES/\nx?y", "http://example.org/es/?a#b", "http://a.b.com/de/://x",
     "ftp://q://com/fr/", "http://com/de/x", "//", "http://" + "a" * 100_000 + ".org/" + "b" * 100_000, "http://x.net#/de/",
