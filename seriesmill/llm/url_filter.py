@@ -86,23 +86,24 @@ def fit(
 ) -> UrlModel:
     """Learn from rows ``host``, ``path`` and ``blocked`` (boolean).
 
-    ``bound``: about how many rows are used, picked by a hash of host and path; equal rows
-    stay equal votes. Steps are scaled by the squared gradients so far. Without rows the
+    ``bound``: about how many different urls are used, picked by a hash of host and path; each
+    has the weight of all its rows. Steps are scaled by the squared gradients so far. Without rows the
     score is 0.5.
     """
     size = 1 << bits
-    rows = labelled.filter("blocked is not null")
+    rows = labelled.filter("blocked is not null").groupBy("host", "path", "blocked").agg(F.count("*").alias("n"))
+    rows = written(rows, "url-labels")
     share = bound / max(rows.count(), 1)
     if share < 1:
         rows = rows.filter(F.pmod(F.xxhash64("host", "path"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    rows = rows.select(buckets(F.col("host"), F.col("path"), bits).alias("own"), F.col("blocked").cast("double").alias("y"))
+    rows = rows.select(buckets(F.col("host"), F.col("path"), bits).alias("own"), F.col("blocked").cast("double").alias("y"), "n")
     rows = written(rows.repartition(4), "url-examples")  # small: a step is one short job
-    number = rows.count()
+    number = rows.agg(F.sum("n").alias("n")).first()["n"]
     model, squares = UrlModel([0.0] * size, 0.0, bits), [1e-8] * (size + 1)
     if not number:
         return model
     for _ in range(steps):
-        off = rows.select("own", (model.score(F.col("own")) - F.col("y")).alias("off"))
+        off = rows.select("own", ((model.score(F.col("own")) - F.col("y")) * F.col("n")).alias("off"))
         spread = off.select(
             F.explode(F.concat("own", F.array(F.lit(size)))).alias("bucket"),
             F.col("off"),

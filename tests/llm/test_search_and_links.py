@@ -286,3 +286,14 @@ def test_url_plan_is_native(spark):
     plan = judge(pages, URL_RULES)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
     assert host_and_path(F.col("url"))
+
+
+def test_a_frequent_url_is_one_weighted_example(spark, monkeypatch):
+    tables = {}
+    from seriesmill.llm import url_filter
+
+    real = url_filter.written
+    monkeypatch.setattr(url_filter, "written", lambda df, name: tables.setdefault(name, real(df, name)))
+    rows = [("often.org", "/a", True)] * 1000 + [(f"h{i}.org", f"/{i}", False) for i in range(20)]
+    fit(spark.createDataFrame(rows, "host string, path string, blocked boolean"), bits=8, bound=100, steps=1)
+    assert sorted(r.n for r in tables["url-examples"].collect()) == [1] * 20 + [1000]
