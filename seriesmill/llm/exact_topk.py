@@ -10,6 +10,9 @@ broadcast; blocks come one after the other, each against all rows.
 
 from __future__ import annotations
 
+import bisect
+import math
+import operator
 from collections.abc import Iterator
 from functools import reduce
 
@@ -55,25 +58,71 @@ def top_k(df: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col:
     id. ``is_query`` is a condition on the columns of ``df``. Vectors that are null or hold a
     null or non-finite component, and rows without an id, take no part. Rows that repeat a
     query's id are one query (the least vector) and no candidates of it; other repeated rows
-    are candidates each. With fewer than k candidates all are returned.
+    are candidates each. With fewer than k candidates all are returned. Vectors with very large
+    components are scored one by one in whole numbers of any size; only a query whose components
+    don't fit in a long, or a returned score that doesn't, is an error.
     """
     spark = df.sparkSession
     rows = finite(df, id_col, vector)
     queries = finite(df.filter(is_query), id_col, vector).groupBy("id").agg(F.min("v").alias("v"))
     queries = written(queries, "topk-queries")
-    size = F.array_max(F.transform("v", lambda x: F.abs(F.floor(x * scale))))
-    facts = rows.agg(F.max(size).alias("most"), F.max(F.size("v")).alias("d")).first()
-    number = queries.count()
-    blocks = -(-number // QUERY_BLOCK)
-    bound = int(facts["most"] or 0) ** 2 * int(facts["d"] or 0) + 1
-    if bound >= 1 << 62:
-        raise ValueError("scores don't fit in a long")
-    found = [_of_block(rows, queries.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b), k, scale, bound) for b in range(blocks)]
+    size = F.array_max(F.transform("v", lambda x: F.abs(x * scale))) + 1.0  # a double: nothing overflows
+    d = int(rows.agg(F.max(F.size("v")).alias("d")).first()["d"] or 1)
+    largest = math.isqrt(((1 << 62) - 2) // d)  # products of vectors up to here fit in a long
+    small = size <= F.lit(0.999 * largest)
+    most = int(rows.filter(small).agg(F.max(size).alias("most")).first()["most"] or 0) + 1
+    if queries.filter(size >= F.lit(float(1 << 62))).head(1):
+        raise ValueError("a query's components don't fit in a long")
+    odd = rows.filter(~small)
+
+    def blocks(some: DataFrame) -> list[DataFrame]:
+        n = -(-some.count() // QUERY_BLOCK)
+        return [some.filter(F.pmod(F.xxhash64("id"), F.lit(n)) == b) for b in range(n)]
+
+    usual, big = blocks(queries.filter(small)), blocks(queries.filter(~small))
+    found = [_of_block(rows.filter(small), some, k, scale, most * most * d + 1) for some in usual]
+    if usual and odd.head(1):
+        found += [_of_odd(odd, some, k, scale) for some in usual]
+    found += [_of_odd(rows, some, k, scale) for some in big]
     if not found:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     place = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(place))
-    return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = [f if "fits" in f.columns else f.withColumn("fits", F.lit(True)) for f in found]
+    ranked = reduce(DataFrame.union, found).withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
+    score = F.when(F.col("fits"), F.col("score")).otherwise(F.raise_error("scores don't fit in a long").cast("long"))
+    return ranked.select("query_id", "rank", "vec_id", score.alias("score"))
+
+
+def _exactly(x: float, scale: int) -> int:
+    return math.floor(scale * x) if math.isfinite(scale * x) else scale * int(x)
+
+
+def _of_odd(rows: DataFrame, queries: DataFrame, k: int, scale: int) -> DataFrame:
+    """Each task's k best rows of each query in whole numbers of any size; an error if one of the k best of all doesn't fit."""
+    spark = rows.sparkSession
+    table = queries.toArrow()  # a block
+    own = [(i, [_exactly(x, scale) for x in v]) for i, v in zip(table["id"].to_pylist(), table["v"].to_pylist(), strict=True)]
+    shared = spark.sparkContext.broadcast(own)
+    limit = 1 << 63
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[list[tuple[int, int]]] = [[] for _ in shared.value]  # (-score, id), the worst is first to go
+        for batch in batches:
+            for i, v in zip(batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                v = [_exactly(x, scale) for x in v]
+                for mine, (q, w) in zip(best, shared.value, strict=True):
+                    if i != q:
+                        if len(v) != len(w):
+                            raise ValueError("vectors differ in length")
+                        bisect.insort(mine, (-sum(map(operator.mul, v, w)), i))
+                        del mine[k:]
+        flat = [(q, i, -s) for mine, (q, _) in zip(best, shared.value, strict=True) for s, i in mine]
+        if flat:
+            fits = [-limit <= s < limit for _, _, s in flat]
+            scores = [min(max(s, -limit), limit - 1) for _, _, s in flat]
+            yield pa.RecordBatch.from_pydict({"query_id": [f[0] for f in flat], "vec_id": [f[1] for f in flat], "score": scores, "fits": fits})
+
+    return rows.mapInArrow(each, "query_id long, vec_id long, score long, fits boolean")
 
 
 def _of_block(rows: DataFrame, queries: DataFrame, k: int, scale: int, bound: int) -> DataFrame:

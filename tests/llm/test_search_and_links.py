@@ -297,3 +297,23 @@ def test_a_frequent_url_is_one_weighted_example(spark, monkeypatch):
     rows = [("often.org", "/a", True)] * 1000 + [(f"h{i}.org", f"/{i}", False) for i in range(20)]
     fit(spark.createDataFrame(rows, "host string, path string, blocked boolean"), bits=8, bound=100, steps=1)
     assert sorted(r.n for r in tables["url-examples"].collect()) == [1] * 20 + [1000]
+
+
+def test_exact_top_k_with_one_odd_vector(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, v) for i, v in enumerate(rng.standard_normal((60, 64)).tolist())]
+    rows[7][1][3] = 2.0e9  # times itself it would not fit
+    rows[50][1][3] = 1.5e9
+    rows += [(60, [-1e30] + [0.0] * 63)]
+    rows[0][1][0], rows[50][1][0] = 0.5, 0.25  # so that vector 60 comes last
+    whole = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for query in (0, 50):
+        got = [(r.score, r.vec_id) for r in exact_topk.top_k(table, (F.col("vec_id") == query)).orderBy("rank").collect()] if query == 0 else None
+        best = sorted(((sum(a * b for a, b in zip(whole[query], v, strict=True)), i) for i, v in whole.items() if i != query), key=lambda x: (-x[0], x[1]))[:5]
+        if query == 0:
+            assert got == best
+        else:
+            assert best[0][0] >= 1 << 63
+            with pytest.raises(Exception, match="fit in a long"):
+                exact_topk.top_k(table, F.col("vec_id") == query).collect()
