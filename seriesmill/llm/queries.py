@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import ann, bpe, exact_topk, language_id, packing, quality, simhash, token_files, url_filter, word_lm
+from seriesmill.llm import ann, bpe, exact_topk, language_id, packing, quality, simhash, simplex_clusters, token_files, url_filter, word_lm
 from seriesmill.session import scratch_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,44 @@ def fold(id_col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(0)) % folds
 
 
+
+def simplex_sql(k: int = 8, rounds: int = 10) -> str:
+    """The rounds of op13, one after the other."""
+    steps = [
+        f"""v as materialized (
+            select vec_id, row_number() over () as r, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as e
+            from embeddings
+            where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), c0 as materialized (
+            select row_number() over (order by sha256('3:' || vec_id) nulls last, e) - 1 as cluster, e from v
+            order by cluster limit {k}
+        )"""
+    ]
+    for n in range(rounds + 1):
+        steps.append(f"""a{n} as materialized (
+            select r, vec_id, v.e, min(d) as distance, arg_min(cluster, (d, cluster)) as cluster
+            from (
+                select v.*, c.cluster, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) as d
+                from v cross join c{n} c
+            ) v group by all
+        )""")
+        if n < rounds:
+            steps.append(f"""s{n} as (
+                select cluster, place, sum(e[place])::bigint as total, count(*) as n
+                from a{n} cross join range(1, 65) t(place) group by all
+            ), c{n + 1} as materialized (
+                select c.cluster, coalesce(m.e, c.e) as e from c{n} c left join (
+                    select cluster, list((total - ((total % n) + n) % n) // n order by place) as e from s{n} group by cluster
+                ) m on m.cluster = c.cluster
+            )""")
+    return f"""with {", ".join(steps)}
+        select vec_id, cast(a.cluster as integer) as cluster, cast(distance as bigint) as distance,
+            cast(sum(distance) over (partition by a.cluster) as bigint) as cluster_inertia,
+            cast(sum(distance) over () as bigint) as inertia,
+            sha256(array_to_string(c.e, ',')) as centroid_sha256
+        from a{rounds} a join c{rounds} c on c.cluster = a.cluster"""
+
+
 @query("op1_language_id")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
@@ -133,3 +171,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return exact_topk.top_k(table(spark, sf, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query("op13_simplex_clusters", simplex_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return simplex_clusters.cluster(table(spark, sf, "embeddings"))
