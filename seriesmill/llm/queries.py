@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seriesmill.llm import ann, bpe, exact_topk, language_id, packing, quality, simhash, simplex_clusters, token_files, url_filter, word_lm
+from seriesmill.llm import ann, bpe, collocations, exact_topk, language_id, packing, piece_words, quality, simhash, simplex_clusters, token_files, url_filter, word_lm
 from seriesmill.session import scratch_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,8 @@ ORACLES: dict[str, str] = {}
 QUALITY_BAR = 0.7
 #: Tokenizer file of the token queries.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+#: Model of pieces for marked words.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 #: Rules for pages: verdict, host and path.
 URL_RULES = [
@@ -176,3 +178,51 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op13_simplex_clusters", simplex_sql())
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     return simplex_clusters.cluster(table(spark, sf, "embeddings"))
+
+
+@query(
+    "op11_collocations",
+    r"""
+    with d as (
+        select coalesce(lang, 'und') as lang,
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+        from documents
+    ), pieces as (
+        select lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) as p from d
+    ), w as materialized (
+        select lang, list_filter(string_split_regex(p, '[ \t]+'), lambda x: x <> '') as w from pieces
+    ), n as (
+        select lang, sum(len(w))::bigint as n from w group by lang
+    ), f as materialized (
+        select lang, m, phrase, count(*) as f from (
+            select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase
+            from w, range(1, 6) s(m), range(1, len(w) - m + 2) t(i)
+        ) group by all having count(*) >= 100
+    ), c as materialized (
+        select *, string_split(phrase, ' ') as words from f where m >= 2
+    ), inside as (
+        select distinct lang, array_to_string(words[i:i + k - 1], ' ') as phrase, f
+        from c, range(2, m) s(k), range(1, m - k + 2) t(i)
+    ), cuts as (
+        select c.lang, c.phrase, c.f as a, l.f as l, r.f as r, n, k,
+            ((1000::hugeint * c.f * n) // (l.f::hugeint * r.f))::bigint as score
+        from c join n using (lang) cross join range(1, 5) s(k)
+            join f l on l.lang = c.lang and l.m = k and l.phrase = array_to_string(words[1:k], ' ')
+            join f r on r.lang = c.lang and r.m = c.m - k and r.phrase = array_to_string(words[k + 1:], ' ')
+        where k < c.m and not exists (
+            select 1 from inside i where i.lang = c.lang and i.phrase = c.phrase and 100 * i.f >= 100 * c.f
+        )
+    ), best as (
+        select * from cuts qualify row_number() over (partition by lang, phrase order by score, k) = 1
+    )
+    select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score
+    from best qualify rank <= 2000
+    """,
+)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf, "documents"))
+
+
+@query("op12_piece_words")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return piece_words.round_trip(table(spark, sf, "documents"), PIECES)
