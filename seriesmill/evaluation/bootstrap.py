@@ -1,58 +1,200 @@
 """Paired bootstrap, stratified by fold, with the same draws for every model.
 
-A draw is a hash of (seed, replicate, fold, slot), so any task can redo it. Draws of a
-replicate are counted per contest and used as weights; nothing is materialised twice.
+A draw is half of the digest of (seed, pair of replicates, fold, slot), so any task can redo
+it. Draws are counted into weights, and a contest has one packed list of its weights in all
+replicates. Contests then meet in runs of scores of a model: a run becomes a vector over
+the replicates of its counts, losses and won pairs, and these vectors merge like sums.
+So contests are shuffled once for each model, and after that only runs x replicates.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from seriesmill.evaluation.metrics import HIGHER_IS_BETTER, METRICS, metric_table
-from seriesmill.operators.ordering import id_level, with_position
+from collections.abc import Iterator
 
-TEXT_LEVELS = (3, 6, 9, 12)  # ids of text are cut at longer and longer beginnings
-HEX_DIGITS = 15  # 60 bits: far more than there are rows to draw from
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
 
+from seriesmill.evaluation.metrics import CELLS, HIGHER_IS_BETTER, METRICS, brier_term, log_loss_term, with_rates
+from seriesmill.functions.digests import decimals, halves
+from seriesmill.operators.ordering import PIECE, cut, with_position
+from seriesmill.sources.tables import written
 
-def draw(seed: int, rep: Column, fold: Column, slot: Column, size: Column) -> Column:
-    """Position in 0 .. size - 1, equally likely up to 2**-60."""
-    key = F.concat_ws("|", F.lit(str(seed)), rep.cast("string"), fold, slot.cast("string"))
-    number = F.conv(F.substring(F.md5(key.cast("binary")), 1, HEX_DIGITS), 16, 10).cast("long")
-    return number % size
+#: Slots of a fold and replicates that are drawn at once.
+SLOTS, REP_BLOCK = 1 << 15, 128
+#: Contests whose packed weights are put together at once.
+PLACES = 1024
+#: Contests of a model in a run of scores.
+RUN_ROWS = 2048
+#: Replicates that are added up at once.
+REPS_AT_ONCE = 512
 
 
 def fold_positions(contests: DataFrame) -> DataFrame:
     """(id, fold, position): each fold's contests numbered from 0 in id order."""
-    levels = id_level(contests, "id") or [F.substring("id", 1, n) for n in TEXT_LEVELS]
-    return with_position(contests, ["fold"], ["id"], levels, "position", start=0)
+    return with_position(contests, ["fold"], ["id"], "position", start=0)
+
+
+def draws(seed: int, pair: int, fold: str, slots: list[tuple[np.ndarray, np.ndarray]], size: int) -> np.ndarray:
+    """Positions drawn for some slots (``decimals``) in the replicates 2 x ``pair`` and 2 x ``pair`` + 1 (columns), equally likely up to 2**-60."""
+    return (halves(f"{seed}|{pair}|{fold}|".encode(), slots) >> np.uint64(4)) % np.uint64(size)  # the first 15 of 16 digits
+
+
+def _counted(block: np.ndarray) -> tuple[bytes, int]:
+    """Weights (replicates x places) in bytes, and the bytes of each."""
+    size = 1 if block.max(initial=0) < 1 << 8 else 4
+    return block.astype(f"<u{size}").tobytes(), size
+
+
+def _drawn(units: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(fold, group, rep, wide, weights): weights that some slots give to ``PLACES`` contests in a block of replicates."""
+
+    def rows(fold: str | None, size: int, first: int, rep: int) -> Iterator[tuple]:
+        slots = decimals(np.arange(first, min(first + SLOTS, size)))
+        until = min(rep + REP_BLOCK, reps)
+        pairs = [draws(seed, r // 2, "" if fold is None else fold, slots, size) for r in range(rep, until, 2)]
+        at = np.concatenate(pairs, 1)[:, : until - rep]
+        if size <= 4 * SLOTS:
+            counts = np.stack([np.bincount(c.astype(np.int64), minlength=-(-size // PLACES) * PLACES) for c in at.T])
+            for g in range(counts.shape[1] // PLACES):
+                yield (fold, g, rep, *_counted(counts[:, g * PLACES : (g + 1) * PLACES]))
+            return
+        at = np.sort(at, axis=0)  # a few slots of a large fold: most groups get few draws
+        for g in np.unique(at // PLACES).tolist():
+            block = np.zeros((until - rep, PLACES), np.int64)
+            for r in range(until - rep):
+                a, b = np.searchsorted(at[:, r], [g * PLACES, (g + 1) * PLACES])
+                block[r] = np.bincount((at[a:b, r] - np.uint64(g * PLACES)).astype(np.int64), minlength=PLACES)
+            yield (fold, int(g), rep, *_counted(block))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for unit in zip(*(batch.column(c).to_pylist() for c in ("fold", "size", "first", "rep")), strict=True):
+                for fold, group, rep, body, wide in rows(*unit):
+                    yield pa.RecordBatch.from_pydict({"fold": pa.array([fold], pa.string()), "group": [group], "rep": [rep], "wide": [wide], "weights": [body]})
+
+    return units.mapInArrow(each, "fold string, group long, rep long, wide long, weights binary")
+
+
+def packed_weights(positions: DataFrame, reps: int, seed: int) -> DataFrame:
+    """(fold, position, weights): how often each contest is drawn in each replicate, in numbers of a byte or two.
+
+    The work is dealt out by (fold, slots, block of replicates), whatever the sizes of the folds.
+    """
+    sizes = positions.groupBy(F.col("fold").cast("string").alias("fold")).agg(F.count(F.lit(1)).alias("size"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(SLOTS).cast("long")))
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(reps - 1).cast("long"), F.lit(REP_BLOCK).cast("long")))
+    units = sizes.select("fold", "size", starts.alias("first")).select("fold", "size", "first", blocks.alias("rep"))
+    # The few small rows are a lot of work each: adaptive execution must not merge them into one task.
+    width = 4 * int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def put_together(table: pa.Table) -> pa.Table:
+        out = np.zeros((PLACES, reps), np.uint16)
+        for rep, wide, body in zip(*(table.column(c).to_pylist() for c in ("rep", "wide", "weights")), strict=True):
+            block = np.frombuffer(body, f"<u{wide}").reshape(-1, PLACES).T
+            if int(out[:, rep : rep + block.shape[1]].max(initial=0)) + int(block.max(initial=0)) >= 1 << 16:
+                raise ValueError("a contest is drawn too often")
+            out[:, rep : rep + block.shape[1]] += block.astype(np.uint16)
+        used = np.flatnonzero(out.any(1))
+        out = out.astype("u1" if out.max(initial=0) < 1 << 8 else "<u2")
+        fold, group = table.column("fold")[0].as_py(), table.column("group")[0].as_py()
+        return pa.table({
+            "fold": pa.array([fold] * len(used), pa.string()), "position": pa.array(used + group * PLACES, pa.int64()),
+            "weights": pa.array([out[u].tobytes() for u in used], pa.binary()),
+        })
+
+    drawn = _drawn(units.repartition(width), reps, seed)
+    return drawn.groupBy("fold", "group").applyInArrow(put_together, "fold string, position long, weights binary")
 
 
 def sample_weights(positions: DataFrame, reps: int, seed: int) -> DataFrame:
     """(rep, fold, position, weight): how often a contest is drawn in a replicate."""
-    sizes = positions.groupBy("fold").agg(F.count(F.lit(1)).alias("size"))
-    # Each row becomes ``reps`` rows below: a set number of partitions keeps adaptive
-    # execution from merging the still small input into a few tasks.
-    width = int(positions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    slots = positions.select("fold", "position").join(sizes, "fold").repartition(width, "fold", "position")
-    drawn = slots.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    at = draw(seed, F.col("rep"), F.col("fold"), F.col("position"), F.col("size"))
-    return drawn.groupBy("rep", "fold", at.alias("position")).agg(F.count(F.lit(1)).alias("weight"))
 
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fold, position, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                weights = unpacked(body, reps)
+                rep = np.flatnonzero(weights)
+                n = len(rep)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rep.astype(np.int32)), pa.array([fold] * n, pa.string()), pa.array(np.full(n, position)), pa.array(weights[rep].astype(np.int64))],
+                    ["rep", "fold", "position", "weight"],
+                )
+
+    return packed_weights(positions, reps, seed).mapInArrow(each, "rep int, fold string, position long, weight long")
 
-def replicate_metrics(preds: DataFrame, reps: int = 10000, seed: int = 42) -> DataFrame:
-    """Metrics per replicate and model. Each model must score every contest once.
 
-    A contest's scores by all models are one row, so its weights meet it once; models are
-    unfolded after that and merge before the next shuffle.
+def unpacked(body: bytes, reps: int) -> np.ndarray:
+    return np.frombuffer(body, "u1" if len(body) == reps else "<u2")
+
+
+def _run_sums(table: pa.Table, reps: int) -> pa.Table:
+    """A run of scores of a model: for each replicate its first score, what lies between, and its last score.
+
+    The first and last score may go on in the neighbouring runs, so they stay apart.
     """
-    scores = F.collect_list(F.struct("model", "target", "probability", "prediction"))  # one for each model
-    placed = fold_positions(preds.groupBy("id", "fold").agg(scores.alias("scores")))
-    weights = sample_weights(placed, reps, seed)
-    joined = weights.join(placed.select("fold", "position", "scores"), ["fold", "position"])
-    sample = joined.select("rep", "weight", F.explode("scores").alias("s")).select("rep", "s.*", "weight")
-    return metric_table(sample, ["rep", "model"], "weight").select("rep", "model", *METRICS)
+    table = table.sort_by("probability")
+    score, target = table.column("probability").to_numpy(), table.column("target").to_numpy()
+    stats = np.stack([table.column(c).to_numpy().astype(np.float64) for c in (*CELLS, "loss", "miss")])
+    starts = np.flatnonzero(np.concatenate([[True], score[1:] != score[:-1]]))
+    bodies = table.column("weights").to_pylist()
+    parts = [(0, score[0], 0)] if len(starts) == 1 else [(0, score[0], 0), (len(starts) - 1, score[-1], 0)]
+    model, out = table.column("model")[0].as_py(), []
+    for at in range(0, reps, REPS_AT_ONCE):
+        weights = np.stack([unpacked(b, reps)[at : at + REPS_AT_ONCE] for b in bodies]).astype(np.float64)
+        n = weights.shape[1]
+        linear, nothing = stats @ weights, np.zeros((len(stats), n))
+        pos = np.add.reduceat(weights * (target == 1)[:, None], starts, axis=0)
+        neg = np.add.reduceat(weights * (target == 0)[:, None], starts, axis=0)
+        rep = np.arange(at, at + n, dtype=np.int32)
+        for k, (i, s, between) in enumerate(parts):
+            out.append((rep, s, between, pos[i], neg[i], np.zeros(n), linear if k == 0 else nothing))
+        if len(starts) > 2:
+            inner, below = pos[1:-1], np.cumsum(neg[1:-1], 0) - neg[1:-1] / 2
+            out.append((rep, score[0], 1, inner.sum(0), neg[1:-1].sum(0), (inner * below).sum(0), nothing))
+    size = [len(o[0]) for o in out]
+    columns = {
+        "model": pa.array([model] * sum(size), pa.string()),
+        "rep": pa.array(np.concatenate([o[0] for o in out])),
+        "score": pa.array(np.repeat([float(o[1]) for o in out], size)),
+        "between": pa.array(np.repeat(np.array([o[2] for o in out], np.int32), size)),
+        **{c: pa.array(np.concatenate([o[3 + k] for o in out])) for k, c in enumerate(("pos", "neg", "u"))},
+        **{c: pa.array(np.concatenate([o[6][k] for o in out])) for k, c in enumerate((*CELLS, "loss", "miss"))},
+    }
+    return pa.table(columns)
+
+
+def replicate_metrics(preds: DataFrame, reps: int = 10000, seed: int = 42) -> DataFrame:
+    """Metrics per replicate and model. Each model must score every contest once."""
+    ready = written(
+        preds.select(
+            "id", F.col("fold").cast("string").alias("fold"), "model", F.col("probability").cast("double").alias("probability"), F.col("target").cast("int").alias("target"),
+            *[((F.col("target") == t) & (F.col("prediction") == p)).cast("int").alias(c) for c, (t, p) in zip(CELLS, ((0, 0), (0, 1), (1, 0), (1, 1)), strict=True)],
+            log_loss_term().alias("loss"), brier_term().alias("miss"),
+        ),
+        "predictions",
+    )
+    places = written(fold_positions(ready.select("id", "fold").distinct()), "places")
+    weights = packed_weights(places, reps, seed)
+    made = cut(ready, ["model"], ["probability", "id"], RUN_ROWS)
+    runs = made.df if made.large else made.df.withColumn(PIECE, F.lit(0))
+    weighted = places.join(weights, ["fold", "position"]).select("id", "fold", "weights")
+    joined = runs.join(weighted, ["id", "fold"]).drop("id", "fold")
+    columns = ", ".join(f"{c} double" for c in ("pos", "neg", "u", *CELLS, "loss", "miss"))
+    sums = joined.groupBy("model", PIECE).applyInArrow(lambda t: _run_sums(t, reps), f"model string, rep int, score double, between int, {columns}")
+    # Equal scores of neighbouring runs come together before their pairs are counted.
+    merged = sums.groupBy("model", "rep", "score", "between").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "u", *CELLS, "loss", "miss")])
+    lower = Window.partitionBy("model", "rep").orderBy("score", "between").rowsBetween(Window.unboundedPreceding, -1)  # runs
+    tied = F.when(F.col("between") == 0, F.col("pos") * F.col("neg") / 2).otherwise(0.0)
+    won = F.col("u") + tied + F.col("pos") * F.coalesce(F.sum("neg").over(lower), F.lit(0.0))
+    total = merged.withColumn("u", won).groupBy("model", "rep").agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "u", *CELLS, "loss", "miss")])
+    n = F.col("pos") + F.col("neg")
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    return with_rates(total).select(
+        "rep", "model",
+        *[c if c in ("accuracy", "f1") else x.alias(c) for c, x in zip(METRICS, (None, None, F.when(both, F.col("u") / (F.col("pos") * F.col("neg"))), F.col("loss") / n, F.col("miss") / n), strict=True)],
+    )
 
 
 def long_metrics(table: DataFrame, keys: list[str]) -> DataFrame:

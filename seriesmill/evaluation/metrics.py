@@ -1,25 +1,20 @@
 """Scores of predictions (id, fold, target, model, probability, prediction).
 
 Every metric is a partial aggregate per key; where order matters (AUC, ROC points,
-calibration edges) equal scores are merged first and the rest is scanned in slices of
-the score, so a model or fold holding most rows is spread over tasks.
+calibration edges) equal scores are merged first and the rest is scanned in runs of
+scores with bounds from a sample, so a model or fold holding most rows is spread over tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from seriesmill.functions.rules import decide
 from seriesmill.functions.text import to_double_lenient
 from seriesmill.operators.checks import first_existing
-from seriesmill.operators.ordering import (
-    exact_quantiles,
-    exclusive_totals,
-    join_null_safe,
-    value_levels,
-    with_levels,
-)
+from seriesmill.operators.ordering import cut, exact_quantiles, exclusive_totals, join_null_safe
+from seriesmill.sources.tables import written
 
 # Probability clip of the log loss (spacing of doubles at 1).
 EPSILON = 2.220446049250313e-16
@@ -140,26 +135,27 @@ def _by_score(preds: DataFrame, keys: list[str], weight: str | None) -> DataFram
 
 def roc_auc(preds: DataFrame, keys: list[str], weight: str | None = None) -> DataFrame:
     """AUC per key: won pairs plus half the tied ones; null with one class only."""
-    return _area(_by_score(preds, keys, weight), keys)
+    return _area(written(_by_score(preds, keys, weight), "scores"), keys)
 
 
 def _area(scores: DataFrame, keys: list[str]) -> DataFrame:
-    """``u`` counts won and half the tied pairs inside a slice of scores; slices merge
+    """``u`` counts won and half the tied pairs inside a run of scores; runs merge
     like sums, plus every positive above times every negative below."""
-    cut, levels = with_levels(scores, value_levels(F.col("probability")))
-    order = ["probability", *reversed(levels)]
-    pairs = cut.withColumn("u", F.col("pos").cast("double") * F.col("neg") / F.lit(2.0))
-    for depth in range(len(levels), -1, -1):
-        group = keys + levels[:depth]
-        below = (
-            Window.partitionBy(*(group or [F.lit(0)]))
-            .orderBy(order[len(levels) - depth])
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        merged = pairs.withColumn("u", F.col("u") + F.col("pos").cast("double") * F.coalesce(F.sum("neg").over(below), F.lit(0)))
-        pairs = merged.groupBy(*group).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "u")])
+    made = cut(scores, keys, ["probability"])
+    pos = F.col("pos").cast("double")
+
+    def with_lower(df: DataFrame, order: WindowSpec) -> DataFrame:
+        lower = F.sum("neg").over(order.rowsBetween(Window.unboundedPreceding, -1))
+        return df.withColumn("u", F.col("u") + pos * F.coalesce(lower, F.lit(0)))
+
+    def summed(df: DataFrame, by: list[str]) -> DataFrame:
+        return df.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("pos", "neg", "u")])
+
+    pairs = summed(with_lower(made.df.withColumn("u", pos * F.col("neg") / F.lit(2.0)), made.window()), made.parts)
+    if made.large:
+        pairs = summed(with_lower(pairs, made.pieces()), keys)
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
-    area = F.when(both, F.col("u") / (F.col("pos").cast("double") * F.col("neg")))
+    area = F.when(both, F.col("u") / (pos * F.col("neg")))
     return pairs.select(*keys, area.alias("roc_auc"))
 
 
@@ -169,7 +165,7 @@ def metric_table(preds: DataFrame, keys: list[str], weight: str | None = None) -
     Every metric depends on (score, class, target) only, so equal ones are merged first
     and the predictions are read and shuffled once.
     """
-    return _metrics_of(_merged(preds, keys, weight), keys)
+    return _metrics_of(written(_merged(preds, keys, weight), "scores"), keys)
 
 
 CELLS = ("tn", "fp", "fn", "tp")
@@ -205,26 +201,25 @@ def _metrics_of(merged: DataFrame, keys: list[str]) -> DataFrame:
 
 def metrics_by_scope(preds: DataFrame) -> DataFrame:
     """Pooled rows and one row per fold, for each model; the pooled ones add up the folds' merged scores."""
-    by_fold = _merged(preds, ["model", "fold"])
-    pooled = by_fold.groupBy("model", "probability").agg(*[F.sum(c).alias(c) for c in CELLS])
+    by_fold = written(_merged(preds, ["model", "fold"]), "scores")
+    pooled = written(by_fold.groupBy("model", "probability").agg(*[F.sum(c).alias(c) for c in CELLS]), "scores")
     pooled = _metrics_of(pooled, ["model"]).withColumn("fold", F.lit("pooled"))
     return pooled.unionByName(_metrics_of(by_fold, ["model", "fold"]))
 
 
 def roc_points(preds: DataFrame, keys: list[str]) -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, highest first, from (0, 0) on."""
-    down = [-c for c in value_levels(F.col("probability"))]
-    cut, levels = with_levels(_by_score(preds, keys, None), down)
-    leaves = cut.groupBy(*keys, *levels).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    offsets = exclusive_totals(leaves, keys, levels, ["pos", "neg"]).drop("pos", "neg")
-    totals = leaves.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
-    down_to = (
-        Window.partitionBy(*keys, *levels)
-        .orderBy(F.desc("probability"))
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    local = cut.withColumns({f"in_{c}": F.sum(c).over(down_to) for c in ("pos", "neg")})
-    joined = join_null_safe(join_null_safe(local, offsets, keys + levels), totals, keys)
+    scores = written(_by_score(preds, keys, None), "scores")
+    made = cut(scores, keys, [-F.col("probability")])
+    totals = scores.groupBy(*keys).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
+    down_to = made.window().rowsBetween(Window.unboundedPreceding, 0)
+    local = made.df.withColumns({f"in_{c}": F.sum(c).over(down_to) for c in ("pos", "neg")})
+    if made.large:
+        sums = made.df.groupBy(*made.parts).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        local = join_null_safe(local, exclusive_totals(sums, made, ["pos", "neg"]).drop("pos", "neg"), made.parts)
+    else:
+        local = local.withColumns({f"before_{c}": F.lit(0) for c in ("pos", "neg")})
+    joined = join_null_safe(local, totals, keys)
     points = joined.select(
         *keys,
         F.col("probability").alias("threshold"),
@@ -240,6 +235,7 @@ def roc_points(preds: DataFrame, keys: list[str]) -> DataFrame:
 def calibration(preds: DataFrame, keys: list[str], n_bins: int = 5) -> DataFrame:
     """Mean score and observed rate per quantile bin; bins with rows are numbered from 1."""
     inner = [k / n_bins for k in range(1, n_bins)]
+    preds = written(preds.select(*keys, "probability", "target"), "scores")
     edges = (
         exact_quantiles(preds, keys, "probability", inner, "edge")
         .groupBy(*keys)

@@ -7,12 +7,16 @@ an undecided contest receives features and adds nothing to anybody's history.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.functions.rules import difference
+from seriesmill.operators.ordering import PIECE, Cut, cut
+from seriesmill.sources.tables import written
 
 WINDOWS = (3, 5)
+#: Order of a team's contests.
+PLACE = ["ts", "tournament_order", "contest_id", "side"]
 TOTALS = ("wins", "losses", "game_wins", "game_losses")
 
 
@@ -39,111 +43,78 @@ def participants(contests: DataFrame) -> DataFrame:
     ).select("contest_id", "ts", "tournament_order", "s.*")
 
 
-def _latest(arrays: Column, k: int) -> Column:
-    """First k entries of newest-first arrays that are themselves newest first."""
-    return F.slice(F.flatten(arrays), 1, k)
-
-
-def _moments(rows: DataFrame, k: int, bucket: str) -> DataFrame:
-    """One row per team and timestamp: totals, its newest k results, wins since a loss.
-
-    Totals and the last loss are partial sums and maxima. The newest results are ranked with
-    a limit of k, which Spark applies before the shuffle, so no array holds more than k. Wins
-    after the last loss are counted by joining it back. The result is laid out by (team,
-    bucket), as the scan that follows needs it.
-    """
-    decided = F.col("won").isNotNull()
-    games = F.col("game_wins") + F.col("game_losses")
-    placed = rows.withColumns(
-        {
-            "place": F.struct("tournament_order", "contest_id", "side"),
-            "rate": F.when(games > 0, F.col("game_wins") / games),
-        }
-    )
-    moment = ["team", "ts"]
-    totals = placed.groupBy(*moment).agg(
-        F.coalesce(F.sum("won"), F.lit(0)).alias("wins"),
-        F.coalesce(F.sum(1 - F.col("won")), F.lit(0)).alias("losses"),
-        F.coalesce(F.sum(F.when(decided, F.col("game_wins"))), F.lit(0)).alias("game_wins"),
-        F.coalesce(F.sum(F.when(decided, F.col("game_losses"))), F.lit(0)).alias("game_losses"),
-        F.max(F.when(F.col("won") == 0, F.col("place"))).alias("last_loss"),
-    )
-    rank = F.row_number().over(Window.partitionBy(*moment).orderBy(F.desc("place")))
-    newest = (
-        placed.filter(decided)
-        .select(*moment, "won", "rate", rank.alias("rank"))
-        .filter(F.col("rank") <= k)
-        .groupBy(*moment)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "won", "rate"))).alias("newest"))
-        .withColumn("newest", F.transform("newest", lambda r: F.struct(r["won"].alias("won"), r["rate"].alias("rate"))))
-    )
-    losses = totals.filter(F.col("last_loss").isNotNull()).select(*moment, "last_loss")
-    after = (
-        placed.filter(F.col("won") == 1)
-        .join(losses, moment)
-        .filter(F.col("place") > F.col("last_loss"))
-        .groupBy(*moment)
-        .agg(F.count(F.lit(1)).alias("since_loss"))
-    )
-    joined = totals.join(newest, moment, "left").join(after, moment, "left")
-    mark = F.when(F.col("losses") > 0, F.col("wins") - F.coalesce("since_loss", F.lit(0)))
-    return joined.select(
-        "team", F.date_trunc(bucket, "ts").alias("bucket"), "ts", *TOTALS, "newest", mark.alias("mark")
-    ).repartition("team", "bucket")
-
-
-def _newest_up_to_here(df: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
-    """Extend ``newest`` by the results of earlier rows of the key, k entries in all.
+def _newest_up_to_here(df: DataFrame, parts: list[str], order: list[str], k: int) -> DataFrame:
+    """``newest`` of rows that have it becomes the last k entries up to and including theirs.
 
     Rows without a decided contest (null) are set apart, so k rows always reach back
     k results; such rows stay null.
     """
-    back = (
-        Window.partitionBy(*keys, F.col("newest").isNull()).orderBy(order).rowsBetween(1 - k, 0)
-    )
-    reached = _latest(F.reverse(F.collect_list("newest").over(back)), k)
+    back = Window.partitionBy(*parts, F.col("newest").isNull()).orderBy(*order).rowsBetween(1 - k, 0)
+    reached = F.slice(F.flatten(F.reverse(F.collect_list("newest").over(back))), 1, k)
     return df.withColumn("newest", F.when(F.col("newest").isNotNull(), reached))
 
 
-def team_history(contests: DataFrame, windows: tuple[int, ...] = WINDOWS, bucket: str = "minute") -> DataFrame:
-    """Form per (team, ts), from contests strictly before ts.
+def _state_before(made: Cut, k: int) -> DataFrame:
+    """Per row the totals, the newest k results and the last loss of all rows of the team before it.
 
     ``mark`` is the number of wins a team had at its last loss: wins so far minus the
-    mark is the current streak. Totals, marks and newest results are scanned inside
-    each (team, bucket) and then over the team's buckets, never over all its rows.
+    mark is the current streak. In a team that is cut, pieces carry their state to the next.
     """
-    k = max(windows)
-    moments = _moments(participants(contests), k, bucket)
-    before = (
-        Window.partitionBy("team", "bucket").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    before = made.window().rowsBetween(Window.unboundedPreceding, -1)
+    decided = F.col("won").isNotNull()
+    games = F.col("game_wins") + F.col("game_losses")
+    result = F.struct(F.col("won").alias("won"), F.when(games > 0, F.col("game_wins") / games).alias("rate"))
+    counts = {
+        "wins": F.col("won"),
+        "losses": 1 - F.col("won"),
+        "game_wins": F.when(decided, F.col("game_wins")),
+        "game_losses": F.when(decided, F.col("game_losses")),
+    }
+    rows = made.df.withColumns({**{f"own_{t}": F.coalesce(c, F.lit(0)) for t, c in counts.items()}, "newest": F.when(decided, F.array(result))})
+    rows = _newest_up_to_here(rows, made.parts, PLACE, k)
     local = (
-        _newest_up_to_here(moments, ["team", "bucket"], "ts", k)
-        .withColumns({f"in_{t}": F.coalesce(F.sum(t).over(before), F.lit(0)) for t in TOTALS})
+        rows.withColumns({f"in_{t}": F.coalesce(F.sum(f"own_{t}").over(before), F.lit(0)) for t in TOTALS})
         .withColumn("in_newest", F.last("newest", ignorenulls=True).over(before))
-        .withColumn("mark", F.col("mark") + F.col("in_wins"))
+        .withColumn("mark", F.when(F.col("won") == 0, F.col("in_wins")))
         .withColumn("in_mark", F.max("mark").over(before))
+        .withColumn("in_ts", F.lag("ts").over(made.window()))
     )
-    buckets = local.groupBy("team", "bucket").agg(
-        *[F.sum(t).alias(t) for t in TOTALS],
+    if not made.large:
+        nothing = {f"up_{t}": F.lit(0).cast("long") for t in TOTALS}
+        return local.withColumns({**nothing, "up_mark": F.lit(0).cast("long"), "up_newest": F.lit(None).cast(local.schema["newest"].dataType), "up_ts": F.lit(None).cast("timestamp")})
+    place = F.struct(*PLACE)
+    pieces = local.groupBy(*made.parts).agg(
+        *[F.sum(f"own_{t}").alias(t) for t in TOTALS],
         F.max("mark").alias("mark"),
-        F.max_by("newest", F.when(F.col("newest").isNotNull(), F.col("ts"))).alias("newest"),
+        F.max_by("newest", F.when(F.col("newest").isNotNull(), place)).alias("newest"),
+        F.max("ts").alias("last_ts"),
     )
-    earlier = Window.partitionBy("team").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = made.pieces().rowsBetween(Window.unboundedPreceding, -1)
     carried = (
-        _newest_up_to_here(buckets, ["team"], "bucket", k)
+        _newest_up_to_here(pieces, ["team"], [PIECE], k)
         .withColumns({f"up_{t}": F.coalesce(F.sum(t).over(earlier), F.lit(0)) for t in TOTALS})
-        .withColumn("up_mark", F.max(F.col("mark") + F.col("up_wins")).over(earlier))
+        .withColumn("up_mark", F.coalesce(F.max(F.col("mark") + F.col("up_wins")).over(earlier), F.lit(0)))
         .withColumn("up_newest", F.last("newest", ignorenulls=True).over(earlier))
-        .select("team", "bucket", *[f"up_{t}" for t in TOTALS], "up_mark", "up_newest")
+        .withColumn("up_ts", F.last("last_ts").over(earlier))
+        .select(*made.parts, *[f"up_{t}" for t in TOTALS], "up_mark", "up_newest", "up_ts")
     )
+    return local.join(carried, made.parts)
+
+
+def team_history(contests: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """Form per (team, ts), from contests strictly before ts.
+
+    A team's contests are one run in order; what holds before the first contest of a moment
+    is what that moment sees. Teams with very many contests are cut along that order.
+    """
+    k = max(windows)
+    state = _state_before(cut(participants(contests), ["team"], PLACE), k)
+    first = F.coalesce("in_ts", "up_ts").isNull() | (F.coalesce("in_ts", "up_ts") < F.col("ts"))
+    joined = state.filter(first)
     total = {t: F.col(f"up_{t}") + F.col(f"in_{t}") for t in TOTALS}
-    last_mark = F.greatest(
-        F.coalesce("up_mark", F.lit(0)), F.coalesce(F.col("up_wins") + F.col("in_mark"), F.lit(0))
-    )
+    last_mark = F.greatest("up_mark", F.coalesce(F.col("up_wins") + F.col("in_mark"), F.lit(0)))
     played = total["wins"] + total["losses"]
     games = total["game_wins"] + total["game_losses"]
-    joined = local.join(carried, ["team", "bucket"])
     history = joined.select(
         "team",
         "ts",
@@ -228,27 +199,34 @@ def diff_features(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def form_features(contests: DataFrame, windows: tuple[int, ...] = WINDOWS, bucket: str = "minute") -> DataFrame:
-    """Contests with both sides' form and the A - B differences."""
-    history = team_history(contests, windows, bucket)
+def form_features(contests: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """Contests with both sides' form and the A - B differences.
+
+    Here and below the contests are written once: counting, history and both sides read them.
+    """
+    contests = written(contests, "contests")
+    history = team_history(contests, windows)
     return diff_features(attach_history(contests, history, form_columns(windows)), diff_columns(windows))
 
 
-def prior_history(contests: DataFrame, bucket: str = "minute") -> DataFrame:
+def prior_history(contests: DataFrame) -> DataFrame:
     """Counts and rates before each contest, without the recent windows."""
-    history = team_history(contests, (1,), bucket)
+    contests = written(contests, "contests")
+    history = team_history(contests, (1,))
     return attach_history(contests, history, form_columns(())[:-1])
 
 
-def recent_k(contests: DataFrame, k: int, bucket: str = "minute") -> DataFrame:
+def recent_k(contests: DataFrame, k: int) -> DataFrame:
     """The last k decided series before each contest."""
-    history = team_history(contests, (k,), bucket)
+    contests = written(contests, "contests")
+    history = team_history(contests, (k,))
     return attach_history(contests, history, form_columns((k,))[-3:])
 
 
-def win_streak(contests: DataFrame, bucket: str = "minute") -> DataFrame:
+def win_streak(contests: DataFrame) -> DataFrame:
     """Wins since the last loss before each contest."""
-    return attach_history(contests, team_history(contests, (1,), bucket), ["prior_series_win_streak"])
+    contests = written(contests, "contests")
+    return attach_history(contests, team_history(contests, (1,)), ["prior_series_win_streak"])
 
 
 def sides_of(features: DataFrame, column: str = "prior_series_played") -> DataFrame:

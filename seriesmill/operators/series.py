@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.rules import minutes_between, series_key, wins_required
-from seriesmill.operators.ordering import (
-    join_null_safe,
-    order_levels,
-    with_position,
-    with_previous,
-    with_running_total,
-)
-
-CHUNK = 128  # games folded in one array
-FAN_IN = 1024  # chunk functions folded in one array
+from seriesmill.operators.ordering import bounds_up_to, cut, join_null_safe, previous, running_total, with_position
+from seriesmill.sources.tables import written
+
+CHUNK = 1024  # decided games walked at once where keys are large
+FAN_IN = 128  # chunk functions folded in one array
+DEPTH = 4  # levels of functions of functions
 BITS = 12  # of a state code for the wins of one side
 LOW = (1 << BITS) - 1  # most wins that may be needed; more are an error
 STATE = (1 << 2 * BITS) - 1
@@ -31,10 +25,8 @@ def sessionise(
 
     Null keys form a group of their own. Adds previous value and time, minutes since.
     """
-    levels = order_levels(df, ts, tiebreak)
-    order = [ts, tiebreak]
-    out = with_previous(df, keys, order, levels, [ts, change], "__previous")
-    out = out.withColumns(
+    made = previous(cut(df, keys, [ts, tiebreak]), [ts, change], "__previous")
+    out = made.df.withColumns(
         {
             f"previous_{change}": F.col(f"__previous.{change}"),
             "previous_time": F.col(f"__previous.{ts}"),
@@ -47,7 +39,7 @@ def sessionise(
         | (F.col("minutes_since_previous") > gap_minutes)
     )
     out = out.withColumn("new_session", begins.cast("int")).drop("__previous")
-    return with_running_total(out, keys, order, levels, "new_session", "session")
+    return running_total(made.having(out), "new_session", "session").plain()
 
 
 def candidate_summary(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
@@ -61,7 +53,7 @@ def number_in_group(
     df: DataFrame, keys: list[str], ts: str, tiebreak: str, name: str = "game_number", null_keys: bool = False
 ) -> DataFrame:
     """Position of a game in its series; rows without a series get none unless asked."""
-    numbered = with_position(df, keys, [ts, tiebreak], order_levels(df, ts, tiebreak), name)
+    numbered = with_position(df, keys, [ts, tiebreak], name)
     if null_keys:
         return numbered
     known = F.lit(True)
@@ -72,15 +64,18 @@ def number_in_group(
 
 # --- segments that close when a side has won often enough --------------------------------
 #
-# Where a segment closes depends on all games before it, so the games of a matchup cannot
-# simply be cut. But a run of games acts on "wins of A, wins of B in the open segment" as
-# a function with need * need arguments. Chunks of games are turned into such functions,
-# the functions are composed in a tree, and each chunk then starts from its true state.
+# Where a segment closes depends on all games before it. Of the games before a place only how
+# many decided ones are in the open segment matters: their winners are known. So a run of
+# games is a function of that length, which is at most 2 * need - 2: it gives the length after
+# the run and how many segments closed. A key that fits in a piece is walked once from its
+# start. A larger one is cut into chunks; their functions are composed in a tree, each chunk
+# then starts from its true length, and only the places where segments end come out.
 
 
 def _advance(code: Column, winner: Column, need: Column) -> Column:
-    a = F.shiftright(code, BITS).bitwiseAND(LOW) + F.when(winner == "A", 1).otherwise(0)
-    b = code.bitwiseAND(LOW) + F.when(winner == "B", 1).otherwise(0)
+    """State (segments closed, wins of A, wins of B) after one more game won by 1 (A) or 2 (B)."""
+    a = F.shiftright(code, BITS).bitwiseAND(LOW) + F.when(winner == 1, 1).otherwise(0)
+    b = code.bitwiseAND(LOW) + F.when(winner == 2, 1).otherwise(0)
     closed = code - code.bitwiseAND(STATE)
     return F.when((a >= need) | (b >= need), closed + CLOSED).otherwise(closed + F.shiftleft(a, BITS) + b)
 
@@ -90,43 +85,51 @@ def _checked(need: Column) -> Column:
     return F.when(need.between(1, LOW), need).otherwise(fault.cast("long"))
 
 
-def _all_states(need: Column) -> Column:
-    return F.transform(
-        F.sequence(F.lit(0).cast("long"), need * need - 1),
-        lambda i: F.shiftleft(F.floor(i / need), BITS) + i % need,
+def _code_of(last: Column) -> Column:
+    """State of an open segment of these games."""
+    return F.aggregate(last, F.lit(0).cast("long"), lambda acc, w: acc + F.when(w == 1, F.lit(1 << BITS)).otherwise(1))
+
+
+def _opened(before: Column, need: Column) -> Column:
+    """States in which a chunk may be entered, by length: a state has one game more of ``before``, from its end."""
+    most = F.least(F.size(before), (2 * need - 2).cast("int"))
+    return F.aggregate(
+        F.when(most > 0, F.reverse(F.slice(before, -most, most))).otherwise(F.array().cast("array<int>")),
+        F.array(F.lit(0).cast("long")),
+        lambda acc, w: F.concat(acc, F.array(F.element_at(acc, -1) + F.when(w == 1, F.lit(1 << BITS)).otherwise(1))),
     )
 
 
-def _apply(function: Column, code: Column, need: Column) -> Column:
-    """State after ``function`` when it starts from ``code``; closed segments add up."""
-    state = code.bitwiseAND(STATE)
-    at = F.shiftright(state, BITS) * need + state.bitwiseAND(LOW)
-    return code - state + F.get(function, at.cast("int"))
+def _length(code: Column) -> Column:
+    """(segments closed, decided games of the open one) of a state."""
+    wins = F.shiftright(code, BITS).bitwiseAND(LOW) + code.bitwiseAND(LOW)
+    return code - code.bitwiseAND(STATE) + wins
+
+
+def _apply(function: Column, code: Column) -> Column:
+    """(closed, length) after ``function``; closed segments add up. A length no game leads to stays."""
+    length = code.bitwiseAND(STATE)
+    return code - length + F.coalesce(F.get(function, length.cast("int")), length)
 
 
 def _entering(functions: DataFrame, keys: list[str], depth: int) -> DataFrame:
-    """(keys, id, code): the state in which each function of a key is entered.
+    """(keys, id, code): segments closed before each chunk of a key, and the length it is entered with.
 
     At most FAN_IN functions meet in one array; ``depth`` levels of grouping lie above.
     """
     entry = F.struct("id", "function")
     if depth == 0:
-        parents = functions.groupBy(*keys, "need").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+        parents = functions.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
         parents = parents.withColumn("code", F.lit(0).cast("long"))
     else:
-        grouped = functions.groupBy(*keys, "need", F.floor(F.col("id") / FAN_IN).alias("parent")).agg(
+        grouped = functions.groupBy(*keys, F.floor(F.col("id") / FAN_IN).alias("parent")).agg(
             F.array_sort(F.collect_list(entry)).alias("entries")
         )
+        lengths = F.transform(F.get("entries", F.lit(0))["function"], lambda _, i: i.cast("long"))
         composed = F.aggregate(
-            "entries",
-            _all_states(F.col("need")),
-            lambda acc, e: F.transform(acc, lambda c: _apply(e["function"], c, F.col("need"))),
-        )
-        above = _entering(
-            grouped.select(*keys, "need", F.col("parent").alias("id"), composed.alias("function")),
-            keys,
-            depth - 1,
+            "entries", lengths, lambda acc, e: F.transform(acc, lambda c: _apply(e["function"], c))
         )
+        above = _entering(grouped.select(*keys, F.col("parent").alias("id"), composed.alias("function")), keys, depth - 1)
         parents = join_null_safe(
             grouped, above.select(*keys, F.col("id").alias("parent"), "code"), keys + ["parent"]
         )
@@ -134,12 +137,59 @@ def _entering(functions: DataFrame, keys: list[str], depth: int) -> DataFrame:
         "entries",
         F.struct(F.col("code").alias("code"), F.array().cast("array<long>").alias("seen")),
         lambda acc, e: F.struct(
-            _apply(e["function"], acc["code"], F.col("need")).alias("code"),
+            _apply(e["function"], acc["code"]).alias("code"),
             F.concat(acc["seen"], F.array(acc["code"])).alias("seen"),
         ),
     )
     pairs = F.arrays_zip(F.transform("entries", lambda e: e["id"]).alias("id"), walked["seen"].alias("code"))
-    return parents.select(*keys, "need", F.explode(pairs).alias("p")).select(*keys, "p.id", "p.code")
+    return parents.select(*keys, F.explode(pairs).alias("p")).select(*keys, "p.id", "p.code")
+
+
+def _ends(winners: Column, code: Column, first: Column, need: Column) -> Column:
+    """Places of the decided games that close a segment; ``first`` is the place of the first one."""
+
+    def closes(code: Column, w: Column) -> Column:
+        return F.shiftright(_advance(code, w, need), 2 * BITS) > F.shiftright(code, 2 * BITS)
+
+    walked = F.aggregate(
+        winners,
+        F.struct(code.alias("code"), first.cast("long").alias("at"), F.array().cast("array<long>").alias("ends")),
+        lambda acc, w: F.struct(
+            _advance(acc["code"], w, need).alias("code"),
+            (acc["at"] + 1).alias("at"),
+            F.when(closes(acc["code"], w), F.concat(acc["ends"], F.array(acc["at"]))).otherwise(acc["ends"]).alias("ends"),
+        ),
+    )
+    return walked["ends"]
+
+
+def _chunk_ends(decided: DataFrame, keys: list[str], chunk: int) -> DataFrame:
+    """(keys, id, wide, closed, ends) of each chunk of ``wide`` decided games."""
+    need = F.col("__need")
+    wide = F.greatest(F.lit(chunk).cast("long"), 2 * need)
+    chunks = (
+        decided.withColumn("wide", wide)
+        .groupBy(*keys, "__need", "wide", F.floor(F.col("__before") / F.col("wide")).alias("id"))
+        .agg(F.array_sort(F.collect_list(F.struct("__before", "__winner"))).alias("games"))
+    )
+    chunks = written(chunks.withColumn("games", F.transform("games", lambda g: g["__winner"])), "chunks")
+    # Only a full chunk has a successor, which needs the winners at its end.
+    following = chunks.filter(F.size("games") == F.col("wide")).select(*keys, (F.col("id") + 1).alias("id"), F.col("games").alias("before"))
+    both = join_null_safe(chunks, following, [*keys, "id"])
+    opened = F.when(F.col("id") == 0, F.array(F.lit(0).cast("long"))).otherwise(_opened(F.coalesce("before", F.array().cast("array<int>")), need))
+    left = F.aggregate("games", opened, lambda acc, w: F.transform(acc, lambda c: _advance(c, w, need)))
+    # The first chunk is entered with nothing, whatever the length asked for.
+    lengths = F.transform(left, _length)
+    everywhere = F.array_repeat(F.get(lengths, F.lit(0)), (2 * need - 1).cast("int"))
+    last = F.size("games") < F.col("wide")  # is entered, and leads nowhere
+    function = F.when(last, F.array().cast("array<long>")).when(F.col("id") == 0, everywhere).otherwise(lengths)
+    functions = both.select(*keys, "id", function.alias("function"))
+    entered = join_null_safe(both, _entering(functions, keys, DEPTH), [*keys, "id"])
+    code = F.coalesce("code", F.lit(0).cast("long"))
+    length = code.bitwiseAND(STATE).cast("int")
+    start = F.when(length == 0, F.lit(0).cast("long")).otherwise(_code_of(F.slice(F.col("before"), -length, length)))
+    ends = _ends(F.col("games"), start, F.col("id") * F.col("wide"), need)
+    return entered.select(*keys, "id", F.shiftright(code, 2 * BITS).alias("closed"), ends.alias("ends"))
 
 
 def split_by_threshold(
@@ -150,9 +200,7 @@ def split_by_threshold(
     need: Column,
     winner: str = "winner_side",
     name: str = "segment",
-    chunk: int = CHUNK,
-    levels: list[Column] | None = None,
-    cut: Callable[[DataFrame], DataFrame] | None = None,
+    chunk: int | None = None,
 ) -> DataFrame:
     """Number the segments (from 1) inside each key.
 
@@ -160,51 +208,31 @@ def split_by_threshold(
     keys, from 1 to ``LOW``; anything else is an error); both counters then restart. Undecided games belong to the open segment and
     count for nobody; a segment still open at the end is kept.
 
-    The chunks are read twice, to compose them and to walk through them. ``cut`` may
-    turn them into a table in between, such as ``sources.tables.written``.
+    Games meet as winners and places only; rows get their segment by place. A key is walked at
+    once unless one is larger than a piece; then (or if ``chunk`` is given) keys are walked in chunks
+    of ``chunk`` games, or 2 x need where that is more.
     """
-    columns = [c for c in games.columns if c not in keys]
-    numbered = with_position(games, keys, [ts, tiebreak], levels or order_levels(games, ts, tiebreak), "__pos", start=0)
-    chunks = (
-        numbered.groupBy(*keys, F.floor(F.col("__pos") / chunk).alias("id"))
-        .agg(F.array_sort(F.collect_list(F.struct("__pos", F.struct(*columns).alias("row")))).alias("rows"))
-        .withColumn("need", _checked(need.cast("long")))
-    )
-    chunks = cut(chunks) if cut else chunks
-    starts = F.when(F.col("id") == 0, F.array(F.lit(0).cast("long"))).otherwise(_all_states(F.col("need")))
-    ends = F.aggregate(
-        F.transform("rows", lambda r: r["row"][winner]),
-        starts,
-        lambda acc, w: F.transform(acc, lambda c: _advance(c, w, F.col("need"))),
-    )
-    # Only a full chunk can have a successor; a first chunk ignores how it is entered.
-    functions = chunks.filter((F.col("id") > 0) | (F.size("rows") == chunk)).select(
-        *keys,
-        "need",
-        "id",
-        F.when(
-            F.col("id") == 0,
-            F.array_repeat(F.get(ends, F.lit(0)), (F.col("need") * F.col("need")).cast("int")),
-        )
-        .otherwise(ends)
-        .alias("function"),
-    )
-    entered = join_null_safe(chunks, _entering(functions, keys, depth=2), keys + ["id"])
-    walked = F.aggregate(
-        F.transform("rows", lambda r: r["row"][winner]),
-        F.struct(
-            F.coalesce("code", F.lit(0)).cast("long").alias("code"),
-            F.array().cast("array<long>").alias("seen"),
-        ),
-        lambda acc, w: F.struct(
-            _advance(acc["code"], w, F.col("need")).alias("code"),
-            F.concat(acc["seen"], F.array(F.shiftright(acc["code"], 2 * BITS) + 1)).alias("seen"),
-        ),
-    )
-    pairs = F.arrays_zip(F.transform("rows", lambda r: r["row"]).alias("row"), walked["seen"].alias("seg"))
-    return entered.select(*keys, F.explode(pairs).alias("p")).select(
-        *keys, "p.row.*", F.col("p.seg").alias(name)
-    )
+    side = F.when(F.col(winner) == "A", 1).when(F.col(winner) == "B", 2)
+    ready = games.withColumns({"__need": _checked(need.cast("long")), "__winner": side, "__one": side.isNotNull().cast("int")})
+    ready = written(ready, "games")  # read by the count, the walk and the rows themselves
+    made = running_total(cut(ready, keys, [ts, tiebreak]), "__one", "__before")
+    numbered = made.df.withColumn("__before", F.col("__before") - F.col("__one"))
+    decided = numbered.filter(F.col("__winner").isNotNull())
+    if made.large or chunk:
+        wide = F.greatest(F.lit(chunk or CHUNK).cast("long"), 2 * F.col("__need"))
+        ends = _chunk_ends(decided.select(*keys, "__need", "__before", "__winner"), keys, chunk or CHUNK).withColumnRenamed("id", "__id")
+        # An undecided game after the last one of a chunk belongs to that chunk.
+        place = F.greatest(F.col("__before") - F.when(F.col("__winner").isNull(), 1).otherwise(0), F.lit(0))
+        found = join_null_safe(numbered.withColumn("__id", F.floor(place / wide)), ends, [*keys, "__id"])
+    else:
+        walked = decided.groupBy(*keys, "__need").agg(F.array_sort(F.collect_list(F.struct("__before", "__winner"))).alias("games"))
+        winners = F.transform("games", lambda g: g["__winner"])
+        zero = F.lit(0).cast("long")
+        ends = walked.select(*keys, zero.alias("closed"), _ends(winners, zero, zero, F.col("__need")).alias("ends"))
+        found = join_null_safe(numbered, ends, keys)
+    earlier = bounds_up_to(F.col("ends"), F.col("__before") - 1)
+    segment = F.coalesce("closed", F.lit(0)) + earlier + 1
+    return found.withColumn(name, segment.cast("long")).select(*games.columns, name)
 
 
 def _one_or_first(name: str, order: Column) -> Column:
@@ -317,7 +345,7 @@ def chronological_series_id(
     """``series_number`` by first time inside each period, and the id made from it."""
     from seriesmill.functions.rules import format_series_id
 
-    out = with_position(series, [period], [start, *tiebreaks], order_levels(series, start, tiebreaks[0]), "series_number")
+    out = with_position(series, [period], [start, *tiebreaks], "series_number")
     return out.withColumn("series_id", format_series_id(prefix, F.col("series_number"), width))
 
 

@@ -13,7 +13,8 @@ from seriesmill.plans.catalog import r6, r6_sql, register
 from seriesmill.plans.views_sql import CONTESTS, PREDICTIONS
 
 MODELS = ["score_share", "scramble", "size_share"]
-REPS = 1000
+REPS = 10_000
+LISTED_REPS = 1000
 SEED = 42
 
 SCORED = f"""with {PREDICTIONS}, preds as (
@@ -255,25 +256,49 @@ def majority_baseline(spark, sf):
     return _rounded(out, ["train_positive_rate", "test_accuracy"])
 
 
-DRAWS = f"""{SCORED}, pos as (
+def draws_sql(reps: int) -> str:
+    """CTEs with the contests' places and the weights; a digest has the draws of two replicates."""
+    return f"""{SCORED}, pos as (
   select id, fold, row_number() over (partition by fold order by id) - 1 as position, count(*) over (partition by fold) as size
   from (select distinct id, fold from preds)),
-reps as (select unnest(range(0, {REPS})) as rep),
+pairs as (select unnest(range(0, {(reps + 1) // 2})) as pair),
+digests as (select pair, fold, size, md5('{SEED}|' || pair || '|' || fold || '|' || position) as d from pos cross join pairs),
 weights as (
-  select rep, fold, ('0x' || substr(md5('{SEED}|' || rep || '|' || fold || '|' || position), 1, 15))::bigint % size as position,
-    count(*) as weight from pos cross join reps group by 1, 2, 3)"""
-SAMPLE = f"""{DRAWS}, sample as (
-  select rep, model, target, probability, prediction, weight from weights join pos using (fold, position) join preds using (id, fold)),
-{metric_sql('sample', 'rep, model', 'weight')}"""
+  select (2 * pair + odd)::smallint as rep, fold, (('0x' || substr(d, 1 + 16 * odd, 15))::bigint % size)::int as position, count(*)::int as weight
+  from digests cross join (select unnest([0, 1]) as odd) where 2 * pair + odd < {reps} group by 1, 2, 3)"""
+
+
+SAMPLE = f"""{draws_sql(REPS)}, placed as (
+  select fold, position, model, target, prediction, probability, dense_rank() over (partition by model order by probability)::int as place,
+    {LOSS} as loss from preds join pos using (id, fold)),
+sample as (select * from weights join placed using (fold, position)),
+sums as (
+  select rep, model, sum(weight) filter (target = 0 and prediction = 0) as tn0, sum(weight) filter (target = 0 and prediction = 1) as fp0,
+    sum(weight) filter (target = 1 and prediction = 0) as fn0, sum(weight) filter (target = 1 and prediction = 1) as tp0,
+    sum(weight * loss) / sum(weight) as log_loss, sum(weight * (probability - target) * (probability - target)) / sum(weight) as brier_score
+  from sample group by 1, 2),
+scores as (
+  select rep, model, place, sum(case when target = 1 then weight else 0 end)::int as pos, sum(case when target = 0 then weight else 0 end)::int as neg
+  from sample group by 1, 2, 3),
+lower as (select *, coalesce(sum(neg) over (partition by rep, model order by place rows between unbounded preceding and 1 preceding), 0) as below from scores),
+areas as (
+  select rep, model, case when sum(pos) > 0 and sum(neg) > 0 then sum(pos::double * (below + neg / 2)) / (sum(pos)::double * sum(neg)) end as roc_auc
+  from lower group by 1, 2),
+counts as (
+  select *, coalesce(tn0, 0)::bigint as tn, coalesce(fp0, 0)::bigint as fp, coalesce(fn0, 0)::bigint as fn, coalesce(tp0, 0)::bigint as tp from sums),
+metrics as (
+  select *, (tn + tp) / (tn + fp + fn + tp) as accuracy, case when 2 * tp + fp + fn = 0 then 0.0::double else 2 * tp / (2 * tp + fp + fn) end as f1
+  from counts join areas using (rep, model))"""
 
 
 @register(
     "bootstrap_draws",
-    f"{DRAWS} select rep::int as rep, fold, position, weight from weights",
+    f"{draws_sql(LISTED_REPS)} select rep::int as rep, fold, position::bigint as position, weight::bigint as weight from weights",
 )
 def bootstrap_draws(spark, sf):
+    """Every draw as a row: of fewer replicates, as the result is contests x replicates."""
     contests = preds(spark, sf).select("id", "fold").distinct()
-    return b.sample_weights(b.fold_positions(contests), REPS, SEED)
+    return b.sample_weights(b.fold_positions(contests), LISTED_REPS, SEED)
 
 
 @register(

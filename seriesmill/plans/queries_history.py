@@ -120,14 +120,13 @@ leaky as (
 
 
 def _leaky(spark, sf):
-    from seriesmill.operators.ordering import id_piece, time_levels, with_position
+    from seriesmill.operators.ordering import with_position
 
     sides = h.sides_of(_known(spark, sf).withColumns({f"team_{s}_x": F.lit(0) for s in ("a", "b")}), "x")
     numbered = with_position(
         sides,
         ["team"],
         ["ts", "tournament_order", "contest_id", "side"],
-        time_levels("ts", F.col("tournament_order"), id_piece(F.col("contest_id"))),
         "n",
         start=0,
     )

@@ -17,7 +17,7 @@ from seriesmill.functions.rules import (
 )
 from seriesmill.operators import games as g
 from seriesmill.operators import series as s
-from seriesmill.operators.ordering import id_piece, time_levels, with_position, with_previous
+from seriesmill.operators.ordering import with_position, with_previous
 from seriesmill.plans import views
 from seriesmill.plans.catalog import r6, r6_sql, register, stamp, stamp_sql
 from seriesmill.plans.views_sql import GAMES, ORIENTED, PLAYERS, SESSIONS
@@ -173,7 +173,7 @@ select event_id, lag(pair) over w as previous_pair, epoch_us(lag(ts) over w) as
 from sessions window w as (partition by stage order by ts, event_id)""",
 )
 def lag_in_group(spark, sf):
-    out = with_previous(views.sessions(spark, sf), ["stage"], ["ts", "event_id"], time_levels("ts", id_piece(F.col("event_id"))), ["ts", "pair"], "p")
+    out = with_previous(views.sessions(spark, sf), ["stage"], ["ts", "event_id"], ["ts", "pair"], "p")
     return out.select(
         "event_id", F.col("p.pair").alias("previous_pair"), F.unix_micros("p.ts").alias("previous_us")
     )
@@ -186,7 +186,7 @@ select event_id, {r6_sql("(epoch_us(ts) - epoch_us(lag(ts) over (partition by st
 from sessions""",
 )
 def minutes_since(spark, sf):
-    out = with_previous(views.sessions(spark, sf), ["stage"], ["ts", "event_id"], time_levels("ts", id_piece(F.col("event_id"))), ["ts"], "p")
+    out = with_previous(views.sessions(spark, sf), ["stage"], ["ts", "event_id"], ["ts"], "p")
     return out.select("event_id", r6(minutes_between(F.col("ts"), F.col("p.ts"))).alias("minutes"))
 
 
@@ -257,7 +257,7 @@ segmented as (
 RECURSIVE = f"with recursive {ORIENTED}, {SEGMENTED}"
 
 
-def segmented(spark, sf, chunk=s.CHUNK):
+def segmented(spark, sf, chunk=None):
     games = views.oriented_games(spark, sf).select(
         *MATCHUP,
         "game_id",
@@ -271,7 +271,6 @@ def segmented(spark, sf, chunk=s.CHUNK):
         "team_b_players",
         "orientation_error",
     )
-    levels = time_levels("ts", id_piece(F.col("game_id")))
     return s.split_by_threshold(
         games,
         MATCHUP,
@@ -279,8 +278,6 @@ def segmented(spark, sf, chunk=s.CHUNK):
         "game_id",
         wins_required(F.col("stage")),
         chunk=chunk,
-        levels=levels,
-        cut=lambda chunks: written(chunks, "chunks"),
     )
 
 
@@ -493,10 +490,9 @@ select game_id, row_number() over (order by ts, tournament_order, game_id) as ch
 )
 def chronological_index(spark, sf):
     out = with_position(
-        views.games(spark, sf).select("game_id", "ts", "tournament_order"),
+        written(views.games(spark, sf).select("game_id", "ts", "tournament_order"), "games"),
         [],
         ["ts", "tournament_order", "game_id"],
-        time_levels("ts", F.col("tournament_order"), id_piece(F.col("game_id"))),
         "chronological_index",
     )
     return out.select("game_id", "chronological_index")

@@ -90,13 +90,16 @@ def test_text_ids(spark):
 
 
 def test_crowded_moment_is_cut(spark, monkeypatch):
-    """All contests at two moments, ids spread over many pieces."""
+    """All contests at two moments; the team's contests are many pieces, and so is a moment."""
     from seriesmill.operators import ordering
 
-    monkeypatch.setattr(ordering, "ID_PIECE", 7)
+    monkeypatch.setattr(ordering, "PIECE_ROWS", 8)
+    monkeypatch.setattr(ordering, "SAMPLES", 4)
     rows = [(i, i % 2 * 100, 1, "hot", f"t{i % 5}", (i * 7 % 3) % 2, 3, i % 4) for i in range(150)]
     rows.append((999, 200, 1, "hot", "t1", None, 0, 0))
     assert computed(contests(spark, rows), 5) == brute(rows, 5)
+    mixed = random_rows(6)
+    assert computed(contests(spark, mixed), 3) == brute(mixed, 3)
 
 
 def test_same_moment_shows_same_history(spark):

@@ -58,12 +58,13 @@ def test_threshold_matches_brute_force(spark, chunk):
     assert [got[("known", "Group Stages", None)].count(n) for n in (1, 2, 3)] == [4, 3, 3]
 
 
-@pytest.mark.parametrize("need", [1, 31, 32, 40, 100])
+@pytest.mark.parametrize("need", [1, 2, 31, 32, 100, 1000, 4095])
 def test_any_number_of_wins(spark, need):
     rng = random.Random(need)
     winners = list("AB") * 120 + rng.choices(["A", "B", None], [5, 5, 1], k=160)
+    winners += rng.choices(["A", "B"], [5, 3], k=9000 if need == 4095 else 3000 if need == 1000 else 0)
     df = games(spark, {("x", "Group Stages", None): winners})
-    out = s.split_by_threshold(df, KEYS, "ts", "game_id", F.lit(need), chunk=128)
+    out = s.split_by_threshold(df, KEYS, "ts", "game_id", F.lit(need), chunk=16)
     assert [r["segment"] for r in out.orderBy("game_id").collect()] == brute(winners, need)
 
 
@@ -74,9 +75,22 @@ def test_impossible_number_of_wins(spark, need):
         s.split_by_threshold(df, KEYS, "ts", "game_id", F.lit(need).cast("int")).collect()
 
 
+def test_a_million_games_of_one_matchup(spark):
+    """Nothing but winners and places of a key meets in a task, a chunk of them at a time."""
+    n = 1_000_000
+    side = F.when(F.col("id") % 3 == 0, "A").when(F.col("id") % 7 == 1, None).otherwise("B")
+    df = spark.range(n).select(
+        F.col("id").alias("game_id"), F.timestamp_seconds(F.floor(F.col("id") / 5)).alias("ts"), side.alias("winner_side"),
+        *[F.lit("x").alias(k) for k in KEYS], F.repeat(F.lit("a wide row "), 20).alias("more"),
+    )
+    out = s.split_by_threshold(df, KEYS, "ts", "game_id", F.lit(4))
+    got = out.select("game_id", "segment").orderBy("game_id").toPandas()["segment"].tolist()
+    assert got == brute(["A" if i % 3 == 0 else None if i % 7 == 1 else "B" for i in range(n)], 4)
+
+
 def test_deep_composition(spark, monkeypatch):
     """A small fan-in makes one key climb all levels of the tree."""
-    monkeypatch.setattr(s, "FAN_IN", 3)
+    monkeypatch.setattr(s, "FAN_IN", 2)
     winners = random.Random(8).choices(["A", "B", None], k=150)
     got = segments(games(spark, {("x", "Group Stages", None): winners}), 2)
     assert got[("x", "Group Stages", None)] == brute(winners, 3)
