@@ -63,8 +63,10 @@ def modelling(spark, sf):
 
 @register(
     "missing_indicators",
-    f"""{TABLE_SQL}, long as ({" union all ".join(f"select contest_id, '{c}__missing' as feature, (\"{c}\" is null)::int as missing from modelling" for c in PREDICTORS)})
-select * from long where feature in (select feature from long where missing = 1)""",
+    f"""{TABLE_SQL}, flags as materialized (
+  select contest_id, {", ".join(f'("{c}" is null)::int as "{c}__missing"' for c in PREDICTORS)} from modelling),
+long as materialized (select contest_id, feature, missing from (unpivot flags on columns(* exclude (contest_id)) into name feature value missing))
+select * from long where feature in (select feature from long group by 1 having max(missing) = 1)""",
 )
 def missing_indicators(spark, sf):
     """The indicator columns as rows: which there are depends on the data."""
@@ -78,19 +80,15 @@ def missing_indicators(spark, sf):
 @register(
     "missingness_profile",
     f"""{TABLE_SQL}, p as (select count(*) as n, {", ".join(
-        f'count("{c}") as "c{i}", count(distinct "{c}") as "u{i}"' for i, c in enumerate(PREDICTORS))} from modelling)
+        f'count("{c}") as "c{i}", count(distinct {r6_sql(chr(34) + c + chr(34))}) as "u{i}"' for i, c in enumerate(PREDICTORS))} from modelling)
 {" union all ".join(f'''select '{c}' as feature, n - c{i} as missing_count, {r6_sql(f"100.0::double * (n - c{i}) / n")} as missing_pct,
-  {"u" + str(i) if not c.startswith("diff_") else "(u" + str(i) + " > 0)::bigint"} as unique_non_missing, u{i} <= 1 as constant_non_missing from p'''
+  u{i} as unique_non_missing, u{i} <= 1 as constant_non_missing from p'''
     for i, c in enumerate(PREDICTORS))}""",
 )
 def missingness_profile(spark, sf):
-    """Differences of rates may differ in the last bit between engines: for those only
-    whether there is any value is compared."""
-    out = profile.missingness_profile(modelling_table(spark, sf), PREDICTORS)
-    some = F.when(F.col("feature").startswith("diff_"), (F.col("unique_non_missing") > 0).cast("long"))
-    return out.withColumns(
-        {"missing_pct": r6("missing_pct"), "unique_non_missing": F.coalesce(some, F.col("unique_non_missing"))}
-    )
+    """Of values at six decimals: rates may differ in the last bit between engines."""
+    table = modelling_table(spark, sf).select(*[r6(F.col(f"`{c}`").cast("double")).alias(c) for c in PREDICTORS])
+    return profile.missingness_profile(table, PREDICTORS).withColumn("missing_pct", r6("missing_pct"))
 
 
 @register("assign_expanding_folds", f"with {CONTESTS} select contest_id, {ROLES} from contests")
@@ -396,3 +394,42 @@ def filters(spark, sf):
 def diff_features(spark, sf):
     contests = views.contests(spark, sf).withColumnsRenamed({"a_games": "team_a_games", "b_games": "team_b_games"})
     return history.diff_features(contests, ["games"]).select("contest_id", "diff_games")
+
+
+COMPARED = {"orders": "orders", "lines": "lineitem", "customers": "customer"}
+
+
+@register(
+    "column_alignment",
+    """with c as (
+  select lower(column_name) as column_name, table_name from duckdb_columns() where table_name in ('orders', 'lineitem', 'customer'))
+select column_name, bool_or(table_name = 'orders') as orders, bool_or(table_name = 'lineitem') as lines, bool_or(table_name = 'customer') as customers,
+  count(*) = 3 as shared from (select distinct substr(column_name, instr(column_name, '_') + 1) as column_name, table_name from c) group by 1""",
+)
+def column_alignment(spark, sf):
+    """Which columns three tables share, by their names without the table's letter."""
+    frames = {}
+    for name, source in COMPARED.items():
+        df = views.table(spark, sf, source)
+        frames[name] = df.toDF(*[c.split("_", 1)[1] for c in df.columns])
+    return checks.column_alignment(spark, frames)
+
+
+@register(
+    "require_columns",
+    """select 'orders' as source, count(*) as rows, null as fault from orders
+union all select 'lineitem', null, 'missing columns: l_totalprice, l_weather'
+union all select 'customer', null, 'missing columns: c_weather'""",
+)
+def require_columns(spark, sf):
+    """Rows of the tables that have what is asked of them, and what the others lack."""
+    wanted = {"orders": ["o_orderkey", "o_totalprice"], "lineitem": ["l_totalprice", "l_orderkey", "l_weather"], "customer": ["c_custkey", "c_weather"]}
+    parts = []
+    for source, names in wanted.items():
+        df = views.table(spark, sf, source)
+        try:
+            part = checks.require_columns(df, names).agg(F.count(F.lit(1)).alias("rows")).withColumn("fault", F.lit(None).cast("string"))
+        except ValueError as e:
+            part = spark.createDataFrame([(None, str(e))], "rows long, fault string")
+        parts.append(part.select(F.lit(source).alias("source"), "rows", "fault"))
+    return parts[0].union(parts[1]).union(parts[2])

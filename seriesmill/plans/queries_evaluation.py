@@ -222,22 +222,28 @@ def prediction_problems(spark, sf):
 
 @register(
     "standardise_predictions",
-    f"""{SCORED} select id::varchar as id, 'mine' as model, '' as tournament, fold, target, {r6_sql('probability')} as probability, prediction
-from preds where model = 'score_share'""",
+    f"""{SCORED} select id::varchar as id, model, case model when 'scramble' then fold else '' end as tournament, fold, target, {r6_sql('probability')} as probability, prediction
+from preds""",
 )
 def standardise_predictions(spark, sf):
-    raw = (
-        preds(spark, sf)
-        .filter(F.col("model") == "score_share")
-        .select(
-            F.concat(F.lit(" "), F.col("id").cast("string")).alias("Match_ID"),
-            F.col("target").cast("string").alias("y_true"),
-            F.col("probability").alias("y_prob"),
-            F.col("prediction").cast("double").alias("Predicted"),
-            F.concat("fold", F.lit(" ")).alias("test_fold"),
-        )
-    )
-    return _rounded(m.standardise_predictions(raw, "mine"), ["probability"])
+    """Three tables of predictions that name and type their columns each in its own way."""
+    scored = preds(spark, sf)
+    shapes = {
+        "score_share": {
+            "Match_ID": F.concat(F.lit(" "), F.col("id").cast("string")), "y_true": F.col("target").cast("string"), "y_prob": F.col("probability"),
+            "Predicted": F.col("prediction").cast("double"), "test_fold": F.concat("fold", F.lit(" ")),
+        },
+        "size_share": {
+            "series_id": F.col("id"), "target_team_a_win": F.col("target").cast("double"), "predicted_probability_team_a_win": F.col("probability").cast("string"),
+            "predicted_class": F.col("prediction"), "fold": F.col("fold"),
+        },
+        "scramble": {
+            "series": F.col("id").cast("string"), "actual": F.col("target"), "probability": F.col("probability"), "y_pred": F.col("prediction").cast("string"),
+            "evaluation_fold": F.col("fold"), "Open": F.lit("unused"), "event": F.concat(F.col("fold"), F.lit("  ")),
+        },
+    }
+    parts = [m.standardise_predictions(scored.filter(F.col("model") == name).select(*[c.alias(n) for n, c in shape.items()]), name) for name, shape in shapes.items()]
+    return _rounded(d.union_all(parts), ["probability"])
 
 
 @register(

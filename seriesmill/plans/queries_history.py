@@ -164,9 +164,12 @@ def same_time_audit(spark, sf):
 
 @register(
     "leak_free_audits",
-    f"""{BASE}
-select 0::bigint as first_appearance_violations, 0::bigint as same_time_violations, count(*) as contests
-from contests""",
+    f"""{BASE}, played as (
+  select p.*, (select count(*) from parts q where q.team = p.team and q.ts < p.ts and q.won is not null) as value from parts p),
+first as (select *, row_number() over (partition by team order by ts, tournament_order, contest_id, side) as k from played),
+same as (select ts, team from played group by 1, 2 having min(value) <> max(value))
+select (select count(*) from first where k = 1 and value <> 0) as first_appearance_violations,
+  (select count(*) from same) as same_time_violations, (select count(*) from contests) as contests""",
 )
 def leak_free_audits(spark, sf):
     """Both audits on the library's own features: no violation among all contests."""

@@ -397,3 +397,114 @@ def quarantine_rows(spark, sf):
         "no_winner": F.col("blue_goals") == F.col("orange_goals"),
     }
     return checks.quarantine(views.games(spark, sf), rules).select("game_id", "reject_reason")
+
+
+# --- real files ---------------------------------------------------------------------------
+#
+# A game per supplier: its lines are two sides (by status) of players (by flag and line number).
+# Its two exports are files in folders with escaped names; some are spoiled.
+
+LINES = """
+lines as (
+  select l_suppkey as game_id, case l_linestatus when 'O' then 'blue' else 'orange' end as color,
+    l_returnflag || l_linenumber as player, cast(l_quantity as bigint) as quantity from lineitem),
+side as (
+  select game_id, color, count(*) as goals, sum(quantity) as score, color || case when game_id % 4 = 2 then '; ' else '_' end || game_id % 7 as team
+  from lines group by 1, 2),
+faults as (
+  select distinct game_id, case when game_id % 11 = 3 then 'not_utf8' when game_id % 13 = 4 then 'parse_failed' when game_id % 17 = 5 then 'ragged_rows' end as fault from lines)"""
+
+
+def _export_lines(spark, sf):
+    line = views.table(spark, sf, "lineitem")
+    return line.select(
+        F.col("l_suppkey").alias("game_id"),
+        F.when(F.col("l_linestatus") == "O", "blue").otherwise("orange").alias("color"),
+        F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("player"),
+        F.col("l_quantity").cast("long").alias("quantity"),
+    )
+
+
+def written_exports(spark, sf):
+    """Team and player files of every supplier below a folder of their own, and that folder."""
+    lines = _export_lines(spark, sf).withColumn("layout", F.col("game_id") % 4)
+    goals = F.count(F.lit(1)).alias("goals")
+    side = lines.groupBy("game_id", "layout", "color").agg(goals, F.sum("quantity").alias("score"))
+    k = (F.col("game_id") % 7).cast("string")
+    name = F.when(F.col("layout") == 2, F.concat(F.lit('"'), "color", F.lit("; "), k, F.lit('"'))).otherwise(F.concat("color", F.lit("_"), k))
+    plain = "color;team name;score;goals;game duration"
+    team = side.withColumn(
+        "line",
+        _by_layout(
+            _line(F.col("color"), name, F.col("score"), F.col("goals"), F.lit("300")),
+            _line(F.col("goals"), F.lit(""), F.col("color"), name, F.col("score")),
+            _line(F.col("color"), name, F.col("score"), F.col("goals"), F.lit("300")),
+            _line(F.col("score"), F.col("goals"), name, F.upper("color")),
+        ),
+    )
+    team_head = _by_layout(F.lit(plain), F.lit("\ufeffGoals;;Color; Team Name ;Score"), F.lit(plain), F.lit("SCORE;goals;TEAM NAME;color"))
+    players = lines.groupBy("game_id", "layout", "color", "player").agg(goals, F.sum("quantity").alias("assists"))
+    c, p, n, a = (F.col(x) for x in ("color", "player", "goals", "assists"))
+    player = players.withColumn("line", _by_layout(_line(c, p, n, a), _line(p, c, a, n), _line(c, p, n, a), _line(a, n, p, c)))
+    player_head = _by_layout(F.lit("color;player name;goals;assists"), F.lit("\ufeffPlayer;team color;Assists;Goals"), F.lit("color;player name;goals;assists"), F.lit("assists;goals;name;color"))
+
+    def files(rows, head, ending):
+        whole = rows.groupBy("game_id", "layout").agg(F.array_join(F.array_sort(F.collect_list("line")), "\r\n").alias("body"))
+        return whole.select("game_id", F.concat(F.col("game_id").cast("string"), F.lit(ending)).alias("file"), F.concat_ws("\r\n", head, "body").alias("value"))
+
+    def spoiled(text):
+        g = F.col("game_id")
+        bad = F.when(g % 11 == 3, F.concat(text, F.unhex(F.lit("C328")).cast("string")))
+        return bad.when(g % 13 == 4, F.concat(text, F.lit('\n"open'))).when(g % 17 == 5, F.concat(text, F.lit("\n1;2;3;4;5;6;7"))).otherwise(text)
+
+    team_files = files(team, team_head, "-teams.csv").withColumn("value", spoiled(F.col("value")))
+    both = team_files.unionByName(files(player, player_head, "-players.csv"))
+    folder = F.when(F.col("game_id") % 3 == 0, "Group Stages/Group A").otherwise("Playoff 1")
+    root = scratch_table(spark, "exports")
+    both.select(folder.alias("folder"), "file", "value").write.partitionBy("folder", "file").text(root)
+    return root
+
+
+def read_files(spark, sf):
+    """Lines of the written files, under the paths that their folders' names hold."""
+    root = written_exports(spark, sf)
+    found = x.read_exports(spark, root, "part-*").unionByName(x.unreadable_exports(spark, root, "part-*"))
+    part = lambda name: F.url_decode(F.regexp_replace(F.regexp_extract("path", name + "=([^/]*)/", 1), r"\+", "%2B"))
+    named = found.withColumn("path", F.concat(F.lit(ROOT + "/"), part("folder"), F.lit("/"), part("file")))
+    return tables.written(x.parse_exports(x.with_path_fields(named, ROOT)), "export-lines")
+
+
+@register(
+    "read_exports_files",
+    f"""with {LINES} select game_id || '' as replay_id, case when game_id % 3 = 0 then 'Group Stages/Group A' else 'Playoff 1' end as folder,
+  color, player, count(*)::double as goals, sum(quantity)::double as assists from lines group by game_id, color, player""",
+)
+def read_exports_files(spark, sf):
+    rows = x.player_stats(read_files(spark, sf).filter(F.col("kind") == "player"))
+    return rows.select("replay_id", "folder", "color", "player", "goals", "assists")
+
+
+@register(
+    "quarantine_files",
+    f"""with {LINES} select case when f.game_id % 3 = 0 then 'Group Stages/Group A' else 'Playoff 1' end as folder, f.game_id || '' as replay_id,
+  case when fault is not null then fault when n <> 2 then 'team_rows_not_2' end as reject_reason
+from faults f join (select game_id, count(*) as n from side group by 1) s using (game_id)""",
+)
+def quarantine_files(spark, sf):
+    """Why a game's files can't be used, what reading found among it."""
+    return x.reject_reasons(read_files(spark, sf), ["color", "team name", "score", "goals"])
+
+
+@register(
+    "game_rows_from_team_files",
+    f"""with {LINES}, b as (select * from side where color = 'blue'), o as (select * from side where color = 'orange')
+select game_id || '' as replay_id, b.team as blue_team, o.team as orange_team, b.score::double as blue_score, o.score::double as orange_score,
+  b.goals::double as blue_goals, o.goals::double as orange_goals, case when game_id % 2 = 0 then '300' end as game_duration,
+  case when b.score > o.score then b.team when o.score > b.score then o.team else '' end as game_winner
+from b join o using (game_id) join faults using (game_id) where fault is null""",
+)
+def game_rows_from_team_files(spark, sf):
+    """Games whose statistics are the team rows' own; the higher score wins."""
+    out = x.game_rows(read_files(spark, sf), ["color", "team name", "score", "goals"], source="team")
+    sides = [f"{c}_{f}" for f in ("team", "score", "goals") for c in COLOURS]
+    return out.select("replay_id", *sides, "game_duration", "game_winner")

@@ -1,7 +1,9 @@
 """Per-game exports: small delimited files whose columns are known by name only.
 
-Headers differ between files (order, synonyms, missing columns), so rows become maps
-from header to text. ``spark.read.csv`` over such files would go by position.
+Headers differ between files (order, synonyms, missing columns), but there are few of them.
+Each distinct header is resolved once to the places of the known fields; files get these by a
+join with their header's text, and a row's fields are read by place. ``spark.read.csv``
+over such files would take every file's columns in the order of the first.
 """
 
 from __future__ import annotations
@@ -42,12 +44,35 @@ TEAM_FILE_NAMES = ["team name", "name", "team"]
 PLAYER_FILE_TEAM_NAMES = ["team name", "team"]
 PLAYER_NAMES = ["player name", "player", "name"]
 
+#: Fields of a row and the headers that carry them, the preferred one first.
+FIELDS = SYNONYMS | {"score": ["score"], "team_file_name": TEAM_FILE_NAMES, "player_file_team": PLAYER_FILE_TEAM_NAMES, "player": PLAYER_NAMES}
+
+
+def _files(spark: SparkSession, root: str, pattern: str, skip: bool) -> DataFrame:
+    """Files as bytes; with ``skip`` those that can't be read are left out instead of stopping the job."""
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true")
+    return reader.option("ignoreCorruptFiles", str(skip).lower()).load(root)
+
 
 def read_exports(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
-    """(path, content) of every matching file below ``root``; one file is one game side."""
-    files = spark.read.text(root, wholetext=True, pathGlobFilter=pattern, recursiveFileLookup=True)
-    path = F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))
-    return files.select(path.alias("path"), F.col("value").alias("content"))
+    """(path, content, read_fault) of every matching file below ``root``; one file is one game side.
+
+    A file that is no UTF-8 text has the fault ``not_utf8`` and no content. Files that are
+    listed but can't be read are missing here: see ``unreadable_exports``. Spark's readers do
+    not list files of no bytes at all.
+    """
+    text = F.col("content").cast("string")
+    valid = F.is_valid_utf8(text)
+    files = _files(spark, root, pattern, skip=True)
+    return files.select("path", F.when(valid, text).alias("content"), F.when(~valid, "not_utf8").alias("read_fault"))
+
+
+def unreadable_exports(spark: SparkSession, root: str, pattern: str = "*.csv", listing: DataFrame | None = None) -> DataFrame:
+    """(path, content, read_fault) of files that are listed, here or in ``listing``, but can't be read."""
+    listed = listing if listing is not None else _files(spark, root, pattern, skip=False)
+    read = _files(spark, root, pattern, skip=True).filter(F.length("content") >= 0)
+    gone = listed.select("path").join(read.select("path"), "path", "left_anti")
+    return gone.select("path", F.lit(None).cast("string").alias("content"), F.lit("unreadable").alias("read_fault"))
 
 
 def with_path_fields(files: DataFrame, root: str) -> DataFrame:
@@ -98,71 +123,60 @@ def normalise_headers(names: Column) -> Column:
     return F.transform(names, lambda h: F.lower(F.trim(F.regexp_replace(h, "^\ufeff", ""))))
 
 
-def _named_columns(header: Column) -> Column:
-    """(name, preference, index) of each header cell, the preferred synonym first."""
-    preference = {w: (name, i) for name, words in SYNONYMS.items() for i, w in enumerate(words)}
-    known = F.create_map(
-        *[x for w, (n, i) in preference.items() for x in (F.lit(w), F.struct(F.lit(n).alias("n"), F.lit(i).alias("p")))]
-    )
-
-    def named(h: Column, i: Column) -> Column:
-        hit = F.try_element_at(known, h)
-        return F.struct(
-            F.coalesce(hit["n"], h).alias("n"), F.coalesce(hit["p"], F.lit(0)).alias("p"), i.alias("i")
-        )
-
-    return F.array_sort(F.transform(header, named))
+def _registry(heads: DataFrame, sep: str) -> DataFrame:
+    """Each distinct header line with its names and the places (from 1, else 0) of all known fields."""
+    names = heads.distinct().withColumn("header", normalise_headers(_cells(F.col("__head"), sep)))
+    first = [F.coalesce(*[F.nullif(F.array_position("header", c), F.lit(0)) for c in found], F.lit(0)) for found in FIELDS.values()]
+    return names.withColumn("__at", F.array(*[x.cast("int") for x in first]))
 
 
 def parse_exports(files: DataFrame, sep: str = ";") -> DataFrame:
-    """One row per data line: the other columns, ``header``, ``row_no`` from 0, ``cells``.
+    """One row per data line: the other columns, ``header``, ``row_no`` from 0, ``values``, ``fault``.
 
-    ``cells`` maps a column's name to its text. Synonyms of statistics, colour and
-    duration go by one name; where a file has several, or repeats one, the preferred or
-    first column counts. Missing and blank cells are null. A quoted cell may hold line
-    breaks. A file without a data line gives one row without ``row_no`` and cells.
+    ``values`` are the texts of ``FIELDS``: where a file has several headers of a field the
+    preferred one counts, where it repeats one the first. Missing and blank cells are null. A
+    quoted cell may hold line breaks. A file without a data line gives one row without ``row_no``
+    and values. ``fault`` of a file is ``parse_failed`` (a quote that never ends),
+    ``ragged_rows`` (a line has more cells than the header), or what reading found.
     """
-    records = F.regexp_extract_all("content", F.lit(r'((?:[^"\r\n]++|"[^"]*+(?:"|\z))++)'), F.lit(1))
-    lines = F.filter(records, lambda x: F.trim(F.replace(x, F.lit("\ufeff"))) != "")
+    content = F.coalesce("content", F.lit(""))
+    quoted = content.contains('"')
+    records = F.regexp_extract_all(content, F.lit(r'((?:[^"\r\n]++|"[^"]*+(?:"|\z))++)'), F.lit(1))
+    lines = F.filter(F.when(quoted, records).otherwise(F.split(content, r"[\r\n]+")), lambda x: F.trim(F.replace(x, F.lit("\ufeff"))) != "")
+    cut_up = files.withColumn("__all", lines).withColumn("__head", F.get("__all", F.lit(0)))
+    registry = _registry(cut_up.filter(F.col("__head").isNotNull()).select("__head"), sep)
+    quotes = F.length(content) - F.length(F.replace(content, F.lit('"')))
+    found = F.col("read_fault") if "read_fault" in files.columns else F.lit(None).cast("string")
     out = (
-        files.withColumn("__all", lines)
-        .withColumn("header", normalise_headers(_cells(F.get("__all", F.lit(0)), sep)))
-        .withColumn("__sorted", _named_columns(F.col("header")))
+        # Lines are cut before they become rows: a lambda would cut its line once per cell.
+        cut_up.withColumn("__lines", F.transform(F.slice("__all", 2, 2147483646), lambda x: _cells(x, sep)))
+        .withColumn("__open", quotes % 2 == 1)
+        .join(registry, "__head", "left")
         .withColumn(
-            "__names",
-            F.filter(
-                "__sorted",
-                lambda e, i: (i == 0) | (F.get(F.col("__sorted"), i - 1)["n"] != e["n"]),
+            "fault",
+            F.coalesce(
+                found,
+                F.when(F.col("__open"), "parse_failed"),
+                F.when(F.exists("__lines", lambda x: F.size(x) > F.size("header")), "ragged_rows"),
             ),
         )
-        # Lines are cut before they become rows: a lambda would cut its line once per cell.
-        .withColumn("__lines", F.transform(F.slice("__all", 2, 2147483646), lambda x: _cells(x, sep)))
-        .drop("content", "__all", "__sorted")
+        .drop("content", "__all", "__head", "__open", "read_fault")
     )
     out = out.select("*", F.posexplode_outer("__lines").alias("row_no", "__cells")).drop("__lines")
-    values = F.transform(
-        "__names",
-        lambda e: F.struct(e["n"], F.nullif(F.trim(F.get(F.col("__cells"), e["i"])), F.lit("")).alias("v")),
-    )
-    cells = F.when(F.col("row_no").isNotNull(), F.map_from_entries(values))
-    return out.withColumn("cells", cells).drop("__names", "__cells")
+    values = F.transform("__at", lambda i: F.nullif(F.trim(F.get(F.col("__cells"), i - 1)), F.lit("")))
+    return out.withColumn("values", F.when(F.col("row_no").isNotNull(), values)).drop("__at", "__cells")
 
 
-def cell(names: list[str]) -> Column:
-    """The first of several synonymous columns that the file has."""
-    found = None
-    for n in names:
-        value = F.col("cells")[n]
-        present = F.map_contains_key("cells", F.lit(n))
-        found = F.when(present, value) if found is None else found.when(present, value)
-    return found
+def field(name: str) -> Column:
+    """Text of a known field of a row."""
+    return F.get("values", F.lit(list(FIELDS).index(name)))
 
 
 def _with_stats(rows: DataFrame) -> DataFrame:
     """Add the statistics as doubles. One lambda over an array of texts keeps the
     generated code small, where 17 lenient casts side by side would not be compiled."""
     names = SUMMED + AVERAGED
-    texts = F.array(*[F.col("cells")[s] for s in names])
+    texts = F.array(*[field(s) for s in names])
     out = rows.withColumn("__numbers", F.transform(texts, to_double_lenient))
     return out.withColumns({s: F.get("__numbers", F.lit(i)) for i, s in enumerate(names)}).drop("__numbers")
 
@@ -173,30 +187,14 @@ def player_stats(rows: DataFrame) -> DataFrame:
         "folder",
         "replay_id",
         "row_no",
-        F.lower(F.trim(F.col("cells")["color"])).alias("color"),
-        blank_to_null(cell(PLAYER_NAMES)).alias("player"),
-        blank_to_null(cell(PLAYER_FILE_TEAM_NAMES)).alias("team"),
+        F.lower(F.trim(field("color"))).alias("color"),
+        blank_to_null(field("player")).alias("player"),
+        blank_to_null(field("player_file_team")).alias("team"),
         *SUMMED,
         *AVERAGED,
     )
 
 
-def team_rows(rows: DataFrame) -> DataFrame:
-    """Colour, name, score (goals where it is missing) and duration of team rows."""
-    return rows.filter(F.col("row_no").isNotNull()).select(
-        "folder",
-        "replay_id",
-        "stage",
-        "subgroup",
-        "source_file",
-        "row_no",
-        F.lower(F.trim(F.col("cells")["color"])).alias("color"),
-        blank_to_null(cell(TEAM_FILE_NAMES)).alias("team"),
-        F.coalesce(to_double_lenient(F.col("cells")["score"]), to_double_lenient(F.col("cells")["goals"])).alias("score"),
-        F.col("cells")["duration"].alias("duration"),
-    )
-
-
 def pair_files(files: DataFrame) -> DataFrame:
     """Team exports with the player export of the same folder and replay id."""
     keys = ["folder", "replay_id"]
@@ -213,29 +211,33 @@ def pair_files(files: DataFrame) -> DataFrame:
 def reject_reasons(rows: DataFrame, required: list[str]) -> DataFrame:
     """One row per team export: why it cannot be used, or null.
 
-    Reasons, first match: an empty file, missing columns, no data rows, not two rows, not
-    one blue and one orange, no player export (one without data rows counts as none).
+    Reasons, first match: ``unreadable``, ``not_utf8``, an empty file, ``parse_failed``,
+    ``ragged_rows``, missing columns, no data rows, not two rows, not one blue and one
+    orange, no player export (one without data rows, or that could not be read, counts as none).
     """
     team = rows.filter(F.col("kind") == "team")
     has_all = F.lit(True)
     for name in required:
         has_all = has_all & F.array_contains("header", name)
-    colour = F.lower(F.trim(F.col("cells")["color"]))
+    colour = F.lower(F.trim(field("color")))
     checked = team.groupBy("folder", "replay_id").agg(
         F.bool_and(F.coalesce(has_all, F.lit(False))).alias("complete"),
         F.bool_and(F.col("header").isNull()).alias("empty"),
+        F.max("fault").alias("fault"),
         F.count("row_no").alias("n"),
         F.count_if(colour == "blue").alias("blue"),
         F.count_if(colour == "orange").alias("orange"),
     )
     players = (
-        rows.filter((F.col("kind") == "player") & F.col("row_no").isNotNull())
+        rows.filter((F.col("kind") == "player") & F.col("row_no").isNotNull() & F.col("fault").isNull())
         .select("folder", "replay_id")
         .distinct()
         .withColumn("has_players", F.lit(True))
     )
     reason = (
-        F.when(F.col("empty"), "empty_file")
+        F.when(F.col("fault").isin("unreadable", "not_utf8"), F.col("fault"))
+        .when(F.col("empty"), "empty_file")
+        .when(F.col("fault").isNotNull(), F.col("fault"))
         .when(~F.col("complete"), "missing_columns")
         .when(F.col("n") == 0, "no_rows")
         .when(F.col("n") != 2, "team_rows_not_2")
@@ -247,17 +249,26 @@ def reject_reasons(rows: DataFrame, required: list[str]) -> DataFrame:
     )
 
 
-def game_rows(rows: DataFrame, required: list[str] | None = None) -> DataFrame:
+def game_rows(rows: DataFrame, required: list[str] | None = None, source: str = "players") -> DataFrame:
     """45 columns per game: identity, scores, both sides' statistics and the winner.
 
-    Names come from the team export, else from the first named player row of the colour.
-    Only sound games are built: a team export of one blue and one orange row, a player
-    export with rows, and all ``required`` columns; ``reject_reasons`` names the others.
+    With ``source="players"`` statistics are sums and means over the player export, names come
+    from the team export, else from the first named player row of the colour, and more goals
+    win. With ``source="team"`` only team exports count: their one row of a colour has the
+    statistics, names and duration (the blue row's), and the higher score wins ('' on a tie).
+    Only sound games are built: exports without a fault, a team export of one blue and one orange row, a
+    player export with rows (where players count), and all ``required`` columns;
+    ``reject_reasons`` names the others.
     """
-    from seriesmill.functions.rules import winner_from_goals
+    from seriesmill.functions.rules import winner_from_goals, winner_from_score
     from seriesmill.operators.games import COLOURS
 
-    team, player, text = F.col("kind") == "team", F.col("kind") == "player", F.col("cells")
+    if source not in ("players", "team"):
+        raise ValueError(f"source must be players or team, not {source}")
+    alone = source == "team"
+    team, player = F.col("kind") == "team", F.col("kind") == "player"
+    if alone:
+        rows = rows.filter(team)
     complete = F.lit(True)
     for name in required or []:
         complete = complete & F.array_contains("header", name)
@@ -270,23 +281,23 @@ def game_rows(rows: DataFrame, required: list[str] | None = None) -> DataFrame:
         "stage",
         "subgroup",
         "source_file",
-        F.lower(F.trim(text["color"])).alias("color"),
-        F.when(team, blank_to_null(cell(TEAM_FILE_NAMES)))
-        .otherwise(blank_to_null(cell(PLAYER_FILE_TEAM_NAMES)))
-        .alias("team"),
-        F.coalesce(to_double_lenient(text["score"]), F.col("goals")).alias("score"),
-        text["duration"].alias("duration"),
-        *[F.when(player, F.col(s)).alias(s) for s in SUMMED + AVERAGED],
+        F.lower(F.trim(field("color"))).alias("color"),
+        F.when(team, blank_to_null(field("team_file_name"))).otherwise(blank_to_null(field("player_file_team"))).alias("team"),
+        (to_double_lenient(field("score")) if alone else F.coalesce(to_double_lenient(field("score")), F.col("goals"))).alias("score"),
+        field("duration").alias("duration"),
+        F.col("fault").isNull().alias("sound"),
+        *[F.when(team if alone else player, F.col(s)).alias(s) for s in SUMMED + AVERAGED],
     )
 
     def first(column: str, where: Column) -> Column:
         return F.min_by(F.col(column), F.when(where, F.col("row_no")))
 
     # One colour of one game first, both exports together; then both colours side by side.
-    place = F.when(F.col("duration").isNotNull(), F.struct((~team).alias("second"), F.col("row_no")))
+    order = F.struct((F.col("color") != "blue").alias("second"), "row_no") if alone else F.struct((~team).alias("second"), F.col("row_no"))
+    place = F.when(F.lit(alone) | F.col("duration").isNotNull(), order)
     sides = typed.groupBy("folder", "replay_id", "color").agg(
         F.count_if(team).alias("team_rows"),
-        F.bool_and(~team | F.col("complete")).alias("complete"),
+        F.bool_and(F.col("sound") & (~team | F.col("complete"))).alias("complete"),
         F.bool_or(player).alias("in_player"),
         F.min(F.when(team, F.col("stage"))).alias("stage"),
         F.min(F.when(team, F.col("subgroup"))).alias("subgroup"),
@@ -312,14 +323,13 @@ def game_rows(rows: DataFrame, required: list[str] | None = None) -> DataFrame:
             F.min_by("duration", "place").alias("game_duration"),
             *[F.first(F.when(F.col("color") == c, side), ignorenulls=True).alias(c) for c in COLOURS],
         )
-        .filter("complete and in_player and team_rows = 2 and blue_rows = 1 and orange_rows = 1")
+        .filter("complete and team_rows = 2 and blue_rows = 1 and orange_rows = 1" + ("" if alone else " and in_player"))
     )
     out = out.withColumns(
         {f"{c}_{f}": F.col(f"{c}.{f}") for c in COLOURS for f in ("team", "score", *SUMMED, *AVERAGED)}
     )
-    winner = winner_from_goals(
-        F.col("blue_goals"), F.col("orange_goals"), F.col("blue_team"), F.col("orange_team")
-    )
+    rule, by = (winner_from_score, "score") if alone else (winner_from_goals, "goals")
+    winner = rule(F.col(f"blue_{by}"), F.col(f"orange_{by}"), F.col("blue_team"), F.col("orange_team"))
     return out.withColumn("game_winner", winner).select(
         "replay_id",
         "stage",

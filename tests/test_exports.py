@@ -90,3 +90,38 @@ def test_files_without_rows_are_rejected(spark):
     why = {r["replay_id"]: r["reject_reason"] for r in x.reject_reasons(rows, ["color", "score"]).collect()}
     assert why == {"a": "no_rows", "b": "empty_file", "c": "no_player_export", "d": None}
     assert {r["replay_id"] for r in x.game_rows(rows).collect()} == {"d"}
+
+
+def test_faults_found_while_reading(spark, tmp_path):
+    two = "blue;A;1;1;300\norange;B;2;2;300\n"
+    write(tmp_path / "S/a-teams.csv", TEAM + two)
+    write(tmp_path / "S/a-players.csv", PLAYER + "blue;x;1;1;1;1\n")
+    write(tmp_path / "S/b-teams.csv", TEAM + two + "\n")
+    (tmp_path / "S/b-teams.csv").write_bytes((TEAM + two).encode() + b"\xc3(")
+    write(tmp_path / "S/c-teams.csv", TEAM + two + 'blue;"never closed;1;1;300\n')
+    write(tmp_path / "S/d-teams.csv", TEAM + two.replace("300\norange", "300;more\norange"))
+    write(tmp_path / "S/e-teams.csv", TEAM + two)
+    write(tmp_path / "S/e-players.csv", PLAYER + "blue;x;1;1;1;1;7;8\n")
+    listing = spark.createDataFrame([(f"file:{tmp_path}/S/gone-teams.csv",)], "path string").union(
+        x._files(spark, str(tmp_path), "*.csv", skip=False).select("path")
+    )
+    gone = x.unreadable_exports(spark, str(tmp_path), listing=listing)
+    files = x.read_exports(spark, str(tmp_path)).unionByName(gone)
+    rows = x.parse_exports(x.with_path_fields(files, str(tmp_path)))
+    why = {r["replay_id"]: r["reject_reason"] for r in x.reject_reasons(rows, ["color", "score"]).collect()}
+    assert why == {"a": None, "b": "not_utf8", "c": "parse_failed", "d": "ragged_rows", "e": "no_player_export", "gone": "unreadable"}
+    assert {r["replay_id"] for r in x.game_rows(rows).collect()} == {"a"}
+    assert {r["replay_id"] for r in x.game_rows(rows, source="team").collect()} == {"a", "e"}
+
+
+def test_games_from_team_rows(spark):
+    head = "score;color;TEAM NAME;Goals;shooting percentage;game duration\n"
+    rows = parsed(
+        spark, a_teams=head + "400;Orange;O;9;0.5;301\n500;blue;B;1;25;300\n", b_teams=head + "5;blue;B;1;;\n5;orange;O;2;1;300\n",
+        a_players=PLAYER + "blue;x;7;7;7;7\norange;y;8;8;8;8\n", c_teams=head + "5;blue;B;1;1;1\n",
+    )
+    got = {r["replay_id"]: r for r in x.game_rows(rows, ["color", "score"], source="team").collect()}
+    assert set(got) == {"a", "b"}
+    a, b = got["a"], got["b"]
+    assert (a["game_winner"], a["blue_goals"], a["orange_goals"], a["blue_shooting_percentage"], a["game_duration"]) == ("B", 1, 9, 25, "300")
+    assert (b["game_winner"], b["game_duration"], b["blue_shooting_percentage"]) == ("", None, None)
