@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark import SparkContext
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -38,6 +39,8 @@ class FittedFold:
     scaler: StandardScaler | None
     features: list[str]
     model: object = field(repr=False)
+    #: Loss after each step of the optimiser, where there is one.
+    history: list[float] | None = None
 
     def columns(self, df: DataFrame) -> DataFrame:
         """Imputed and scaled feature columns, and the constant one."""
@@ -59,6 +62,17 @@ class FittedFold:
         return with_decisions(scored.select(*keep, F.col("target").cast("int").alias("target"), F.lit(self.fold).alias("fold"), probability))
 
 
+def _history(model: object) -> list[float]:
+    summary = model.summary() if callable(model.summary) else model.summary
+    return [float(loss) for loss in summary.objectiveHistory]
+
+
+def _alone(model: object) -> object:
+    """The model without its training summary, which holds on to the training rows and the session."""
+    model._java_obj.setSummary(SparkContext._active_spark_context._jvm.scala.Option.empty())
+    return model
+
+
 class BiasedScaler(StandardScaler):
     """A scaler whose model carries its intercept as one more weight."""
 
@@ -105,6 +119,8 @@ def fit_logistic(train: DataFrame, features: list[str], fold: str, c: float = 1.
         maxIter=max_iter,
         tol=1e-10,
     ).fit(fitted.vectors(mirrored).select("features_vector", "target"))
+    fitted.history = _history(fitted.model)
+    _alone(fitted.model)
     return fitted
 
 
@@ -134,6 +150,7 @@ def fit_forest(
         maxBins=bins,
         seed=seed,
     ).fit(fitted.prepare(train).select("features_vector", "target"))
+    _alone(fitted.model)
     return fitted
 
 
@@ -150,6 +167,8 @@ def fit_mlp(
         maxIter=max_iter,
         seed=seed,
     ).fit(fitted.prepare(train).select("features_vector", "target"))
+    fitted.history = _history(fitted.model)
+    _alone(fitted.model)
     return fitted
 
 
@@ -202,8 +221,5 @@ def importance_table(spark: SparkSession, fitted: list[FittedFold]) -> DataFrame
 
 def training_diagnostics(spark: SparkSession, fitted: list[FittedFold]) -> DataFrame:
     """(fold, iteration, loss) as the optimiser went along."""
-    rows = []
-    for f in fitted:
-        summary = f.model.summary() if callable(f.model.summary) else f.model.summary
-        rows += [(f.fold, i, float(loss)) for i, loss in enumerate(summary.objectiveHistory)]
+    rows = [(f.fold, i, loss) for f in fitted for i, loss in enumerate(f.history or [])]
     return spark.createDataFrame(rows, "fold string, iteration int, loss double")

@@ -6,7 +6,9 @@ large side, because each join reads straight from its own exchange.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.rules import difference
@@ -51,11 +53,15 @@ def keep_listed(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return df.join(listed.select(key), key, "left_semi")
 
 
-def roster_history(rosters: DataFrame, history: DataFrame, stats: list[str]) -> DataFrame:
+def roster_history(
+    rosters: DataFrame, history: DataFrame, stats: list[str], key: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Per distinct roster text: players, matched, with statistics, coverage, means.
 
-    Statistics of a roster are worked out once, not once per contest that shows it.
+    Statistics of a roster are worked out once, not once per contest that shows it. Players are
+    matched by name, or by ``key`` of it, by which the history must have one row each.
     """
+    key = key or (lambda name: name)
     players = (
         rosters.select("roster")
         .distinct()
@@ -65,7 +71,8 @@ def roster_history(rosters: DataFrame, history: DataFrame, stats: list[str]) ->
         )
         .withColumn("player", F.trim("player"))
     )
-    matched = players.join(history.withColumn("__known", F.lit(True)), "player", "left")
+    known = history.withColumn("__key", key(F.col("player"))).drop("player").withColumn("__known", F.lit(True))
+    matched = players.withColumn("__key", key(F.col("player"))).join(known, "__key", "left")
     any_stat = F.coalesce(*[F.col(f"`{s}`") for s in stats]).isNotNull()
     total = F.count("player")
     with_stats = F.count_if(F.col("__known") & any_stat)
@@ -78,10 +85,12 @@ def roster_history(rosters: DataFrame, history: DataFrame, stats: list[str]) ->
     )
 
 
-def roster_history_features(series: DataFrame, history: DataFrame, stats: list[str]) -> DataFrame:
+def roster_history_features(
+    series: DataFrame, history: DataFrame, stats: list[str], key: Callable[[Column], Column] | None = None
+) -> DataFrame:
     """Roster statistics of both sides and their A - B differences."""
     sides = F.explode(F.array("team_a_players", "team_b_players"))
-    per_roster = roster_history(series.select(sides.alias("roster")), history, stats)
+    per_roster = roster_history(series.select(sides.alias("roster")), history, stats, key)
     columns = [c for c in per_roster.columns if c != "roster"]
     out = series
     for side in ("a", "b"):

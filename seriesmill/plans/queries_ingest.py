@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seriesmill.functions.text import canonical_key
 from seriesmill.operators import checks, games
 from seriesmill.operators.games import AVERAGED, COLOURS, SUMMED
 from seriesmill.plans import views
@@ -15,7 +16,7 @@ from seriesmill.plans.catalog import r6, r6_sql, register, stamp, stamp_sql
 from seriesmill.plans.views_sql import GAMES, PLAYERS
 from seriesmill.session import scratch_table
 from seriesmill.sources import exports as x
-from seriesmill.sources import tables
+from seriesmill.sources import stages, tables
 from seriesmill.sources.pages import extract_page_fields
 
 ROOT = "/raw"
@@ -508,3 +509,67 @@ def game_rows_from_team_files(spark, sf):
     out = x.game_rows(read_files(spark, sf), ["color", "team name", "score", "goals"], source="team")
     sides = [f"{c}_{f}" for f in ("team", "score", "goals") for c in COLOURS]
     return out.select("replay_id", *sides, "game_duration", "game_winner")
+
+
+# --- order of files and rows ---------------------------------------------------------------
+
+FILED = """
+filed as (
+  select game_id % 3 as file, row_number() over (partition by game_id % 3 order by game_id, color, line, player) as row, player, goals from players),
+ranked as (select *, row_number() over (partition by player order by file, row) as k, count(*) over (partition by player) as n from filed)"""
+
+
+def _filed(spark, sf):
+    """Player statistics as rows of three files, under names that each file spells in its own way."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy(F.col("game_id") % 3).orderBy("game_id", "color", "line", "player")
+    spelled = F.when(F.col("game_id") % 3 == 0, F.lower("player")).when(F.col("game_id") % 3 == 1, F.concat(F.lit(" "), F.col("player"))).otherwise(F.concat("player", F.lit(".")))
+    rows = views.players(spark, sf).select((F.col("game_id") % 3).alias("file"), F.row_number().over(order).alias("row"), spelled.alias("player_name"), F.col("goals").cast("string").alias("career_games"))
+    return tables.written(rows, "filed")
+
+
+@register(
+    "player_history_first",
+    f"with {PLAYERS}, {FILED} select lower(player) as key, goals::double as career_games, n as rows from ranked where k = 1",
+)
+def player_history_first(spark, sf):
+    """The first row of each player by file and row, whatever the partitions; and how many there were."""
+    rows = _filed(spark, sf)
+    parts = []
+    for n in (3, 11):
+        kept = tables.player_history(rows.repartition(n), sequence=["file", "row"], keep="first", key=canonical_key)
+        parts.append(kept.select(canonical_key(F.col("player")).alias("key"), "career_games"))
+    doubled = tables.history_duplicates(rows, key=canonical_key).select("key", "rows")
+    return parts[0].join(parts[1], ["key", "career_games"]).join(doubled, "key", "left").withColumn("rows", F.coalesce("rows", F.lit(1).cast("long")))
+
+
+# --- a stage that grows by runs ------------------------------------------------------------
+
+
+@register(
+    "resume_collection",
+    """with r as (
+  select o_custkey as replay_id, o_orderkey as fetched, cast(o_totalprice * 100 as bigint) as cents,
+    row_number() over (partition by o_custkey order by o_orderkey desc) as k from orders)
+select replay_id, fetched, cents, 0::bigint as still_to_fetch from r where k = 1""",
+)
+def resume_collection(spark, sf):
+    """Three batches into a keyed stage. The second run is ended before its commit and run again,
+    a fourth fails its gate: neither leaves a trace."""
+    rows = views.table(spark, sf, "orders").select(
+        F.col("o_custkey").alias("replay_id"), F.col("o_orderkey").alias("fetched"), F.round(F.col("o_totalprice") * 100).cast("long").alias("cents")
+    )
+    stage = stages.KeyedStage(spark, scratch_table(spark, "collection"), "replay_id", "fetched", buckets=4)
+    batch = [rows.filter(F.pmod(F.xxhash64("replay_id"), F.lit(5)).isin(*hashes)) for hashes in ([0, 1], [1, 2, 3], [4])]
+    priced = {"priced": F.col("cents") > 0, "named": F.col("replay_id").isNotNull()}
+    stage.upsert(batch[0], priced)
+    stage.write(batch[1])  # and no commit
+    stage.upsert(batch[1], priced)
+    stage.upsert(batch[2], priced)
+    try:
+        stage.upsert(rows.withColumn("cents", -F.col("cents")).withColumn("fetched", F.col("fetched") + 1), priced)
+    except stages.GateError:
+        left = stage.to_fetch(rows).agg(F.count(F.lit(1)).alias("still_to_fetch"))
+        return stage.read().select("replay_id", "fetched", "cents").crossJoin(F.broadcast(left))  # one row
+    raise AssertionError("the gate did not hold")

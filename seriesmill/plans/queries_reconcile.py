@@ -8,6 +8,7 @@ from seriesmill.functions.rosters import unordered_pair
 from seriesmill.functions.rules import winner_from_goals
 from seriesmill.operators import attach
 from seriesmill.operators import reconcile as rec
+from seriesmill.functions.text import canonical_key
 from seriesmill.plans import views
 from seriesmill.plans.catalog import r6, r6_sql, register, stamp, stamp_sql
 from seriesmill.plans.queries_series import RECURSIVE, ROLLED, rolled
@@ -374,3 +375,18 @@ def roster_history_features(spark, sf):
 def unmatched_players(spark, sf):
     contests = views.contests(spark, sf).select("team_a_players", "team_b_players")
     return attach.unmatched_players(contests, _history(spark, sf))
+
+
+@register(
+    "roster_history_by_key",
+    f"""{ROSTER_SQL}
+select contest_id, {_roster_sides()} from contests join rh a on a.roster = team_a_players join rh b on b.roster = team_b_players""",
+)
+def roster_history_by_key(spark, sf):
+    """The same from a history that spells names in its own way, in each file in another."""
+    spelled = F.when(F.length("player") % 2 == 0, F.lower("player")).otherwise(F.concat(F.lit("-"), F.col("player"), F.lit(" !")))
+    contests = views.contests(spark, sf).select("contest_id", "team_a_players", "team_b_players").repartition(7)
+    history = _history(spark, sf).withColumn("player", spelled).repartition(5)
+    out = attach.roster_history_features(contests, history, ROSTER_STATS, canonical_key)
+    doubles = [c for c, t in out.dtypes if t == "double"]
+    return out.withColumns({c: r6(F.col(f"`{c}`")) for c in doubles}).drop("team_a_players", "team_b_players")

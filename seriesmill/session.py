@@ -50,6 +50,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN[context.applicationId]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in any store Spark can reach."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def scratch_table(spark: SparkSession, name: str) -> str:
     """A fresh path for one written stage inside the shared folder."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

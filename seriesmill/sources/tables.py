@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.functions.text import alias_name, to_double_lenient
@@ -58,27 +60,42 @@ def player_history(
     df: DataFrame,
     aliases: dict[str, str] | None = None,
     stats: list[str] | None = None,
-    sequence: str | None = None,
+    sequence: str | list[str] | None = None,
+    keep: str = "last",
+    key: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Player name plus every statistic as a double; absent columns are null.
 
-    Of several rows of one player the last by ``sequence`` is kept; without one the
-    greatest by value, so the choice never depends on arrival.
+    Of several rows of one player the last (or the first) by ``sequence`` is kept, such as file
+    and row; without one the greatest (or least) by value, so the choice never depends on
+    arrival. Players are told apart by name, or by ``key`` of it; then the name is that of the row kept.
     """
+    if keep not in ("first", "last"):
+        raise ValueError(f"keep must be first or last, not {keep}")
     if "player_name" not in df.columns:
         raise ValueError("player history needs a player_name column")
     wanted = stats or HISTORY_STATS
-    last = F.col(sequence) if sequence else F.lit(0)
+    place = [sequence] if isinstance(sequence, str) else list(sequence or [])
+    name = alias_name(F.col("player_name"), aliases or {})
     typed = df.select(
-        last.alias("__last"),
-        alias_name(F.col("player_name"), aliases or {}).alias("player"),
+        F.struct(F.lit(0).alias("o"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(place)]).alias("__place"),
+        (key(name) if key else name).alias("__key"),
+        name.alias("player"),
         *[
             (to_double_lenient(F.col(f"`{s}`")) if s in df.columns else F.lit(None).cast("double")).alias(s)
             for s in wanted
         ],
     )
-    row = F.struct("__last", *[F.col(f"`{s}`") for s in wanted])
-    return typed.groupBy("player").agg(F.max(row).alias("r")).select("player", "r.*").drop("__last")
+    row = F.struct("__place", *[F.col(f"`{s}`") for s in wanted], "player")
+    kept = typed.groupBy("__key").agg((F.max(row) if keep == "last" else F.min(row)).alias("r"))
+    return kept.select("r.player", *[f"r.`{s}`" for s in wanted])
+
+
+def history_duplicates(df: DataFrame, aliases: dict[str, str] | None = None, key: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(key, rows, names) of players that a history has more than once."""
+    name = alias_name(F.col("player_name"), aliases or {})
+    found = df.groupBy((key(name) if key else name).alias("key")).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(name).alias("names"))
+    return found.filter(F.col("rows") > 1)
 
 
 def keys_to_fetch(df: DataFrame, key: str, done: DataFrame | None = None) -> DataFrame:

@@ -84,3 +84,24 @@ def test_logistic_of_equal_rows(spark, n):
     fitted = fit.fit_logistic(train, ["x"], "f")
     w = fitted.model.coefficients.toArray()
     assert w[0] == 0 and abs(w[-1] - n / (1 + np.exp(w[-1]))) < 1e-2
+
+
+def test_a_fold_is_fitted_once(spark, tmp_path):
+    from seriesmill.models import store
+
+    rows = [(i, i % 2 if i % 5 else 1 - i % 2, float(i % 7), None if i % 9 == 0 else float(i % 2) + i % 3, "train" if i < 60 else "test") for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, target int, x double, y double, fold1_role string")
+    fits = []
+
+    def counted(train, features, fold):
+        fits.append(fold)
+        return fit.fit_logistic(train, features, fold)
+
+    kept = store.kept(counted, str(tmp_path), "logistic")
+    first, one = fit.run_temporal_folds(df, ["x", "y"], 1, kept, ["id"])
+    again, two = fit.run_temporal_folds(df.repartition(7), ["x", "y"], 1, kept, ["id"])
+    assert fits == ["fold_1"] and one[0].history == two[0].history
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, again.collect()))
+    assert fit.coefficient_table(spark, one).collect() == fit.coefficient_table(spark, two).collect()
+    fit.run_temporal_folds(df.withColumn("x", F.when(F.col("id") == 3, 9.0).otherwise(F.col("x"))), ["x", "y"], 1, kept, ["id"])
+    assert len(fits) == 2  # another training row, another fit
