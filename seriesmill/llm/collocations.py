@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import repeat
 
@@ -217,6 +217,16 @@ def _rows(parts: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r for r, _ in parts], pa.int64()), pa.array(list(map(len, bodies)), pa.int64()), pa.array(bodies, pa.binary())], ["range", "bytes", "body"])
 
 
+def _finer(width: int, cut: int) -> Callable[[pa.Table], pa.Table]:
+    """Merges some filters of a range and splits them by ``cut`` bits."""
+
+    def finer(table: pa.Table) -> pa.Table:
+        own = qf.merged(map(qf.unpacked, table.column("body").to_pylist()))
+        return pa.Table.from_batches([_rows([(r, qf.packed(f)) for r, f in qf.split(own, width, cut)])])
+
+    return finer
+
+
 def _merged(filters: DataFrame, bits: int, least: int) -> DataFrame:
     """``key`` and ``n`` of the pairs that reach ``least``, by merging the filters of each range.
 
@@ -233,12 +243,8 @@ def _merged(filters: DataFrame, bits: int, least: int) -> DataFrame:
             break
         cut = min(cut + SPLIT_BITS, width)
 
-        def finer(table: pa.Table, to: int = cut) -> pa.Table:
-            own = qf.merged(map(qf.unpacked, table.column("body").to_pylist()))
-            return pa.Table.from_batches([_rows([(r, qf.packed(f)) for r, f in qf.split(own, width, to)])])
-
         dealt = filters.withColumn("group", F.pmod(F.xxhash64("body"), F.lit(groups)))
-        filters = written(dealt.groupBy("range", "group").applyInArrow(finer, "range long, bytes long, body binary"), "phrase-filters")
+        filters = written(dealt.groupBy("range", "group").applyInArrow(_finer(width, cut), "range long, bytes long, body binary"), "phrase-filters")
 
     def last(table: pa.Table) -> pa.Table:
         own = qf.merged(map(qf.unpacked, table.column("body").to_pylist()))

@@ -72,8 +72,10 @@ def merged(filters: Iterable[Counts]) -> Counts:
 
 def split(own: Counts, width: int, bits: int) -> Iterator[tuple[int, Counts]]:
     """(upper ``bits`` bits, entries with them), for each that has entries."""
+    if not len(own.keys):
+        return
     upper = own.keys >> np.uint64(width - bits) if bits else np.zeros(len(own.keys), np.uint64)
-    first = np.flatnonzero(np.concatenate([[True], upper[1:] != upper[:-1]])) if len(upper) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate([[True], upper[1:] != upper[:-1]]))
     for a, b in zip(first.tolist(), [*first[1:].tolist(), len(upper)], strict=True):
         yield int(upper[a]), Counts(own.keys[a:b], own.n[a:b])
 
