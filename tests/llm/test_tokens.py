@@ -1,6 +1,7 @@
 """Token operators against the tokenizers library."""
 
 import hashlib
+import json
 import random
 import zlib
 from bisect import bisect_left, insort
@@ -13,7 +14,7 @@ from tokenizers import Tokenizer
 
 from seriesmill.llm import bpe, packing, simple8b, token_files
 from seriesmill.llm.queries import TOKENIZER
-from seriesmill.llm.tokens import WordIds
+from seriesmill.llm.tokens import WordIds, WordTable
 from seriesmill.session import scratch_table
 
 ALPHABET = [
@@ -62,6 +63,45 @@ def test_word_ids_with_a_full_table(library, odd_texts, monkeypatch):
         assert np.frombuffer(b"".join(parts), "<u4").tolist() == ids_of(library, text)
 
 
+def test_word_ids_of_long_words_and_texts(library, monkeypatch):
+    monkeypatch.setattr("seriesmill.llm.tokens._TEXT_AT_ONCE", 1000)
+    words, r = WordIds(TOKENIZER), random.Random(8)
+    a = b = "x"
+    for _ in range(11):  # two words of equal sums of powers
+        a, b = a + b.translate({120: 121, 121: 120}), b + a.translate({120: 121, 121: 120})
+    pair = (a, a.translate({120: 121, 121: 120}))
+    texts = [*pair, "a" * 300 + " " + "b," * 400, " ".join(pair), "the " * 2000 + "q" * 9000 + " end", "".join(r.choice("ab  1.-\n") for _ in range(30_000)), ""]
+    for text, parts in zip(texts, words.encode([t.encode() for t in texts]), strict=True):
+        assert np.frombuffer(b"".join(parts), "<u4").tolist() == ids_of(library, text)
+
+
+def test_word_table_keeps_what_is_met_again():
+    r = np.random.default_rng(2)
+    first, second = r.integers(0, 1 << 64, (2, 4000), np.uint64)
+    first[1::2] = first[::2]  # equal in one hash, not in the other
+    ids = [np.arange(i, i + i % 5, dtype=np.uint32) for i in range(4000)]
+    table = WordTable()
+    for at in range(0, 4000, 500):
+        table.add(first[at : at + 500], second[at : at + 500], ids[at : at + 500])
+    rows = table.find(first, second)
+    assert (rows == np.arange(4000)).all() and (table.find(first, second + np.uint64(1)) < 0).all()
+    table.again[100:200] = True
+    table.shrink(1000, 4000)
+    rows = table.find(first, second)
+    assert np.flatnonzero(rows >= 0).tolist() == [*range(100, 200)]
+    kept, cuts = table.take(rows[100:200])
+    assert [kept[a:b].tolist() for a, b in zip(cuts, cuts[1:], strict=False)] == [ids[i].tolist() for i in range(100, 200)]
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    with open(TOKENIZER, encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"] = {"type": "NFC"}
+    (tmp_path / "other.json").write_text(json.dumps(file), encoding="utf-8")
+    with pytest.raises(ValueError, match="not cut at blanks"):
+        WordIds(str(tmp_path / "other.json"))
+
+
 def test_transducer_is_the_library(library, odd_texts):
     codec = bpe.codec(TOKENIZER)
     for text in odd_texts:
