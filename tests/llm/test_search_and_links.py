@@ -1,6 +1,7 @@
 """Near-duplicates, neighbours, top-k and urls against brute force."""
 
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -213,6 +214,38 @@ def test_neighbours(vectors, monkeypatch, shard):
     assert hits >= 0.9 * 20 * len(queries)
 
 
+def test_neighbours_are_k_where_near_ones_are_few(spark):
+    rng = np.random.default_rng(9)
+    v = rng.standard_normal((1500, 32))
+    v[:21] = v[0] + 0.2 * rng.standard_normal((21, 32))  # hardly more than k near ones
+    rows = [(i, x) for i, x in enumerate(v.tolist())] + [(40, v[40].tolist())] * 600
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    got = Counter(r.query_id for r in ann.nearest(table, F.col("vec_id") % 20 == 0).collect())
+    assert got == {q: 20 for q in range(0, 1500, 20)}
+    same = spark.createDataFrame([(20, [1.0, 2.0])] * 700 + [(21, [2.0, 1.0]), (22, [-1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in ann.nearest(same, F.col("vec_id") == 20).collect()) == [(20, 1, 21), (20, 2, 22)]
+
+
+def test_walked_windows_count_like_wide_ones(monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.standard_normal((900, 8))
+    shard = ann.Shard(v, 10.0, 16)
+    order = np.argsort(shard.places, axis=1)
+    low, size = ann.windows(shard.values, rng.standard_normal((5, 16)) / 3, np.full(5, 0.3))
+    for i in range(5):
+        counts = []
+        for walk in (0, 10**9):
+            monkeypatch.setattr(ann, "WALK", walk)
+            counts.append(ann.collisions(shard.places, order, low[i], size[i]).tolist())
+        assert counts[0] == counts[1] and sum(counts[0]) == size[i].sum()
+
+
+def test_vectors_of_different_lengths_are_an_error(spark):
+    table = spark.createDataFrame([(20, [1.0, 2.0]), (21, [2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        ann.nearest(table, F.col("vec_id") == 20).collect()
+
+
 def test_neighbours_of_few_and_none(vectors):
     few = vectors.filter("vec_id in (60, 61, 750)")
     assert [(r.query_id, r.rank, r.vec_id) for r in ann.nearest(few, F.col("vec_id") % 20 == 0).collect()] == [(60, 1, 61)]
