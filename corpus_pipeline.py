@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.llm import language_id, packing, quality, simhash
 from seriesmill.llm.queries import QUALITY_BAR, TOKENIZER, fold, small_batches, table
+from seriesmill.llm.text import fresh
 from seriesmill.session import scratch_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -18,17 +19,19 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Documents whose text has a language; those without a letter, or with no likely language, go."""
     small_batches(spark)
     model = language_id.fit(docs, where=fold("doc_id", 3) != 1)
-    found = language_id.predict(docs, model, keep=docs.columns, names=("__lang", "__score"))
-    kept = found.filter((F.col("__lang") != language_id.UNKNOWN) & (F.col("__score") >= 0.5))
-    return kept.drop("__lang", "__score")
+    lang, score = fresh("__lang", docs.columns), fresh("__score", docs.columns)
+    found = language_id.predict(docs, model, keep=docs.columns, names=(lang, score))
+    kept = found.filter((F.col(lang) != language_id.UNKNOWN) & (F.col(score) >= 0.5))
+    return kept.drop(lang, score)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score as good; the model learns from the labels of the documents left."""
     small_batches(spark)
     model = quality.fit(docs, table(spark, sf_dir, "labels"), where=fold("doc_id", 4) != 2)
-    scored = quality.score(docs, model, keep=docs.columns, name="__score")
-    return scored.filter(F.col("__score") >= QUALITY_BAR).drop("__score")
+    score = fresh("__score", docs.columns)
+    scored = quality.score(docs, model, keep=docs.columns, name=score)
+    return scored.filter(F.col(score) >= QUALITY_BAR).drop(score)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -192,13 +192,15 @@ def predict(
     Null texts and texts without a letter give ``und`` and 0, as does a model without languages.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add(names[0], "string").add(names[1], "double")
+    # numbered names: those of the table may hold dots or clash
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*kept, F.col(f"`{text}`").cast("string").alias("text"))
+    schema = docs.select(*kept).schema.add("language", "string").add("score", "double")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            language, values = shared.value.predict(batch.column("__text"))
+            language, values = shared.value.predict(batch.column(batch.num_columns - 1))
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(language, pa.string()), pa.array(values)], schema.names)
 
-    return rows.mapInArrow(score, schema)
+    return rows.mapInArrow(score, schema).toDF(*keep, *names)

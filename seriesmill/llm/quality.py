@@ -232,13 +232,15 @@ def _sent(shard: int, state: Ftrl, seen: int) -> pa.RecordBatch:
 def score(docs: DataFrame, model: QualityModel, keep: list[str], text: str = "text", name: str = "score") -> DataFrame:
     """``keep`` columns plus the score (``name``) of every row's whole text; null counts as an empty text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add(name, "double")
+    # numbered names: those of the table may hold dots or clash
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*kept, F.col(f"`{text}`").cast("string").alias("text"))
+    schema = docs.select(*kept).schema.add("score", "double")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            values = pa.array(shared.value.score(batch.column("__text")))
+            values = pa.array(shared.value.score(batch.column(batch.num_columns - 1)))
             yield pa.RecordBatch.from_arrays([*columns, values], schema.names)
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(each, schema).toDF(*keep, name)

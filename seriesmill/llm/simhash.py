@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.llm import golay
 from seriesmill.llm.components import components
-from seriesmill.llm.text import as_bytes
+from seriesmill.llm.text import as_bytes, fresh
 from seriesmill.sources.tables import written
 
 SEED = 42
@@ -60,16 +60,18 @@ def fingerprint(text: bytes, width: int = 4) -> int:
 
 def with_fingerprint(docs: DataFrame, keep: list[str], text: str = "text", width: int = 4, name: str = "fp") -> DataFrame:
     """``keep`` columns plus ``name``, the fingerprint of the whole text as a long; null is a text without words."""
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    schema = rows.drop("__text").schema.add(name, "long")
+    # numbered names: those of the table may hold dots or clash
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)]
+    rows = docs.select(*kept, F.col(f"`{text}`").cast("string").alias("text"))
+    schema = docs.select(*kept).schema.add("fp", "long")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.array([fingerprint(t, width) for t in as_bytes(batch.column("__text"))], np.uint64)
+            found = np.array([fingerprint(t, width) for t in as_bytes(batch.column(batch.num_columns - 1))], np.uint64)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found.view(np.int64))], schema.names)
 
-    return rows.mapInArrow(each, schema)
+    return rows.mapInArrow(each, schema).toDF(*keep, name)
 
 
 def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,18 +209,23 @@ def labelled(prints: DataFrame) -> DataFrame:
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 4) -> DataFrame:
     """One row of each near-duplicate group, all columns: that with the group's smallest id.
 
-    Rows that repeat an id are told apart by their fingerprint, then by all their columns; a
-    group whose ids are all null keeps one row.
+    Rows that repeat an id are told apart by their fingerprint, then by a digest of all their
+    columns as JSON, which may be of any type, and then are equal; a group whose ids are all
+    null keeps one row. Columns may have any names.
     """
-    prints = written(with_fingerprint(docs, docs.columns, text, width, "__fp"), "documents-with-fingerprint")
-    slim = prints.select(F.col(f"`{id_col}`").alias("__id"), "__fp")
-    counted = slim.groupBy(F.col("__id").alias("id"), F.col("__fp").alias("fp")).agg(F.count("*").alias("n"))
+    columns = docs.columns
+    fp, key, row = (fresh(c, columns) for c in ("__fp", "__id", "__row"))
+    prints = written(with_fingerprint(docs, columns, text, width, fp), "documents-with-fingerprint")
+    slim = prints.select(F.col(f"`{id_col}`").alias("id"), F.col(fp).alias("fp"))
+    counted = slim.groupBy("id", "fp").agg(F.count("*").alias("n"))
     named = written(labelled(counted), "fingerprint-labels").filter("id <=> component_id")
     # One fingerprint for each component: of several rows with its smallest id, that of the least.
     kept = named.groupBy("component").agg(F.first("component_id").alias("component_id"), F.min(F.struct("fp", "n")).alias("r"))
-    kept = written(kept.select(F.col("component_id").alias("__id"), F.col("r.fp").alias("__fp"), "r.n"), "fingerprint-kept")
-    same = prints[f"`{id_col}`"].eqNullSafe(kept["__id"]) & (prints["__fp"] == kept["__fp"])
-    once = prints.join(kept.filter("n = 1"), same, "left_semi").select(*[f"`{c}`" for c in docs.columns])
-    again = prints.join(kept.filter("n > 1"), same, "left_semi").groupBy(F.col(f"`{id_col}`").alias("__id"), "__fp")
-    again = again.agg(F.min(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias("__row")).select("__row.*")
+    kept = written(kept.select(F.col("component_id").alias(key), F.col("r.fp").alias(fp), F.col("r.n").alias(row)), "fingerprint-kept")
+    same = prints[f"`{id_col}`"].eqNullSafe(kept[key]) & (prints[fp] == kept[fp])
+    all_columns = [F.col(f"`{c}`") for c in columns]
+    once = prints.join(kept.filter(F.col(row) == 1), same, "left_semi").select(*all_columns)
+    again = prints.join(kept.filter(F.col(row) > 1), same, "left_semi").groupBy(F.col(f"`{id_col}`").alias(key), F.col(fp))
+    whole = F.struct(*all_columns)
+    again = again.agg(F.min_by(whole, F.sha2(F.to_json(whole), 256)).alias(row)).select(*[F.col(row)[c].alias(c) for c in columns])
     return once.union(again)

@@ -60,3 +60,11 @@ def slices(column: pa.Array, limit: int = SEGMENT) -> Iterator[pa.Array]:
         last = max(row + 1, int(np.searchsorted(offsets, offsets[row] + limit, side="right")) - 1)
         yield column.slice(row, last - row)
         row = last
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that no column of ``taken`` has, whatever the case of letters."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name

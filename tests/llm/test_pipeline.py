@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from seriesmill.llm.queries import TOKENIZER
@@ -45,6 +46,19 @@ def test_stages(spark, folder):
     assert {r.doc_id for r in packed} == set(kept)
 
 
+def test_stages_with_odd_columns(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = {c: F.lit(i) for i, c in enumerate(["__text", "__LANG", "__score", "__fp", "__fp_", "__id", "__row", "n", "fp", "id", "component", "piece"])}
+    odd |= {"tags": F.create_map(F.lit("a"), F.col("doc_id")), "dotted.name": F.lit("x")}
+    docs = docs.withColumns({c: x for c, x in odd.items() if c != "dotted.name"}).withColumn("dotted.name", odd["dotted.name"])
+    columns, plain = docs.columns, spark.read.parquet(f"{folder}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        docs, plain = stage(spark, docs, folder), stage(spark, plain, folder)
+        if name != "packing":
+            assert docs.columns == columns
+        assert sorted(r[0] for r in docs.select("doc_id").collect()) == sorted(r[0] for r in plain.select("doc_id").collect())
+
+
 def test_run_is_all_stages(spark, folder):
     got = {(r.doc_id, r.piece, r.length) for r in corpus_pipeline.run(spark, folder).collect()}
     docs = spark.read.parquet(f"{folder}/documents.parquet")
