@@ -403,7 +403,7 @@ def quarantine_rows(spark, sf):
 # --- real files ---------------------------------------------------------------------------
 #
 # A game per supplier: its lines are two sides (by status) of players (by flag and line number).
-# Its two exports are files in folders with escaped names; some are spoiled.
+# Its two exports are files in folders whose names have blanks; some are spoiled.
 
 LINES = """
 lines as (
@@ -462,17 +462,21 @@ def written_exports(spark, sf):
     both = team_files.unionByName(files(player, player_head, "-players.csv"))
     folder = F.when(F.col("game_id") % 3 == 0, "Group Stages/Group A").otherwise("Playoff 1")
     root = scratch_table(spark, "exports")
-    both.select(folder.alias("folder"), "file", "value").write.partitionBy("folder", "file").text(root)
+    named = both.filter(F.col("file").isNotNull())  # lines without a supplier are no game
+    placed = named.select(F.concat_ws("/", folder, "file").alias("file"), F.concat("value", F.lit("\n")).cast("binary").alias("body"))
+    # Files are many and small: a number of partitions that is given is not merged into fewer tasks.
+    dealt = placed.repartition(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), "file")
+    x.write_files(dealt, root)
     return root
 
 
 def read_files(spark, sf):
-    """Lines of the written files, under the paths that their folders' names hold."""
+    """Lines of the written files; the files are listed once."""
     root = written_exports(spark, sf)
-    found = x.read_exports(spark, root, "part-*").unionByName(x.unreadable_exports(spark, root, "part-*"))
-    part = lambda name: F.url_decode(F.regexp_replace(F.regexp_extract("path", name + "=([^/]*)/", 1), r"\+", "%2B"))
-    named = found.withColumn("path", F.concat(F.lit(ROOT + "/"), part("folder"), F.lit("/"), part("file")))
-    return tables.written(x.parse_exports(x.with_path_fields(named, ROOT)), "export-lines")
+    files = x.export_listing(spark, root)
+    found = x.read_exports(spark, root, files=files).unionByName(x.unreadable_exports(spark, root, files=files))
+    below = F.concat(F.lit(ROOT + "/"), F.substring_index("path", root.rsplit("/", 1)[-1] + "/", -1))
+    return tables.written(x.parse_exports(x.with_path_fields(found.withColumn("path", below), ROOT)), "export-lines")
 
 
 @register(

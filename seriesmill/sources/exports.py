@@ -1,13 +1,17 @@
 """Per-game exports: small delimited files whose columns are known by name only.
 
-Headers differ between files (order, synonyms, missing columns), but there are few of them.
-Each distinct header is resolved once to the places of the known fields; files get these by a
-join with their header's text, and a row's fields are read by place. ``spark.read.csv``
+Headers differ between files (order, synonyms, missing columns). A file's header is resolved
+to the places of the known fields next to its lines, before these become rows, and a row's fields
+are read by place: no file moves for it, however many share a header. ``spark.read.csv``
 over such files would take every file's columns in the order of the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs as stores
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,7 +58,37 @@ def _files(spark: SparkSession, root: str, pattern: str, skip: bool) -> DataFram
     return reader.option("ignoreCorruptFiles", str(skip).lower()).load(root)
 
 
-def read_exports(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+def write_files(files: DataFrame, root: str) -> None:
+    """Each row (``file``: the name below ``root``, ``body``: bytes) as a file of its own, written by the tasks.
+
+    A writer of Spark's makes a folder for each file and moves it when a task commits. Here a task that is
+    tried again puts the same bytes at the same place. ``root`` is a path or URI that all tasks reach.
+    """
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = root.removeprefix("file://").removeprefix("file:")
+        store, top = (stores.LocalFileSystem(), local) if local.startswith("/") else stores.FileSystem.from_uri(root)
+        made = set()
+        for batch in batches:
+            for name, body in zip(batch.column("file").to_pylist(), batch.column("body").to_pylist(), strict=True):
+                place = f"{top}/{name}"
+                folder = place.rsplit("/", 1)[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(place) as out:
+                    out.write(body)
+            yield pa.RecordBatch.from_pydict({"files": pa.array([batch.num_rows], pa.int64())})
+
+    files.select("file", "body").mapInArrow(each, "files long").agg(F.sum("files")).collect()
+
+
+def export_listing(spark: SparkSession, root: str, pattern: str = "*.csv") -> DataFrame:
+    """Matching files below ``root`` as bytes: one listing that both readers below can share."""
+    return _files(spark, root, pattern, skip=True)
+
+
+def read_exports(spark: SparkSession, root: str, pattern: str = "*.csv", files: DataFrame | None = None) -> DataFrame:
     """(path, content, read_fault) of every matching file below ``root``; one file is one game side.
 
     A file that is no UTF-8 text has the fault ``not_utf8`` and no content. Files that are
@@ -63,14 +97,17 @@ def read_exports(spark: SparkSession, root: str, pattern: str = "*.csv") -> Data
     """
     text = F.col("content").cast("string")
     valid = F.is_valid_utf8(text)
-    files = _files(spark, root, pattern, skip=True)
+    files = export_listing(spark, root, pattern) if files is None else files
     return files.select("path", F.when(valid, text).alias("content"), F.when(~valid, "not_utf8").alias("read_fault"))
 
 
-def unreadable_exports(spark: SparkSession, root: str, pattern: str = "*.csv", listing: DataFrame | None = None) -> DataFrame:
+def unreadable_exports(
+    spark: SparkSession, root: str, pattern: str = "*.csv", listing: DataFrame | None = None, files: DataFrame | None = None
+) -> DataFrame:
     """(path, content, read_fault) of files that are listed, here or in ``listing``, but can't be read."""
-    listed = listing if listing is not None else _files(spark, root, pattern, skip=False)
-    read = _files(spark, root, pattern, skip=True).filter(F.length("content") >= 0)
+    files = export_listing(spark, root, pattern) if files is None else files
+    listed = files if listing is None else listing  # a file's path alone is known without reading it
+    read = files.filter(F.length("content") >= 0)
     gone = listed.select("path").join(read.select("path"), "path", "left_anti")
     return gone.select("path", F.lit(None).cast("string").alias("content"), F.lit("unreadable").alias("read_fault"))
 
@@ -123,11 +160,11 @@ def normalise_headers(names: Column) -> Column:
     return F.transform(names, lambda h: F.lower(F.trim(F.regexp_replace(h, "^\ufeff", ""))))
 
 
-def _registry(heads: DataFrame, sep: str) -> DataFrame:
-    """Each distinct header line with its names and the places (from 1, else 0) of all known fields."""
-    names = heads.distinct().withColumn("header", normalise_headers(_cells(F.col("__head"), sep)))
+def _with_places(files: DataFrame, sep: str) -> DataFrame:
+    """Files with the names of their ``__head`` and the places (from 1, else 0) of all known fields."""
     first = [F.coalesce(*[F.nullif(F.array_position("header", c), F.lit(0)) for c in found], F.lit(0)) for found in FIELDS.values()]
-    return names.withColumn("__at", F.array(*[x.cast("int") for x in first]))
+    named = files.withColumn("header", normalise_headers(_cells(F.col("__head"), sep)))
+    return named.withColumn("__at", F.array(*[x.cast("int") for x in first]))
 
 
 def parse_exports(files: DataFrame, sep: str = ";") -> DataFrame:
@@ -144,14 +181,13 @@ def parse_exports(files: DataFrame, sep: str = ";") -> DataFrame:
     records = F.regexp_extract_all(content, F.lit(r'((?:[^"\r\n]++|"[^"]*+(?:"|\z))++)'), F.lit(1))
     lines = F.filter(F.when(quoted, records).otherwise(F.split(content, r"[\r\n]+")), lambda x: F.trim(F.replace(x, F.lit("\ufeff"))) != "")
     cut_up = files.withColumn("__all", lines).withColumn("__head", F.get("__all", F.lit(0)))
-    registry = _registry(cut_up.filter(F.col("__head").isNotNull()).select("__head"), sep)
     quotes = F.length(content) - F.length(F.replace(content, F.lit('"')))
     found = F.col("read_fault") if "read_fault" in files.columns else F.lit(None).cast("string")
     out = (
         # Lines are cut before they become rows: a lambda would cut its line once per cell.
-        cut_up.withColumn("__lines", F.transform(F.slice("__all", 2, 2147483646), lambda x: _cells(x, sep)))
+        _with_places(cut_up, sep)
+        .withColumn("__lines", F.transform(F.slice("__all", 2, 2147483646), lambda x: _cells(x, sep)))
         .withColumn("__open", quotes % 2 == 1)
-        .join(registry, "__head", "left")
         .withColumn(
             "fault",
             F.coalesce(

@@ -125,3 +125,27 @@ def test_games_from_team_rows(spark):
     a, b = got["a"], got["b"]
     assert (a["game_winner"], a["blue_goals"], a["orange_goals"], a["blue_shooting_percentage"], a["game_duration"]) == ("B", 1, 9, 25, "300")
     assert (b["game_winner"], b["game_duration"], b["blue_shooting_percentage"]) == ("", None, None)
+
+
+def test_files_of_one_header_stay_where_they_are(spark):
+    """Headers are resolved next to their lines: no file moves to the others of its header."""
+    rows = [(f"/raw/S/{i}-players.csv", (PLAYER if i % 2 else "goals;Player;COLOR\n") + ("blue;x;1;1;1;1\n" if i % 2 else "1;x;blue\n")) for i in range(40)]
+    files = spark.createDataFrame(rows, "path string, content string").repartition(5)
+    parsed_rows = x.parse_exports(x.with_path_fields(files, "/raw"))
+    assert "Join" not in parsed_rows._jdf.queryExecution().optimizedPlan().toString()
+    got = x.player_stats(parsed_rows)
+    assert got.count() == 40 and got.filter("player = 'x' and color = 'blue' and goals = 1").count() == 40
+    assert parsed_rows.rdd.getNumPartitions() == 5
+
+
+def test_written_files_are_read_back(spark, tmp_path):
+    """Bytes of any kind in folders with blanks, each file once, written by several tasks."""
+    rows = [(f"Group Stages/Group {i % 3}/{i}-teams.csv", TEAM.encode() + (b"\xc3(" if i == 7 else b"blue;A;1;1;300\n")) for i in range(30)]
+    root = f"file:{tmp_path}/a folder"
+    x.write_files(spark.createDataFrame(rows, "file string, body binary").repartition(4), root)
+    assert {str(p.relative_to(tmp_path / "a folder")): p.read_bytes() for p in tmp_path.rglob("*.csv")} == dict(rows)
+    files = x.export_listing(spark, root)
+    found = x.with_path_fields(x.read_exports(spark, root, files=files), f"{tmp_path}/a folder").collect()
+    assert len(found) == 30 and {r["replay_id"] for r in found if r["read_fault"]} == {"7"}
+    assert {r["subgroup"] for r in found} == {"Group 0", "Group 1", "Group 2"}
+    assert x.unreadable_exports(spark, root, files=files).count() == 0
