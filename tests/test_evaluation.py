@@ -1,3 +1,4 @@
+import hashlib
 import math
 import random
 
@@ -131,6 +132,41 @@ def test_draws_keep_fold_sizes(spark):
     assert all(r["n"] == (30 if r["fold"] == "a" else 17) and r["top"] < r["n"] for r in sums)
 
 
+def test_draws_are_listed_where_they_are_made(spark):
+    """No weight is shuffled for the list, and the tasks hold few replicates of a large fold."""
+    contests = spark.createDataFrame([(i, "a" if i < 3000 else None) for i in range(3003)], "id long, fold string")
+    places = b.fold_positions(contests)
+    w = b.sample_weights(places, 25, 7)
+    assert "FlatMapGroups" not in w._jdf.queryExecution().toString()
+    got = {(r["rep"], r["fold"], r["position"]): r["weight"] for r in w.collect()}
+    want = {}
+    for rep in range(25):
+        for fold, size in (("a", 3000), ("", 3)):
+            for slot in range(size):
+                digest = hashlib.md5(f"7|{rep // 2}|{fold}|{slot}".encode()).hexdigest()
+                place = (rep, fold or None, int(digest[16 * (rep % 2) :][:15], 16) % size)
+                want[place] = want.get(place, 0) + 1
+    assert got == want
+
+
+def test_large_folds_are_drawn_in_few_replicates(spark, monkeypatch):
+    """The weights that a task holds and writes follow contests x replicates, not the square of a fold."""
+    contests = spark.createDataFrame([(i, "a" if i < 2500 else "b") for i in range(2600)], "id long, fold string")
+    places = b.fold_positions(contests)
+    monkeypatch.setattr(b, "WEIGHTS_AT_ONCE", 10_000)
+    units = b._units(places, 10).collect()
+    assert sorted((r["fold"], r["rep"], r["until"]) for r in units) == [("a", 0, 4), ("a", 4, 8), ("a", 8, 10), ("b", 0, 10)]
+    blocks = b._drawn(b._units(places, 10), 7).collect()
+    assert sum(len(r["weights"]) for r in blocks) == 10 * 2600
+    scores = places.withColumn("one", F.lit(1))
+    got = {(r["id"]): list(b.unpacked(r["weights"], 10)) for r in b.weighted_scores(scores, places, 10, 7).collect()}
+    listed = places.join(b.sample_weights(places, 10, 7), ["fold", "position"]).collect()
+    want = {}
+    for r in listed:
+        want.setdefault(r["id"], [0] * 10)[r["rep"]] = r["weight"]
+    assert got == want
+
+
 def test_bootstrap_pairs_the_draws(spark):
     """Two copies of one model differ by nothing in every replicate."""
     rows = random_predictions(8, n=60, models=("x",))
