@@ -28,6 +28,16 @@ from seriesmill.models.preprocess import (
 )
 
 BIAS = "__bias"
+#: Rows of a task of a fit at most, about; and rows of a task below which more cores do not help.
+TASK_ROWS, LEAST_ROWS = 100_000, 10_000
+
+
+def dealt(rows: DataFrame, n: int) -> DataFrame:
+    """``n`` rows over enough tasks. A table of few different values is small on disk and so read by few tasks, and
+    each step of a fit would run on these. Up to ``LEAST_ROWS`` rows stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = max(-(-n // TASK_ROWS), min(2 * cores, -(-n // LEAST_ROWS)))
+    return rows.repartition(tasks) if tasks > 1 else rows
 
 
 @dataclass
@@ -108,7 +118,7 @@ def fit_logistic(train: DataFrame, features: list[str], fold: str, c: float = 1.
     """
     fitted = _learn(train, features, fold, "biased")
     n = train.count()
-    mirrored = _mirrored(fitted.columns(train), fitted.features)
+    mirrored = _mirrored(fitted.columns(dealt(train, n)), fitted.features)
     fitted.model = LogisticRegression(
         featuresCol="features_vector",
         labelCol="target",
@@ -149,7 +159,7 @@ def fit_forest(
         featureSubsetStrategy=str(max(1, int(len(fitted.features) ** 0.5))),
         maxBins=bins,
         seed=seed,
-    ).fit(fitted.prepare(train).select("features_vector", "target"))
+    ).fit(fitted.prepare(dealt(train, train.count())).select("features_vector", "target"))
     _alone(fitted.model)
     return fitted
 
@@ -166,7 +176,7 @@ def fit_mlp(
         layers=[len(fitted.features), hidden, 2],
         maxIter=max_iter,
         seed=seed,
-    ).fit(fitted.prepare(train).select("features_vector", "target"))
+    ).fit(fitted.prepare(dealt(train, train.count())).select("features_vector", "target"))
     fitted.history = _history(fitted.model)
     _alone(fitted.model)
     return fitted
@@ -193,7 +203,7 @@ def run_temporal_folds(
     scored, fitted = None, []
     for k in range(1, folds + 1):
         model = fit(known.filter(F.col(f"fold{k}_role") == "train"), features, f"fold_{k}")
-        part = model.score(known.filter(F.col(f"fold{k}_role") == "test"), keep)
+        part = model.score(dealt(known.filter(F.col(f"fold{k}_role") == "test"), counts[f"test{k}"]), keep)
         scored = part if scored is None else scored.unionByName(part)
         fitted.append(model)
     return scored, fitted

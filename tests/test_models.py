@@ -105,3 +105,12 @@ def test_a_fold_is_fitted_once(spark, tmp_path):
     assert fit.coefficient_table(spark, one).collect() == fit.coefficient_table(spark, two).collect()
     fit.run_temporal_folds(df.withColumn("x", F.when(F.col("id") == 3, 9.0).otherwise(F.col("x"))), ["x", "y"], 1, kept, ["id"])
     assert len(fits) == 2  # another training row, another fit
+
+
+def test_training_rows_are_dealt_to_the_cores(spark):
+    """A table of one partition is fitted and scored by many tasks; a small one stays as it is."""
+    one = spark.range(45_000).coalesce(1)
+    assert fit.dealt(one, 45_000).rdd.getNumPartitions() == 5 and fit.dealt(one, 45_000).count() == 45_000
+    assert fit.dealt(one, fit.LEAST_ROWS).rdd.getNumPartitions() == 1
+    cores = spark.sparkContext.defaultParallelism
+    assert fit.dealt(one, 50 * fit.TASK_ROWS).rdd.getNumPartitions() == max(50, 2 * cores)
