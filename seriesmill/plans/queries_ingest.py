@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from seriesmill.functions.text import canonical_key
 from seriesmill.operators import checks, games
 from seriesmill.operators.games import AVERAGED, COLOURS, SUMMED
+from seriesmill.operators.ordering import PIECE_ROWS, with_position
 from seriesmill.plans import views
 from seriesmill.plans.catalog import r6, r6_sql, register, stamp, stamp_sql
 from seriesmill.plans.views_sql import GAMES, PLAYERS
@@ -525,12 +526,11 @@ ranked as (select *, row_number() over (partition by player order by file, row)
 
 def _filed(spark, sf):
     """Player statistics as rows of three files, under names that each file spells in its own way."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy(F.col("game_id") % 3).orderBy("game_id", "color", "line", "player")
     spelled = F.when(F.col("game_id") % 3 == 0, F.lower("player")).when(F.col("game_id") % 3 == 1, F.concat(F.lit(" "), F.col("player"))).otherwise(F.concat("player", F.lit(".")))
-    rows = views.players(spark, sf).select((F.col("game_id") % 3).alias("file"), F.row_number().over(order).alias("row"), spelled.alias("player_name"), F.col("goals").cast("string").alias("career_games"))
-    return tables.written(rows, "filed")
+    rows = views.players(spark, sf).select((F.col("game_id") % 3).alias("file"), "game_id", "color", "line", "player", "goals")
+    placed = with_position(rows, ["file"], ["game_id", "color", "line", "player"], "row")
+    named = [F.col("row").cast("int").alias("row"), spelled.alias("player_name"), F.col("goals").cast("string").alias("career_games")]
+    return tables.written(placed.select("file", *named), "filed")
 
 
 @register(
@@ -540,9 +540,10 @@ def _filed(spark, sf):
 def player_history_first(spark, sf):
     """The first row of each player by file and row, whatever the partitions; and how many there were."""
     rows = _filed(spark, sf)
+    pieces = -(-rows.count() // PIECE_ROWS)
     parts = []
     for n in (3, 11):
-        kept = tables.player_history(rows.repartition(n), sequence=["file", "row"], keep="first", key=canonical_key)
+        kept = tables.player_history(rows.repartition(n * max(1, -(-pieces // n))), sequence=["file", "row"], keep="first", key=canonical_key)
         parts.append(kept.select(canonical_key(F.col("player")).alias("key"), "career_games"))
     doubled = tables.history_duplicates(rows, key=canonical_key).select("key", "rows")
     return parts[0].join(parts[1], ["key", "career_games"]).join(doubled, "key", "left").withColumn("rows", F.coalesce("rows", F.lit(1).cast("long")))

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesmill.operators import ordering as o
+from seriesmill.plans import queries_ingest
 
 
 @pytest.fixture
@@ -135,3 +136,21 @@ def test_positions_of_text_ids(spark, small):
     ids = [f"O{1 + i % 3}_{i:04d}" for i in range(500)]
     df = spark.createDataFrame([("f", i) for i in ids], "fold string, id string")
     assert [r["position"] for r in fold_positions(df).orderBy("id").collect()] == list(range(500))
+
+
+def test_rows_of_a_file_are_numbered_in_pieces(spark, tmp_path, monkeypatch):
+    """A file of many rows is numbered by many tasks, each with a part of them, and no row is lost."""
+    lines = spark.range(6_000).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 7).cast("int").alias("l_linenumber"), (F.col("id") % 50).alias("l_suppkey"),
+        (F.col("id") % 9).cast("double").alias("l_quantity"), F.lit(1.0).alias("l_extendedprice"), F.lit(0.0).alias("l_discount"), F.lit(0.0).alias("l_tax"),
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    pieces = []
+    monkeypatch.setattr(o, "PIECE_ROWS", 256)
+    monkeypatch.setattr(o, "position", lambda made, *a, was=o.position: pieces.append(made) or was(made, *a))
+    rows = queries_ingest._filed(spark, str(tmp_path))
+    got = rows.groupBy("file").agg(F.count("*").alias("n"), F.count_distinct("row").alias("d"), F.max("row").alias("m")).collect()
+    assert sorted((r["file"], r["n"], r["d"], r["m"]) for r in got) == [(f, 2000, 2000, 2000) for f in range(3)]
+    assert dict(rows.dtypes)["row"] == "int"
+    sizes = [r["count"] for r in pieces[0].df.groupBy(*pieces[0].parts).count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 1024
