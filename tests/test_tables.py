@@ -2,6 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesmill.operators import attach, checks, dataset, profile, reconcile
+from seriesmill.operators.attach import roster_history_features
+from seriesmill.operators.dataset import select_features
+from seriesmill.operators.identity import resolve_identity
 from seriesmill.sources import tables
 from seriesmill.sources.pages import extract_page_fields
 
@@ -148,3 +151,33 @@ def test_profile(spark):
         assert got == {"a": (1, 25.0, 1, True), "b": (1, 25.0, 2, False)}
     tidy = checks.drop_all_null_columns(df.withColumn("gone", F.lit(None).cast("string")))
     assert tidy.columns == ["a", "b"]
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_select_features_reads_numbers_as_they_are(spark):
+    """A column of numbers is not written as text and read again; texts still are."""
+    rows = [(1, 0.1, float("nan"), 3, "Playoff 1", "7.5 "), (2, float("inf"), None, None, None, "1d")]
+    names = "id long, diff_career_x double, team_a_coverage double, team_a_prior_series_played long, stage string, diff_2024_y string"
+    df = spark.createDataFrame(rows, names)
+    out = select_features(df, ["id"])
+    got = {r["id"]: r for r in out.collect()}
+    assert (got[1]["diff_career_x"], got[1]["team_a_coverage"], got[1]["team_a_prior_series_played"], got[1]["is_playoff"]) == (0.1, None, 3.0, 1.0)
+    assert (got[2]["diff_career_x"], got[2]["team_a_prior_series_played"], got[2]["is_playoff"]) == (float("inf"), None, 0.0)
+    assert got[1]["diff_2024_y"] == 7.5 and got[2]["diff_2024_y"] is None
+    assert set(dict(out.drop("id").dtypes).values()) == {"double"}
+    assert " as string" not in _plan(select_features(df.drop("diff_2024_y", "stage"), ["id"]))
+
+
+def test_lookups_of_few_rosters_do_not_deal_out_the_contests(spark):
+    """The sizes of small lookups are known beforehand: contests stay where they are read."""
+    rows = [(i, f"t{i % 2}", "x|y", "y|z", None if i % 3 else "A", "B") for i in range(50)]
+    contests = spark.createDataFrame(rows, "contest_id int, tournament string, team_a_players string, team_b_players string, team_a string, team_b string")
+    players = spark.createDataFrame([("x", 1.0), ("z", 3.0)], "player string, career_rating double")
+    out = roster_history_features(resolve_identity(contests), players, ["career_rating"])
+    assert {(r["team_a"], r["team_a_source"], r["diff_career_rating"]) for r in out.collect()} == {
+        ("A", "stored_team_name", -2.0), ("A", "same_tournament_roster_lookup", -2.0)
+    }
+    assert "SortMergeJoin" not in _plan(out) and "Exchange hashpartitioning" not in _plan(out)
