@@ -11,8 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriesmill.operators.ordering import exact_quantiles
-from seriesmill.sources.tables import written
+from seriesmill.operators.ordering import exact_medians
 
 
 @dataclass(frozen=True)
@@ -35,12 +34,10 @@ class MedianImputer:
 
 
 def fit_median_imputer(train: DataFrame, features: list[str]) -> MedianImputer:
-    """Medians of the training rows; these are written once and read by each pass of the quantiles."""
-    values = written(train.select(*[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)]), "training")
-    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"f{i}").alias("v")) for i, f in enumerate(features)])
-    long = values.select(F.explode(cells).alias("c")).select("c.feature", "c.v")
-    rows = exact_quantiles(long, ["feature"], "v", [0.5]).collect()  # one row per feature
-    return MedianImputer({r["feature"]: r["quantile"] for r in rows}, list(features))
+    """Medians of the training rows, which are read three times: a table that took work should be written before."""
+    values = train.select(*[F.col(f"`{f}`").cast("double").alias(f"f{i}") for i, f in enumerate(features)])
+    medians = exact_medians(values, values.columns)
+    return MedianImputer({f: medians[f"f{i}"] for i, f in enumerate(features) if f"f{i}" in medians}, list(features))
 
 
 @dataclass(frozen=True)
