@@ -97,14 +97,19 @@ def _learn(train: DataFrame, features: list[str], fold: str, scale: str) -> Fitt
     return FittedFold(fold, imputer, scaler, imputer.kept, None)
 
 
-def _mirrored(train: DataFrame, features: list[str]) -> DataFrame:
+def _mirrored(train: DataFrame, features: list[str], n: int) -> DataFrame:
     """The same mean loss with a constant feature that varies.
 
     MLlib fixes the weight of a feature without variance at 0, also that of the constant
     one. A row and its mirror image (features negated, target flipped) have the same loss
-    at any weights, so every row goes in with its mirror image.
+    at any weights. Of few rows each goes in with its mirror image, of many every other one
+    is replaced by it, which leaves the loss as it is and does not double the rows.
     """
-    out = train.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("__sign"))
+    if n > LEAST_ROWS:
+        turn = (F.monotonically_increasing_id() + F.spark_partition_id()) % 2
+        out = train.withColumn("__sign", F.when(turn == 0, 1).otherwise(-1))
+    else:
+        out = train.select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("__sign"))
     sign = F.col("__sign")
     flipped = {c: F.col(f"`{c}`") * sign for c in [*features, BIAS]}
     return out.withColumns(flipped | {"target": F.when(sign > 0, F.col("target")).otherwise(1 - F.col("target"))})
@@ -118,7 +123,7 @@ def fit_logistic(train: DataFrame, features: list[str], fold: str, c: float = 1.
     """
     fitted = _learn(train, features, fold, "biased")
     n = train.count()
-    mirrored = _mirrored(fitted.columns(dealt(train, n)), fitted.features)
+    mirrored = _mirrored(fitted.columns(dealt(train, n)), fitted.features, n)
     fitted.model = LogisticRegression(
         featuresCol="features_vector",
         labelCol="target",

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from seriesmill.models import fit
+from seriesmill.models import fit, preprocess
 from seriesmill.models.preprocess import fit_median_imputer, fit_standard_scaler
 
 
@@ -114,3 +114,37 @@ def test_training_rows_are_dealt_to_the_cores(spark):
     assert fit.dealt(one, fit.LEAST_ROWS).rdd.getNumPartitions() == 1
     cores = spark.sparkContext.defaultParallelism
     assert fit.dealt(one, 50 * fit.TASK_ROWS).rdd.getNumPartitions() == max(50, 2 * cores)
+
+
+def test_many_rows_are_not_doubled(spark, table):
+    """Of many rows every other one is mirrored, not each one added: the optimum is the same."""
+    train = table.filter("fold2_role = 'train'").withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(80))))
+    train = train.withColumn("x", F.col("x") + F.col("copy") / 100)
+    n = train.count()
+    assert n > fit.LEAST_ROWS
+    fitted = fit.fit_logistic(train, FEATURES, "f", c=1.0)
+    rows = fitted.prepare(train).select("features_vector", "target").collect()
+    x = np.array([r["features_vector"].toArray() for r in rows])
+    y = np.array([r["target"] for r in rows])
+    w = fitted.model.coefficients.toArray()
+    gradient = w + x.T @ (1 / (1 + np.exp(-x @ w)) - y)
+    assert x.shape[1] == 4 and np.abs(gradient).max() < 1e-2 and abs(w[-1]) > 1e-3
+    signs = fit._mirrored(fitted.columns(fit.dealt(train, n)), fitted.features, n).groupBy("__sign").count().collect()
+    assert sum(r["count"] for r in signs) == n and abs(signs[0]["count"] - signs[1]["count"]) <= n // 100
+
+
+@pytest.mark.parametrize("accuracy, few", [(10_000, 1 << 18), (10_000, 16), (20, 16)])
+def test_medians_side_by_side(spark, monkeypatch, accuracy, few):
+    """Ties, holes, even and odd counts, brackets that are counted and columns without values; no row per cell."""
+    from seriesmill.operators import ordering
+
+    monkeypatch.setattr(ordering, "ACCURACY", accuracy)
+    monkeypatch.setattr(ordering, "BRACKET_ROWS", few)
+    rng = np.random.default_rng(3)
+    wide = rng.normal(size=(20_001, 3))
+    rows = [(float(a), None if i % 3 == 0 else float(round(b, 1)), float(c > 0), None) for i, (a, b, c) in enumerate(wide)]
+    df = spark.createDataFrame(rows, "`a b` double, b double, c double, d double").repartition(4)
+    monkeypatch.setattr(ordering, "exact_quantiles", None)
+    got = preprocess.fit_median_imputer(df, ["a b", "b", "c", "d"])
+    want = [np.median([r[i] for r in rows if r[i] is not None]) for i in range(3)]
+    assert got.kept == ["a b", "b", "c"] and [got.medians[c] for c in got.kept] == want
