@@ -1,14 +1,15 @@
 """Three classifiers on MLlib, and the loop over temporal folds.
 
-Only folds are looped over on the driver; every step of a fold is a Spark job.
+Only folds are looped over on the driver, one by one or side by side; every step of a fold is a Spark job.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark import SparkContext
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
@@ -32,11 +33,14 @@ BIAS = "__bias"
 TASK_ROWS, LEAST_ROWS = 100_000, 10_000
 
 
-def dealt(rows: DataFrame, n: int) -> DataFrame:
+def dealt(rows: DataFrame, n: int, whole: bool = False) -> DataFrame:
     """``n`` rows over enough tasks. A table of few different values is small on disk and so read by few tasks, and
-    each step of a fit would run on these. Up to ``LEAST_ROWS`` rows stay as they are."""
+    each step of a fit would run on these. Up to ``LEAST_ROWS`` rows stay as they are. With ``whole`` more tasks than
+    cores become a multiple of the cores, for fits of many steps: a few tasks left over would hold up each step."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
     tasks = max(-(-n // TASK_ROWS), min(2 * cores, -(-n // LEAST_ROWS)))
+    if whole and tasks > cores:
+        tasks = -(-tasks // cores) * cores
     return rows.repartition(tasks) if tasks > 1 else rows
 
 
@@ -181,7 +185,7 @@ def fit_mlp(
         layers=[len(fitted.features), hidden, 2],
         maxIter=max_iter,
         seed=seed,
-    ).fit(fitted.prepare(dealt(train, train.count())).select("features_vector", "target"))
+    ).fit(fitted.prepare(dealt(train, train.count(), whole=True)).select("features_vector", "target"))
     fitted.history = _history(fitted.model)
     _alone(fitted.model)
     return fitted
@@ -191,11 +195,12 @@ Fit = Callable[[DataFrame, list[str], str], FittedFold]
 
 
 def run_temporal_folds(
-    df: DataFrame, features: list[str], folds: int, fit: Fit, keep: list[str]
+    df: DataFrame, features: list[str], folds: int, fit: Fit, keep: list[str], at_once: int = 1
 ) -> tuple[DataFrame, list[FittedFold]]:
     """Fit on each fold's train rows, score its test rows; an empty fold is an error.
 
-    ``df`` has a 0/1 ``target`` (undecided rows are left out) and fold<k>_role columns.
+    ``df`` has a 0/1 ``target`` (undecided rows are left out) and fold<k>_role columns. ``at_once`` folds are
+    fitted side by side: between the short jobs of a fit of many steps the cores work on another fold.
     """
     known = df.filter(F.col("target").isNotNull())
     roles = {
@@ -205,12 +210,16 @@ def run_temporal_folds(
     empty = [n for n, v in counts.items() if not v]
     if empty:
         raise ValueError(f"empty folds: {', '.join(empty)}")
-    scored, fitted = None, []
-    for k in range(1, folds + 1):
-        model = fit(known.filter(F.col(f"fold{k}_role") == "train"), features, f"fold_{k}")
+
+    def fold(k: int) -> FittedFold:
+        return fit(known.filter(F.col(f"fold{k}_role") == "train"), features, f"fold_{k}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(fold), range(1, folds + 1)))
+    scored = None
+    for k, model in enumerate(fitted, 1):
         part = model.score(dealt(known.filter(F.col(f"fold{k}_role") == "test"), counts[f"test{k}"]), keep)
         scored = part if scored is None else scored.unionByName(part)
-        fitted.append(model)
     return scored, fitted
 
 

@@ -1,18 +1,23 @@
 """Imputation and scaling learned on training rows only.
 
-Both learn one or two numbers per feature, by one distributed aggregate, and apply them
+Both learn one or two numbers per feature, by distributed aggregates, and apply them
 as column expressions.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import batched
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.operators.ordering import exact_medians
 
+#: Features of a pass of the scaler. Spark compiles a stage of up to 100 fields as a whole, and the three moments hold seven
+#: a feature; all features in one pass are slower than a pass for each group.
+SCALED_AT_ONCE = 14
+
 
 @dataclass(frozen=True)
 class MedianImputer:
@@ -56,10 +61,11 @@ class StandardScaler:
 
 
 def fit_standard_scaler(train: DataFrame, features: list[str]) -> StandardScaler:
-    sums = [F.avg(f"`{f}`").alias(f"m{i}") for i, f in enumerate(features)]
-    sums += [F.stddev_pop(f"`{f}`").alias(f"s{i}") for i, f in enumerate(features)]
-    sums += [(F.min(f"`{f}`") == F.max(f"`{f}`")).alias(f"c{i}") for i, f in enumerate(features)]
-    row = train.agg(*sums).first()
-    return StandardScaler(
-        {f: (row[f"m{i}"], 1.0 if row[f"c{i}"] else row[f"s{i}"]) for i, f in enumerate(features)}
-    )
+    moments = {}
+    for group in batched(features, SCALED_AT_ONCE):
+        sums = [F.avg(f"`{f}`").alias(f"m{i}") for i, f in enumerate(group)]
+        sums += [F.stddev_pop(f"`{f}`").alias(f"s{i}") for i, f in enumerate(group)]
+        sums += [(F.min(f"`{f}`") == F.max(f"`{f}`")).alias(f"c{i}") for i, f in enumerate(group)]
+        row = train.agg(*sums).first()
+        moments |= {f: (row[f"m{i}"], 1.0 if row[f"c{i}"] else row[f"s{i}"]) for i, f in enumerate(group)}
+    return StandardScaler(moments)

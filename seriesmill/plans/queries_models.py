@@ -54,7 +54,7 @@ def standard_scaler(spark, sf):
 def _run(spark, sf, how):
     rows = d.missing_indicators(table(spark, sf), PREDICTORS)
     features = PREDICTORS + [c for c in rows.columns if c.endswith(d.MISSING_SUFFIX)]
-    return fit.run_temporal_folds(rows, features, 2, _kept(spark, how), ["contest_id"])
+    return fit.run_temporal_folds(rows, features, 2, _kept(spark, how), ["contest_id"], at_once=2 if how is fit.fit_mlp else 1)
 
 
 def _kept(spark, how):

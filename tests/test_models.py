@@ -1,3 +1,4 @@
+import threading
 from functools import partial
 
 import numpy as np
@@ -148,3 +149,51 @@ def test_medians_side_by_side(spark, monkeypatch, accuracy, few):
     got = preprocess.fit_median_imputer(df, ["a b", "b", "c", "d"])
     want = [np.median([r[i] for r in rows if r[i] is not None]) for i in range(3)]
     assert got.kept == ["a b", "b", "c"] and [got.medians[c] for c in got.kept] == want
+
+
+def test_tasks_of_many_steps_fill_all_cores(spark):
+    """With ``whole`` no step ends with a few tasks on a few cores; fewer tasks than cores stay as they are."""
+    one, cores = spark.range(45_000).coalesce(1), spark.sparkContext.defaultParallelism
+    n = (2 * cores + 1) * fit.TASK_ROWS
+    assert fit.dealt(one, n).rdd.getNumPartitions() == 2 * cores + 1
+    assert fit.dealt(one, n, whole=True).rdd.getNumPartitions() == 3 * cores
+    assert fit.dealt(one, 2 * fit.LEAST_ROWS, whole=True).rdd.getNumPartitions() == 2
+    assert fit.dealt(one, n, whole=True).count() == 45_000
+
+
+def test_folds_side_by_side(table):
+    """Both folds are under way at once, and come out as one by one; an error of a fold is raised."""
+    both = threading.Barrier(2)
+
+    def met(train, features, fold):
+        both.wait(timeout=60)
+        return fit.fit_mlp(train, features, fold, max_iter=5)
+
+    one, first = fit.run_temporal_folds(table, ["x", "z"], 2, partial(fit.fit_mlp, max_iter=5), ["id"])
+    two, again = fit.run_temporal_folds(table, ["x", "z"], 2, met, ["id"], at_once=2)
+    assert [f.fold for f in again] == ["fold_1", "fold_2"]
+    assert all(np.allclose(a.history, b.history) for a, b in zip(first, again))
+    assert [r["id"] for r in one.orderBy("id").collect()] == [r["id"] for r in two.orderBy("id").collect()] == list(range(80, 240))
+
+    def fails(train, features, fold):
+        raise ArithmeticError(fold)
+
+    with pytest.raises(ArithmeticError, match="fold_1"):
+        fit.run_temporal_folds(table, ["x", "z"], 2, fails, ["id"], at_once=2)
+
+
+def test_scaler_of_many_features(spark):
+    """Features go through in groups that Spark compiles as a whole; all of them come out, in their order."""
+    k = 2 * preprocess.SCALED_AT_ONCE + 1
+    values = np.random.default_rng(5).normal(size=(500, k)) * np.arange(k) + 2
+    df = spark.createDataFrame([tuple(map(float, r)) for r in values], ", ".join(f"`a {i}` double" for i in range(k)))
+    passes = []
+
+    class Counted:
+        def agg(self, *sums):
+            passes.append(len(sums))
+            return df.agg(*sums)
+
+    got = fit_standard_scaler(Counted(), df.columns).moments
+    assert list(got) == df.columns and got["a 0"] == (2.0, 1.0) and passes == [42, 42, 3]
+    assert np.allclose([got[c] for c in df.columns[1:]], np.stack([values.mean(0), values.std(0)], 1)[1:])
