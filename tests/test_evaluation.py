@@ -183,6 +183,37 @@ def test_bootstrap_pairs_the_draws(spark):
             assert r["ci_direction"] == "uncertain / overlaps zero" and not r["ci_excludes_zero"]
 
 
+def test_weights_stay_in_the_task_that_draws_them(spark, monkeypatch):
+    """Runs of scores with ties across their ends, few replicates at once, a missing fold, a contest of one model: by brute force."""
+    monkeypatch.setattr(b, "WEIGHTS_AT_ONCE", 300 * 6)
+    monkeypatch.setattr(b, "RUN_ROWS", 32)
+    seen = []
+    monkeypatch.setattr(b, "written", lambda df, name, real=b.written: seen.append(df) or real(df, name))
+    rows = random_predictions(5, n=300)
+    odd = [(900, None, "x", 1, 0.4), (901, "fold_0", "x", 1, 0.25)]
+    preds = m.with_decisions(spark.createDataFrame(rows + odd, SCHEMA))
+    out = b.replicate_metrics(preds, 11, 7)
+    got = {(r["model"], r["rep"]): r for r in out.collect()}
+    assert not any(x in df._jdf.queryExecution().toString() for df in (*seen, out) for x in ("FlatMapCoGroups", "weights"))
+    places = {"fold_0": [i for i in range(300) if i % 2 == 0] + [901], "fold_1": [i for i in range(300) if i % 2]}
+    for rep in range(11):
+        drawn = []
+        for fold, ids in places.items():
+            for slot in range(len(ids)):
+                digest = hashlib.md5(f"7|{rep // 2}|{fold}|{slot}".encode()).hexdigest()
+                drawn.append(ids[int(digest[16 * (rep % 2) :][:15], 16) % len(ids)])
+        for model in ("x", "y"):
+            known = {i: (t, p) for i, f, mod, t, p in rows + odd if mod == model and f}
+            pairs = [known[i] for i in drawn if i in known]
+            r = got[model, rep]
+            assert r["roc_auc"] == pytest.approx(brute_auc(pairs), abs=1e-12)
+            assert r["accuracy"] == pytest.approx(np.mean([t == (p >= 0.5) for t, p in pairs]), abs=1e-12)
+            assert r["brier_score"] == pytest.approx(np.mean([(p - t) ** 2 for t, p in pairs]), abs=1e-12)
+            eps = m.EPSILON
+            want = [-math.log(min(max(p, eps), 1 - eps)) if t else -math.log(1 - min(max(p, eps), 1 - eps)) for t, p in pairs]
+            assert r["log_loss"] == pytest.approx(np.mean(want), abs=1e-12)
+
+
 def test_prediction_synonyms(spark):
     raw = spark.createDataFrame([(" s1 ", "1", 0.7, 1.0, "f ")], "Match_ID string, actual string, y_prob double, predicted double, test_fold string")
     r = m.standardise_predictions(raw, "mine").first()
