@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.evaluation.metrics import with_decisions
+from seriesmill.models import forest
 from seriesmill.models.preprocess import (
     MedianImputer,
     StandardScaler,
@@ -156,10 +157,11 @@ def fit_forest(
     """Random forest: shallow trees, square root of the features at each split.
 
     Two rows per leaf already imply four per split. Splits are chosen among ``bins``
-    quantile bins; a feature with fewer distinct values is split exactly.
+    quantile bins; a feature with fewer distinct values is split exactly. On more than
+    ``LEAST_ROWS`` rows the trees are grown by ``forest``, which goes about the same work in another order.
     """
     fitted = _learn(train, features, fold, "none")
-    fitted.model = RandomForestClassifier(
+    classifier = RandomForestClassifier(
         featuresCol="features_vector",
         labelCol="target",
         numTrees=trees,
@@ -168,7 +170,12 @@ def fit_forest(
         featureSubsetStrategy=str(max(1, int(len(fitted.features) ** 0.5))),
         maxBins=bins,
         seed=seed,
-    ).fit(fitted.prepare(dealt(train, train.count())).select("features_vector", "target"))
+    )
+    n = train.count()
+    if n > LEAST_ROWS:
+        fitted.model = forest.grow(fitted.columns(train), n, fitted.features, classifier)
+        return fitted
+    fitted.model = classifier.fit(fitted.prepare(dealt(train, n)).select("features_vector", "target"))
     _alone(fitted.model)
     return fitted
 

@@ -197,3 +197,94 @@ def test_scaler_of_many_features(spark):
     got = fit_standard_scaler(Counted(), df.columns).moments
     assert list(got) == df.columns and got["a 0"] == (2.0, 1.0) and passes == [42, 42, 3]
     assert np.allclose([got[c] for c in df.columns[1:]], np.stack([values.mean(0), values.std(0)], 1)[1:])
+
+
+def forest_rows(spark, n=3000):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.random(n), rng.integers(0, 4, n), rng.normal(size=n), np.full(n, 2.5)])
+    y = (x[:, 0] + 0.2 * x[:, 1] + 0.3 * rng.normal(size=n) > 0.8).astype(int)
+    rows = [(i, *map(float, r), int(t)) for i, (r, t) in enumerate(zip(x, y, strict=True))]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, d double, target int"), x, y
+
+
+def test_forest_of_many_rows(spark, monkeypatch):
+    """MLlib is not fitted on the rows, and both forests say the same."""
+    fitted_on = []
+    real = fit.RandomForestClassifier.fit
+    monkeypatch.setattr(fit.RandomForestClassifier, "fit", lambda self, df, *a: fitted_on.append(df.count()) or real(self, df, *a))
+    rows, _, y = forest_rows(spark)
+    found = {}
+    for least in (1000, 10_000):
+        monkeypatch.setattr(fit, "LEAST_ROWS", least)
+        forest = fit.fit_forest(rows, ["a", "b", "c", "d"], "fold_1", trees=60)
+        p = np.array([r["probability"] for r in forest.score(rows, ["id"]).orderBy("id").collect()])
+        found[least] = (forest.model.featureImportances.toArray(), p, np.mean((p >= 0.5) == y), forest.model.getNumTrees)
+    assert fitted_on == [2, 3000]
+    (own, p, right, trees), (want, q, wanted, _) = found.values()
+    assert trees == 60 and abs(own.sum() - 1) < 1e-9 and own[3] == 0
+    assert np.abs(own - want).max() < 0.06 and np.abs(p - q).mean() < 0.03 and abs(right - wanted) < 0.02
+
+
+def test_trees_add_up(spark, tmp_path, monkeypatch):
+    """Each node's classes are those of the rows drawn for its tree that its path leads to, its split has the largest gain."""
+    from seriesmill.models import forest as fr
+
+    monkeypatch.setattr(fit, "LEAST_ROWS", 1000)
+    monkeypatch.setattr(fr, "CHUNK_ROWS", 700)
+    kept = []
+    monkeypatch.setattr(fr, "written", lambda df, name, real=fr.written: kept.append(real(df, name)) or kept[-1])
+    rows, _, _ = forest_rows(spark)
+    names = ["a", "b", "c", "d"]
+    model = fit.fit_forest(rows, names, "fold_1", trees=5, bins=16).model
+    model.write().save(f"{tmp_path}/m")
+    plain, binned = kept
+    assert sorted(r["rows"] for r in binned.collect())[-1] <= 700 and binned.agg(F.sum("rows")).first()[0] == 3000
+    nodes = {(r["treeID"], r["nodeData"]["id"]): r["nodeData"] for r in spark.read.parquet(f"{tmp_path}/m/data").collect()}
+    values = {f: np.array([r[f] for r in plain.select(f).collect()]) for f in names}
+    cuts = [fr.thresholds(values[f], 16) for f in names]
+    chunks = [(r["chunk"], np.frombuffer(r["body"], np.uint8).reshape(4, r["rows"])) for r in binned.collect()]
+    for tree in range(5):
+        drawn = np.concatenate([codes[:, fr._drawn(42, c, tree, codes.shape[1])] for c, codes in chunks], axis=1)
+
+        def walk(node, own):
+            n = nodes[tree, node]
+            assert n["impurityStats"] == [float((own[0] % 2 == t).sum()) for t in (0, 1)] and n["rawCount"] == own.shape[1] >= 2
+            if n["leftChild"] < 0:
+                return 1
+            f, at = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]
+            left = own[f] // 2 <= int(np.flatnonzero(cuts[f] == at)[0])
+            assert n["gain"] > 0
+            return 1 + max(walk(n["leftChild"], own[:, left]), walk(n["rightChild"], own[:, ~left]))
+
+        assert 1 < walk(0, drawn) <= 5
+
+
+def test_best_splits_by_brute_force():
+    from seriesmill.models.forest import best_splits
+
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 6, (8, 3, 5, 2))
+    counts[:, 1:] = counts[:, :1, ::-1]  # each feature has the same rows
+    cuts = rng.integers(0, 5, (8, 3))
+
+    def gini(c):
+        return 1 - sum((x / max(1, sum(c))) ** 2 for x in c)
+
+    for node, found in enumerate(best_splits(counts, cuts, 2)):
+        best = 0.0
+        for f in range(3):
+            for s in range(cuts[node, f]):
+                a, b = counts[node, f, : s + 1].sum(0), counts[node, f, s + 1 :].sum(0)
+                if min(a.sum(), b.sum()) >= 2:
+                    best = max(best, gini(a + b) - (a.sum() * gini(a) + b.sum() * gini(b)) / (a + b).sum())
+        assert found[2] == pytest.approx(best, abs=1e-12)
+        f, s = int(found[3]), int(found[4])
+        if best > 0:
+            assert (found[5:7] == counts[node, f, : s + 1].sum(0)).all() and (found[5:7] + found[7:9] == found[:2]).all()
+
+
+@pytest.mark.parametrize("values,want", [([1, 1, 2, 4], [1.5, 3.0]), ([7, 7], []), (list(range(100)), [24.5, 49.5, 74.5])])
+def test_thresholds(values, want):
+    from seriesmill.models.forest import thresholds
+
+    assert thresholds(np.array(values, float), 4).tolist() == want
