@@ -167,6 +167,15 @@ def test_large_folds_are_drawn_in_few_replicates(spark, monkeypatch):
     assert got == want
 
 
+def test_a_written_list_of_draws_is_short(spark, tmp_path):
+    """About a byte for each of its rows (11 to 12 in memory), whatever the size of a fold."""
+    places = b.fold_positions(spark.range(60_000).selectExpr("id", "'a' as fold"))
+    b.sample_weights(places, 64, 7).write.parquet(f"{tmp_path}/list")
+    rows = spark.read.parquet(f"{tmp_path}/list").agg(F.count(F.lit(1)), F.sum("weight")).first()
+    assert rows[1] == 64 * 60_000
+    assert sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")) < 2 * rows[0]
+
+
 def test_bootstrap_pairs_the_draws(spark):
     """Two copies of one model differ by nothing in every replicate."""
     rows = random_predictions(8, n=60, models=("x",))
