@@ -13,6 +13,7 @@ from pyspark import SparkContext, inheritable_thread_target
 from pyspark.ml.classification import (
     LogisticRegression,
     MultilayerPerceptronClassifier,
+    RandomForestClassificationModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import VectorAssembler
@@ -28,6 +29,7 @@ from seriesmill.models.preprocess import (
     fit_median_imputer,
     fit_standard_scaler,
 )
+from seriesmill.session import scratch_table
 
 BIAS = "__bias"
 #: Rows of a task of a fit at most, about; and rows of a task below which more cores do not help.
@@ -56,6 +58,8 @@ class FittedFold:
     model: object = field(repr=False)
     #: Loss after each step of the optimiser, where there is one.
     history: list[float] | None = None
+    #: Where the model is written, if it is.
+    saved: str | None = None
 
     def columns(self, df: DataFrame) -> DataFrame:
         """Imputed and scaled feature columns, and the constant one."""
@@ -72,8 +76,14 @@ class FittedFold:
         return self.vectors(self.columns(df))
 
     def score(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        scored = self.model.transform(self.prepare(df))
-        probability = vector_to_array("probability")[1].alias("probability")
+        if isinstance(self.model, RandomForestClassificationModel) and self.model.numClasses == 2:
+            if self.saved is None:
+                self.saved = scratch_table(df.sparkSession, "forest")
+                self.model.write().save(self.saved)
+            scored, probability = forest.scored(self.columns(df), self.features, keep, forest.saved_nodes(df.sparkSession, self.saved)), F.col("probability")
+        else:
+            scored = self.model.transform(self.prepare(df))
+            probability = vector_to_array("probability")[1].alias("probability")
         return with_decisions(scored.select(*keep, F.col("target").cast("int").alias("target"), F.lit(self.fold).alias("fold"), probability))
 
 

@@ -4,7 +4,7 @@ MLlib keeps a number for each row and tree and adds each row to the sums of all
 not stay in a core's cache. Here rows become bins of one byte, and a task goes through its rows tree by tree. What is drawn and chosen is the
 same: bins at quantiles of a sample, rows drawn Poisson(1) times for each tree, features drawn for each node, the split of the
 largest gain of Gini impurity, leaves of one class or at the depth asked for, sibling leaves of one class pruned. The draws follow from
-seed, rows' place and tree, but are not MLlib's. The result is an MLlib model.
+seed, rows' place and tree, but are not MLlib's. The result is an MLlib model. Scoring gives the model's numbers.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.ml.classification import RandomForestClassificationModel, RandomFor
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from seriesmill.session import scratch_table
 from seriesmill.sources.tables import written
@@ -57,6 +58,8 @@ def _binned(rows: DataFrame, features: list[str], cuts: list[np.ndarray], bins:
             return pa.RecordBatch.from_pydict({"chunk": [chunk], "rows": [codes.shape[1]], "body": pa.array([codes.tobytes()], pa.binary())})
 
         for batch in batches:
+            if any(np.isnan(batch.column(i).to_numpy(zero_copy_only=False)).any() for i in range(len(features))):
+                raise ValueError("a feature is not a number")
             target = batch.column(len(features)).to_numpy(zero_copy_only=False).astype(kind)
             held.append(np.stack([np.searchsorted(c, batch.column(i).to_numpy(zero_copy_only=False)).astype(kind) * kind(2) + target for i, c in enumerate(cuts)]))
             while sum(h.shape[1] for h in held) >= CHUNK_ROWS:
@@ -228,3 +231,63 @@ def _model(spark, classifier: RandomForestClassifier, features: int, nodes: list
     schema = spark.read.parquet(data).schema
     spark.createDataFrame(nodes, schema).coalesce(1).write.mode("overwrite").parquet(data)
     return RandomForestClassificationModel.load(path)
+
+
+# --- scoring ------------------------------------------------------------------------------
+
+
+def saved_nodes(spark, path: str) -> list[list[dict]]:
+    """The nodes of each tree of a model written at ``path``, in the order of their numbers."""
+    rows = spark.read.parquet(f"{path}/data").select("treeID", "nodeData.*").toArrow().to_pylist()
+    out: dict[int, list[dict]] = {}
+    for row in sorted(rows, key=lambda r: (r["treeID"], r["id"])):
+        out.setdefault(row["treeID"], []).append(row)
+    return [out[t] for t in sorted(out)]
+
+
+def scored(rows: DataFrame, features: list[str], keep: list[str], trees: list[list[dict]]) -> DataFrame:
+    """``keep``, target and the probability of class 1: the number MLlib's model gives, for whole batches tree by tree.
+
+    A row's features become places among the thresholds of all trees, and a tree is a choice between leaves for all rows at once.
+    """
+    splits = [(n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]) for nodes in trees for n in nodes if n["leftChild"] >= 0]
+    cuts = [np.unique([at for f, at in splits if f == i]) for i in range(len(features))]
+    code = np.min_scalar_type(max(map(len, cuts), default=0))
+    compact = []
+    for nodes in trees:
+        shares: list[list[float]] = []
+
+        def choice(n: dict, nodes: list[dict] = nodes, shares: list[list[float]] = shares) -> tuple | np.integer:
+            if n["leftChild"] < 0:
+                total = sum(n["impurityStats"])
+                shares.append([x / total if total else 0.0 for x in n["impurityStats"]])
+                return np.min_scalar_type(len(nodes)).type(len(shares) - 1)
+            f, at = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]
+            return f, int(np.searchsorted(cuts[f], at)), choice(nodes[n["leftChild"]]), choice(nodes[n["rightChild"]])
+
+        compact.append((choice(nodes[0]), shares))
+
+    def leaf(node: tuple | np.integer, codes: list[np.ndarray]) -> np.ndarray | np.integer:
+        if not isinstance(node, tuple):
+            return node
+        f, at, left, right = node
+        return np.where(codes[f] <= at, leaf(left, codes), leaf(right, codes))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = [(root, np.array(shares).T.copy()) for root, shares in compact]
+        for batch in batches:
+            first = batch.num_columns - len(features)
+            if any(np.isnan(batch.column(first + i).to_numpy(zero_copy_only=False)).any() for i in range(len(features))):
+                raise ValueError("a feature is not a number")
+            codes = [np.searchsorted(c, batch.column(first + i).to_numpy(zero_copy_only=False)).astype(code) for i, c in enumerate(cuts)]
+            votes = np.zeros((2, batch.num_rows))
+            for root, shares in tables:
+                at = leaf(root, codes)
+                for k in (0, 1):
+                    votes[k] += shares[k].take(at)
+            probability = pa.array(votes[1] / (votes[0] + votes[1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:first], probability], [*batch.schema.names[:first], "probability"])
+
+    ready = rows.select(*keep, F.col("target").cast("int").alias("target"), *[F.col(f"`{f}`").alias(f"__feature{i}") for i, f in enumerate(features)])
+    schema = StructType([*ready.schema.fields[: len(keep) + 1], StructField("probability", DoubleType())])
+    return ready.mapInArrow(each, schema)

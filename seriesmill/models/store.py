@@ -40,6 +40,7 @@ def digest(train: DataFrame, features: list[str]) -> str:
 
 def save(spark: SparkSession, fitted: FittedFold, path: str) -> None:
     fitted.model.write().overwrite().save(f"{path}/model")
+    fitted.saved = f"{path}/model"
     numbers = {
         "fold": fitted.fold,
         "features": fitted.features,
@@ -63,7 +64,7 @@ def load(spark: SparkSession, path: str) -> FittedFold | None:
     n = json.loads(row["numbers"])
     scaler = SCALERS[n["scaler"]]({f: tuple(m) for f, m in n["moments"].items()}) if n["scaler"] else None
     model = MODELS[n["model"]].load(f"{path}/model")
-    return FittedFold(n["fold"], MedianImputer(n["medians"], n["asked"]), scaler, n["features"], model, n["history"])
+    return FittedFold(n["fold"], MedianImputer(n["medians"], n["asked"]), scaler, n["features"], model, n["history"], f"{path}/model")
 
 
 def kept(fit: Fit, folder: str, name: str) -> Fit:

@@ -259,6 +259,18 @@ def test_trees_add_up(spark, tmp_path, monkeypatch):
         assert 1 < walk(0, drawn) <= 5
 
 
+def test_forests_are_scored_in_batches(spark):
+    """The very numbers of MLlib's model, without its pass over the trees for each row."""
+    rows, _, _ = forest_rows(spark, 700)
+    forest = fit.fit_forest(rows, ["a", "b", "c", "d"], "fold_1", trees=30)
+    scored = forest.score(rows, ["id", "a"])
+    assert scored.columns[:5] == ["id", "a", "target", "fold", "probability"] and "UDF(" not in scored._jdf.queryExecution().toString()
+    want = {r["id"]: r["p"] for r in forest.model.transform(forest.prepare(rows)).select("id", fit.vector_to_array("probability")[1].alias("p")).collect()}
+    assert {r["id"]: r["probability"] for r in scored.collect()} == want
+    with pytest.raises(Exception, match="not a number"):
+        forest.score(rows.withColumn("b", F.lit(float("nan"))), ["id"]).collect()
+
+
 def test_best_splits_by_brute_force():
     from seriesmill.models.forest import best_splits
 
